@@ -7,7 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..common import table
-from . import syntax
+from . import credentials, origin, syntax
+
+
+def _origins(spark: SparkSession, d: str) -> DataFrame:
+    return origin.origins(table(spark, d, "files"), table(spark, d, "chunks"), table(spark, d, "vendor_catalog"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _origins(spark, d).where("kind IS NOT NULL").select("file_id").distinct()
+
+
+def p1_origins(spark: SparkSession, d: str) -> DataFrame:
+    return _origins(spark, d)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.credentials(table(spark, d, "chunks")).select("chunk_id", "line_no").distinct()
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.redacted(table(spark, d, "chunks"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -20,6 +40,10 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_origins": p1_origins,
+    "p2_found": p2_found,
+    "p2_redacted": p2_redacted,
     "p3_found": p3_found,
     "p3_rates": p3_rates,
 }
