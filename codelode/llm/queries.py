@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..common import table
-from . import credentials, origin, syntax
+from . import credentials, mixing, origin, packing, splitting, syntax, truncation
 
 
 def _origins(spark: SparkSession, d: str) -> DataFrame:
@@ -39,6 +40,38 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.fault_rates(syntax.parse_verdicts(table(spark, d, "files"), table(spark, d, "chunks")))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.pieces(table(spark, d, "chunks")).select("chunk_id").distinct()
+
+
+def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.pieces(table(spark, d, "chunks"))
+
+
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_specs"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p7_packed(spark, d))
+
+
+def p8_mixed(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.scored(table(spark, d, "documents")).where("truncated").select("doc_id").distinct()
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_rates(truncation.scored(table(spark, d, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_origins": p1_origins,
@@ -46,5 +79,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_redacted": p2_redacted,
     "p3_found": p3_found,
     "p3_rates": p3_rates,
+    "p6_found": p6_found,
+    "p6_pieces": p6_pieces,
+    "p7_packed": p7_packed,
+    "p7_fill": p7_fill,
+    "p8_mixed": p8_mixed,
+    "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_rates": p9_rates,
+}
+SQL: dict[str, str] = {
+    "p6_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 1000",
 }
-SQL: dict[str, str] = {}
