@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..common import table
-from . import credentials, mixing, origin, packing, splitting, syntax, truncation
+from . import credentials, mixing, neighbours, origin, packing, splitting, syntax, truncation
 
 
 def _origins(spark: SparkSession, d: str) -> DataFrame:
@@ -40,6 +40,18 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.fault_rates(syntax.parse_verdicts(table(spark, d, "files"), table(spark, d, "chunks")))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.neighbour_pairs(neighbours.neighbours(table(spark, d, "embed_cache")))
+
+
+def p4_search(spark: SparkSession, d: str) -> DataFrame:
+    """Greedy graph search: every vector whose id is divisible by 50 against all vectors."""
+    cache = table(spark, d, "embed_cache")
+    vectors, nodes, edges = neighbours.graph_of(cache)
+    queries = neighbours.usable(cache).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "dim", "vec")
+    return neighbours.search(queries, nodes, edges)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(table(spark, d, "chunks")).select("chunk_id").distinct()
 
@@ -79,6 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_redacted": p2_redacted,
     "p3_found": p3_found,
     "p3_rates": p3_rates,
+    "p4_found": p4_found,
+    "p4_search": p4_search,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p7_packed": p7_packed,
