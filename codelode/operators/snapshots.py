@@ -124,12 +124,14 @@ def set_differences(elements: DataFrame, pairs: list[tuple[int, int]], bucket_el
     elements = durable(elements)
     largest = max([r["n"] for r in elements.groupBy("snap").agg(F.count(F.lit(1)).alias("n")).collect()], default=0)
     buckets, cells, todo, done = max(1, -(-largest // bucket_elements)), first_cells, elements, None
-    retried = False
+    only: DataFrame | None = None  # the (pair, bucket)s still open, after the first round
     while True:
         third = cells // 3
+        difference = _subtract(_cells(todo, buckets, cells), pairs)
+        if only is not None:  # a bucket may be back for one pair of its snapshot's only
+            difference = difference.join(only, ["pair", "bucket"], "left_semi")
         peeled = durable(
-            _subtract(_cells(todo, buckets, cells), pairs)
-            .groupBy("pair", "bucket")
+            difference.groupBy("pair", "bucket")
             .applyInPandas(_peel_groups(third), "pair int, bucket int, ok boolean, kh long, vh long, sign int")
         )
         good = peeled.where("ok").select("pair", "kh", "vh", "sign")
@@ -137,7 +139,7 @@ def set_differences(elements: DataFrame, pairs: list[tuple[int, int]], bucket_el
         failed = peeled.where("NOT ok").select("pair", "bucket").distinct()
         missing = [(r["pair"], r["n"]) for r in failed.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).collect()]
         if not missing:
-            return done.dropDuplicates() if retried else done
+            return done
         # Only the failed buckets of the failed pairs come again, with four times the cells.
         cells *= 4
         pairs = [p for p in pairs if p[1] in {m[0] for m in missing}]
@@ -145,7 +147,7 @@ def set_differences(elements: DataFrame, pairs: list[tuple[int, int]], bucket_el
         retry = failed.select("bucket", F.explode(F.filter(snaps, lambda x: x["pair"] == F.col("pair"))).alias("x")).select("bucket", F.col("x.snap").alias("snap")).distinct()
         bucket = F.pmod(F.xxhash64(F.xxhash64("kh", "vh")), F.lit(buckets)).cast("int")
         todo = todo.withColumn("bucket", bucket).join(retry, ["snap", "bucket"], "left_semi").drop("bucket")
-        retried = True  # a bucket that failed for one pair may be peeled again for another one: duplicates go at the end
+        only = failed
 
 
 def file_elements(snaps: DataFrame) -> DataFrame:
