@@ -163,37 +163,62 @@ def s20_resolve_project(spark: SparkSession, d: str) -> DataFrame:
 # -- write operators -----------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {S.FILES} SELECT project, path, CASE WHEN file_id % 3 = 0 THEN coalesce(size, 0) + 1 ELSE size END AS size FROM f")
+_PATH = "regexp_replace(regexp_replace(replace(trim({0}), '\\', '/'), '/+', '/', 'g'), '^(\\./)+', '')"
+_HASH = "regexp_replace(lower(trim({0})), '^sha-?256[:=]', '')"
+_SNAPS = f"""fs AS (SELECT snap_no, project, {_PATH.format('path')} AS path, {_HASH.format('content_hash')} AS content_hash, status, size FROM (SELECT *, row_number() OVER (PARTITION BY snap_no, project, {_PATH.format('path')} ORDER BY delivered_at DESC, coalesce(content_hash, '') DESC, coalesce(size, 0) DESC) AS rn FROM file_snaps) WHERE rn = 1),
+cs AS (SELECT DISTINCT snap_no, project, {_PATH.format('file')} AS file, chunk_index, {_HASH.format('chunk_hash')} AS chunk_hash FROM chunk_snaps)"""
+
+
+def file_snapshot(spark: SparkSession, d: str, n: int) -> DataFrame:
+    """One row per file of a snapshot, paths and digests in one spelling."""
+    rows = table(spark, d, "file_snaps").where(F.col("snap_no") == n).withColumn("raw", F.coalesce("content_hash", F.lit("")))
+    rows = rows.withColumns({"path": snapshots.canonical_path(F.col("path")), "content_hash": snapshots.canonical_digest(F.col("content_hash"))})
+    w = Window.partitionBy("project", "path").orderBy(F.desc("delivered_at"), F.desc("raw"), F.coalesce("size", F.lit(0)).desc())
+    return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("project", "path", "content_hash", "status", "size")
+
+
+def chunk_snapshot(spark: SparkSession, d: str, n: int) -> DataFrame:
+    rows = table(spark, d, "chunk_snaps").where(F.col("snap_no") == n)
+    return rows.select("project", snapshots.canonical_path(F.col("file")).alias("file"), "chunk_index", snapshots.canonical_digest(F.col("chunk_hash")).alias("chunk_hash")).distinct()
+
+
+@query(f"WITH {_SNAPS}, n AS (SELECT * FROM fs WHERE snap_no = 3 AND status = 'ok') SELECT project, path, content_hash FROM n UNION ALL SELECT o.project, o.path, o.content_hash FROM fs o WHERE snap_no = 2 AND NOT EXISTS (SELECT 1 FROM n WHERE n.project = o.project AND n.path = o.path)")
 def w1_upsert_files(spark: SparkSession, d: str) -> DataFrame:
-    old = files_of(spark, d).select("project", "path", "size", "file_id")
-    new = old.where("file_id % 3 = 0").withColumn("size", F.coalesce("size", F.lit(0)) + 1)
-    return M.upsert(old, new, ["project", "path"]).select("project", "path", "size")
+    """The second snapshot's files with the third's put over them."""
+    return M.upsert(file_snapshot(spark, d, 2), file_snapshot(spark, d, 3).where("status = 'ok'"), ["project", "path"]).select("project", "path", "content_hash")
+
 
+_GONE = "g AS (SELECT a.project, a.path FROM fs a WHERE snap_no = 2 AND NOT EXISTS (SELECT 1 FROM fs b WHERE b.snap_no = 3 AND b.project = a.project AND b.path = a.path))"
 
-@query(f"WITH {S.FILES} SELECT s.id, s.project, s.file FROM symbols s WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.project = s.project AND f.path = s.file AND f.file_id % 5 = 0)")
+
+@query(f"WITH {_SNAPS}, {_GONE} SELECT project, file, chunk_index, chunk_hash FROM cs WHERE snap_no = 2 AND NOT EXISTS (SELECT 1 FROM g WHERE g.project = cs.project AND g.path = cs.file)")
 def w2_delete_cascade(spark: SparkSession, d: str) -> DataFrame:
-    return M.delete_cascade(table(spark, d, "symbols"), files_of(spark, d).where("file_id % 5 = 0")).select("id", "project", "file")
+    """Chunks of the second snapshot without those of files that the third no longer has."""
+    gone = file_snapshot(spark, d, 2).join(file_snapshot(spark, d, 3).select("project", "path"), ["project", "path"], "left_anti")
+    return M.delete_cascade(chunk_snapshot(spark, d, 2), gone)
+
 
+_MODIFIED = "m AS (SELECT a.project, a.path AS file FROM fs a JOIN fs b ON a.project = b.project AND a.path = b.path WHERE a.snap_no = 2 AND b.snap_no = 3 AND a.content_hash <> b.content_hash)"
 
-@query(f"WITH {S.FILES}, g AS (SELECT project, path FROM f WHERE file_id % 4 = 0) SELECT s.id, CASE WHEN g.path IS NULL THEN s.name ELSE upper(s.name) END AS name FROM symbols s LEFT JOIN g ON g.project = s.project AND g.path = s.file")
+
+@query(f"WITH {_SNAPS}, {_MODIFIED} SELECT project, file, chunk_index, chunk_hash FROM cs WHERE snap_no = 2 AND (project, file) NOT IN (SELECT (project, file) FROM m) UNION ALL SELECT project, file, chunk_index, chunk_hash FROM cs WHERE snap_no = 3 AND (project, file) IN (SELECT (project, file) FROM m)")
 def w3_replace_by_file(spark: SparkSession, d: str) -> DataFrame:
-    old = table(spark, d, "symbols").select("id", "project", "file", "name")
-    changed = files_of(spark, d).where("file_id % 4 = 0").select("project", F.col("path").alias("file"))
-    new = old.join(changed, ["project", "file"], "left_semi").withColumn("name", F.upper("name")).select("id", "project", "file", "name")
-    return M.replace_by_file(old, new, changed).select("id", "name")
+    """Chunks of the second snapshot, those of modified files replaced by the third's."""
+    was, now = file_snapshot(spark, d, 2), file_snapshot(spark, d, 3)
+    modified = was.join(now.select("project", "path", F.col("content_hash").alias("now")), ["project", "path"]).where("content_hash != now").select("project", F.col("path").alias("file"))
+    return M.replace_by_file(chunk_snapshot(spark, d, 2), chunk_snapshot(spark, d, 3).join(modified, ["project", "file"], "left_semi"), modified)
 
 
 @query(
-    f"""WITH {S.CHUNKS}, st AS (SELECT chunk_id AS id, chunk_hash, symbol FROM c WHERE chunk_id % 2 = 0), wa AS (SELECT chunk_id AS id, chunk_hash, symbol FROM c WHERE chunk_id % 3 = 0),
-same AS (SELECT st.id, st.id AS donor FROM st JOIN wa ON st.id = wa.id),
-s AS (SELECT *, row_number() OVER (PARTITION BY chunk_hash, symbol ORDER BY id) AS k FROM st WHERE id NOT IN (SELECT id FROM same)),
-w AS (SELECT *, row_number() OVER (PARTITION BY chunk_hash, symbol ORDER BY id) AS k FROM wa WHERE id NOT IN (SELECT id FROM same))
+    f"""WITH {_SNAPS}, p AS (SELECT snap_no, project || '|' || file || '|' || chunk_index AS id, max(chunk_hash) AS chunk_hash, file AS symbol FROM cs GROUP BY snap_no, project, file, chunk_index), st AS (SELECT * FROM p WHERE snap_no = 2), wa AS (SELECT * FROM p WHERE snap_no = 3),
+same AS (SELECT st.id, st.id AS donor FROM st JOIN wa ON st.id = wa.id AND st.chunk_hash = wa.chunk_hash AND st.symbol IS NOT DISTINCT FROM wa.symbol),
+s AS (SELECT *, row_number() OVER (PARTITION BY chunk_hash, symbol ORDER BY id) AS k FROM st WHERE id NOT IN (SELECT id FROM same)), w AS (SELECT *, row_number() OVER (PARTITION BY chunk_hash, symbol ORDER BY id) AS k FROM wa WHERE id NOT IN (SELECT id FROM same))
 SELECT id, donor FROM same UNION ALL SELECT w.id, s.id AS donor FROM w LEFT JOIN s ON w.chunk_hash = s.chunk_hash AND w.symbol IS NOT DISTINCT FROM s.symbol AND w.k = s.k"""
 )
 def w6_j13_reuse_vectors(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("project", "file", "chunk_index").orderBy("chunk_id")
-    c = table(spark, d, "chunks").withColumn("rn", F.row_number().over(w)).where("rn = 1").select(F.col("chunk_id").alias("id"), "chunk_hash", "symbol")
-    return M.reuse_vectors(c.where("id % 2 = 0"), c.where("id % 3 = 0"))
+    """Vectors of the second snapshot's chunks for the third's."""
+    point = lambda n: chunk_snapshot(spark, d, n).groupBy("project", "file", "chunk_index").agg(F.max("chunk_hash").alias("chunk_hash")).select(F.concat_ws("|", "project", "file", "chunk_index").alias("id"), "chunk_hash", F.col("file").alias("symbol"))
+    return M.reuse_vectors(point(2), point(3))
 
 
 @query("SELECT event_id, event_type, ts FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 20")
@@ -208,13 +233,13 @@ def w9_evict_cache(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {S.FILES}, k AS (SELECT project, path FROM f WHERE file_id % 7 <> 0),
-a AS (SELECT 'chunks' AS "table", project, file FROM chunks UNION ALL SELECT 'refs', project, file FROM refs UNION ALL SELECT 'symbols', project, file FROM symbols)
+    f"""WITH {_SNAPS}, k AS (SELECT project, path FROM fs WHERE snap_no = 1), a AS (SELECT 'chunks' AS "table", project, file FROM chunks UNION ALL SELECT 'refs', project, file FROM refs UNION ALL SELECT 'symbols', project, file FROM symbols)
 SELECT "table", project, file, count(*) AS rows FROM a WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.project = a.project AND k.path = a.file) GROUP BY ALL"""
 )
 def w10_j4_orphans(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of today's tables whose file the first snapshot did not have."""
     children = {n: table(spark, d, n).select("project", "file") for n in ("chunks", "refs", "symbols")}
-    return M.orphans(children, files_of(spark, d).where("file_id % 7 != 0"))
+    return M.orphans(children, file_snapshot(spark, d, 1))
 
 
 @query("SELECT event_type, count(*) AS calls, count(DISTINCT user_id) AS users, round(avg(value), 6) AS mean_value, round(sum(CASE WHEN value < 10 THEN 1 ELSE 0 END) / count(*), 6) AS low_share FROM events GROUP BY 1")
@@ -395,7 +420,7 @@ def o7_q8_skeleton(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {S.CHUNKS}, w AS (SELECT project, file, start_line, end_line FROM symbols WHERE id % 97 = 0),
+    f"""WITH {S.CHUNKS}, w AS (SELECT DISTINCT project, file, line AS start_line, line AS end_line FROM refs WHERE relationship = 'base_class'),
 i AS (SELECT *, CASE WHEN start_line > max(end_line) OVER (PARTITION BY project, file ORDER BY start_line, end_line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS new FROM w),
 g AS (SELECT *, sum(new) OVER (PARTITION BY project, file ORDER BY start_line, end_line ROWS UNBOUNDED PRECEDING) AS island FROM i),
 r AS (SELECT project, file, island, greatest(min(start_line) - 2, 1) AS a, max(end_line) + 2 AS b FROM g GROUP BY ALL)
@@ -404,7 +429,7 @@ SELECT DISTINCT r.project, r.file, r.a AS from_line, r.b AS to_line, c.chunk_id
 def q7_code_context(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("project", "file", "chunk_index").orderBy("chunk_id")
     c = table(spark, d, "chunks").select("project", "file", "chunk_index", "chunk_id", "start_line", "end_line").withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    wanted = table(spark, d, "symbols").where("id % 97 = 0").select("project", "file", "start_line", "end_line")
+    wanted = table(spark, d, "refs").where("relationship = 'base_class'").select("project", "file", F.col("line").alias("start_line"), F.col("line").alias("end_line")).distinct()
     return L.code_context(c, wanted, 2).select("project", "file", "from_line", "to_line", "chunk_id").distinct()
 
 
@@ -436,25 +461,29 @@ def a6_fan_in(spark: SparkSession, d: str) -> DataFrame:
     return R.fan_in(table(spark, d, "refs"), table(spark, d, "symbols"))
 
 
-_HUNKS = "SELECT project, path AS file, CAST(file_id % 40 + 1 AS INTEGER) AS a, CAST(file_id % 40 + 6 AS INTEGER) AS b FROM f WHERE file_id % 9 = 0"
+_HUNKS = "SELECT DISTINCT c.project, c.file, c.start_line AS a, c.end_line AS b FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM cs WHERE cs.snap_no = 2 AND cs.project = c.project AND cs.file = c.file AND cs.chunk_hash = c.chunk_hash)"
+
+
+def _hunks(spark: SparkSession, d: str) -> DataFrame:
+    """Line ranges of today's chunks that the second snapshot's file did not hold."""
+    now = table(spark, d, "chunks").select("project", "file", "chunk_hash", F.col("start_line").alias("from_line"), F.col("end_line").alias("to_line")).distinct()
+    return now.join(chunk_snapshot(spark, d, 2).select("project", "file", "chunk_hash"), ["project", "file", "chunk_hash"], "left_anti").drop("chunk_hash").distinct()
 
 
-@query(f"WITH {S.FILES}, h AS ({_HUNKS}) SELECT DISTINCT s.id, s.qualified_name FROM symbols s JOIN h ON h.project = s.project AND h.file = s.file AND s.start_line <= h.b AND s.end_line >= h.a")
+@query(f"WITH {_SNAPS}, h AS ({_HUNKS}) SELECT DISTINCT s.id, s.qualified_name FROM symbols s JOIN h ON h.project = s.project AND h.file = s.file AND s.start_line <= h.b AND s.end_line >= h.a")
 def j10_g8_changed_symbols(spark: SparkSession, d: str) -> DataFrame:
-    hunks = files_of(spark, d).where("file_id % 9 = 0").select("project", F.col("path").alias("file"), (F.col("file_id") % 40 + 1).cast("int").alias("from_line"), (F.col("file_id") % 40 + 6).cast("int").alias("to_line"))
-    return A.changed_symbols(table(spark, d, "symbols"), hunks).select("id", "qualified_name")
+    return A.changed_symbols(table(spark, d, "symbols"), _hunks(spark, d)).select("id", "qualified_name")
 
 
 @query(
-    f"""WITH {S.FILES}, h AS ({_HUNKS}), ch AS (SELECT DISTINCT s.project, s.name FROM symbols s JOIN h ON h.project = s.project AND h.file = s.file AND s.start_line <= h.b AND s.end_line >= h.a WHERE s.name IS NOT NULL),
+    f"""WITH {_SNAPS}, h AS ({_HUNKS}), ch AS (SELECT DISTINCT s.project, s.name FROM symbols s JOIN h ON h.project = s.project AND h.file = s.file AND s.start_line <= h.b AND s.end_line >= h.a WHERE s.name IS NOT NULL),
 st AS (SELECT *, row_number() OVER (PARTITION BY project, to_name ORDER BY file, line, relationship, from_symbol NULLS FIRST, receiver NULLS FIRST) AS n FROM refs WHERE relationship = 'call' AND (project, to_name) IN (SELECT (project, name) FROM ch)),
 k AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY to_name, n) AS k FROM st WHERE n <= 50)
 SELECT project, file, count(*) AS sites, count(DISTINCT to_name) AS names FROM k WHERE k <= 200 GROUP BY ALL"""
 )
 def a17_g9_impact(spark: SparkSession, d: str) -> DataFrame:
-    hunks = files_of(spark, d).where("file_id % 9 = 0").select("project", F.col("path").alias("file"), (F.col("file_id") % 40 + 1).cast("int").alias("from_line"), (F.col("file_id") % 40 + 6).cast("int").alias("to_line"))
     symbols = table(spark, d, "symbols")
-    changed = A.changed_symbols(symbols, hunks).join(symbols.select("id", "name"), "id").where("name IS NOT NULL")
+    changed = A.changed_symbols(symbols, _hunks(spark, d)).join(symbols.select("id", "name"), "id").where("name IS NOT NULL")
     return A.impact(changed, table(spark, d, "refs"))
 
 
@@ -615,14 +644,13 @@ def l2_l3_bm25(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES["l2_l3_bm25"] = l2_l3_bm25
 
-_TOKENS = "list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda x: x <> '')"
-
-
-@query(f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_TOKENS.format('text')}) AS term FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[A-Z_]')) GROUP BY 1")
+@query(
+    r"""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS t FROM documents), p AS (SELECT DISTINCT doc_id, unnest(list_filter(string_split(t, '_'), lambda x: x <> '')) AS p FROM w),
+q AS (SELECT doc_id, lower(p) AS term FROM p UNION SELECT doc_id, unnest(string_split(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(p, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '([A-Za-z])([0-9])', '\1 \2', 'g'), '([0-9])([A-Za-z])', '\1 \2', 'g')), ' ')) FROM p)
+SELECT term, count(DISTINCT doc_id) AS df FROM q GROUP BY 1"""
+)
 def a20_document_frequencies(spark: SparkSession, d: str) -> DataFrame:
-    """Over the texts without capitals and underscores, whose index terms are their plain words."""
-    docs = table(spark, d, "documents").where("text IS NOT NULL").where(~F.col("text").rlike("[A-Z_]"))
-    return X.document_frequencies(docs.select("doc_id", F.lower("text").alias("content")))
+    return X.document_frequencies(table(spark, d, "documents").select("doc_id", F.col("text").alias("content")))
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:

@@ -1,0 +1,197 @@
+"""A source tree as a DataFrame: a Python data source with one partition per top-level entry.
+
+Spark's own file sources skip names that begin with ``_`` or ``.``, which a source tree is full of; this one doesn't.
+Every walked file gives one row; what is not indexed has its reason in ``skipped`` and no content.
+"""
+
+from __future__ import annotations
+
+import codecs
+import hashlib
+import os
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from ..functions.paths import BINARY_EXTENSIONS, IGNORED_NAMES, SENSITIVE_CHARS, SENSITIVE_CONTENT, SENSITIVE_NAMES, SKIP_DIRS, python_matches
+
+SCHEMA = "path string, size bigint, mtime_ns bigint, inode bigint, content_hash string, content binary, skipped string"
+_CREDENTIAL = re.compile("|".join(f"(?:{p})" for p in SENSITIVE_CONTENT))
+
+
+class ScanBudgetExceeded(Exception):
+    """More entries than the budget allows: what the tree holds is unknown."""
+
+
+@dataclass(frozen=True)
+class Rule:
+    """One ignore pattern of the directory ``base`` (project-relative, empty for the root)."""
+
+    base: str
+    pattern: re.Pattern
+    include: bool
+    dirs_only: bool
+
+
+def compile_rule(line: str, base: str = "") -> Rule | None:
+    """A rule of an ignore file's line; None for blank lines and comments."""
+    text = line.rstrip("\n").rstrip()
+    if not text or text.startswith("#"):
+        return None
+    include = text.startswith("!")
+    text = text[1:] if include else text.removeprefix("\\")
+    dirs_only = text.endswith("/")
+    text = text.rstrip("/")
+    anchored = "/" in text
+    text = text.lstrip("/")
+    out, k = [], 0
+    while k < len(text):
+        if text.startswith("**/", k):
+            out.append("(?:.*/)?")
+            k += 3
+        elif text.startswith("**", k):
+            out.append(".*")
+            k += 2
+        else:
+            c = text[k]
+            out.append("[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c))
+            k += 1
+    return Rule(base, re.compile(("" if anchored else "(?:.*/)?") + "".join(out) + "$"), include, dirs_only)
+
+
+def ignored(path: str, is_dir: bool, rules: list[Rule]) -> bool:
+    """The last matching rule of the deepest directory decides; nothing inside a pruned directory comes back."""
+    verdict = False
+    for rule in rules:
+        if rule.dirs_only and not is_dir or rule.base and not path.startswith(rule.base + "/"):
+            continue
+        if rule.pattern.match(path[len(rule.base) + 1 :] if rule.base else path):
+            verdict = not rule.include
+    return verdict
+
+
+def load_rules(directory: str, base: str) -> list[Rule]:
+    rules = []
+    for name in (".gitignore", ".codeignore"):
+        try:
+            with open(os.path.join(directory, name), encoding="utf-8", errors="replace") as f:
+                rules += [r for r in (compile_rule(x, base) for x in f) if r]
+        except OSError:
+            continue
+    return rules
+
+
+def looks_binary(path: str, head: bytes) -> bool:
+    return path.endswith(BINARY_EXTENSIONS) or b"\0" in head[:8192]
+
+
+def looks_utf8(head: bytes, whole: bool) -> bool:
+    """Whether a sample decodes; a sequence cut by the sample's end is allowed unless the sample is the whole file."""
+    try:
+        codecs.getincrementaldecoder("utf-8")().decode(head[:4096], final=whole)
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+class _Part(InputPartition):
+    def __init__(self, name: str):
+        super().__init__(name)
+        self.name = name
+
+
+class TreeReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        options = {k.lower(): v for k, v in options.items()}
+        self.root = options["path"]
+        self.most = int(options.get("maxfilebytes", 1 << 20))
+        self.budget = int(options.get("maxentries", 200_000))
+
+    def partitions(self) -> list[InputPartition]:
+        return [_Part(n) for n in sorted(os.listdir(self.root)) if n not in SKIP_DIRS] or [_Part("")]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        if not partition.name:
+            return
+        rules = [r for r in (compile_rule(x) for x in IGNORED_NAMES) if r] + load_rules(self.root, "")
+        yield from self._walk(partition.name, rules, [0])
+
+    def _walk(self, rel: str, rules: list[Rule], seen: list[int]) -> Iterator[tuple]:
+        seen[0] += 1
+        if seen[0] > self.budget:
+            raise ScanBudgetExceeded(f"more than {self.budget} entries under {self.root}")
+        full = os.path.join(self.root, rel)
+        if os.path.isdir(full) and not os.path.islink(full):
+            if os.path.basename(rel) in SKIP_DIRS:
+                return
+            if ignored(rel, True, rules):
+                yield (rel, 0, 0, 0, None, None, "ignored-directory")
+                return
+            here = rules + load_rules(full, rel)
+            try:
+                names = sorted(os.listdir(full))
+            except OSError:
+                yield (rel, 0, 0, 0, None, None, "unreadable")
+                return
+            for name in names:
+                yield from self._walk(f"{rel}/{name}", here, seen)
+            return
+        yield self._file(rel, full, rules)
+
+    def _file(self, rel: str, full: str, rules: list[Rule]) -> tuple:
+        try:
+            stat = os.stat(full)
+        except OSError:
+            return (rel, 0, 0, 0, None, None, "unreadable")
+        facts = (rel, stat.st_size, stat.st_mtime_ns, stat.st_ino)
+        if not os.path.isfile(full):
+            return (*facts, None, None, "not-a-file")
+        if ignored(rel, False, rules):
+            return (*facts, None, None, "ignored")
+        if python_matches(rel, SENSITIVE_NAMES):
+            return (*facts, None, None, "sensitive")
+        if stat.st_size > self.most:
+            return (*facts, None, None, "oversized")
+        try:
+            with open(full, "rb") as f:
+                content = f.read()
+        except OSError:
+            return (*facts, None, None, "unreadable")
+        if looks_binary(rel, content):
+            return (*facts, None, None, "binary")
+        if not looks_utf8(content, len(content) <= 4096):
+            return (*facts, None, None, "non-utf8")
+        if _CREDENTIAL.search(content.decode("utf-8", "replace")[:SENSITIVE_CHARS]):
+            return (*facts, None, None, "sensitive")
+        return (*facts, hashlib.sha256(content).hexdigest(), content, None)
+
+
+class TreeSource(DataSource):
+    """``spark.read.format("codetree").option("path", root).load()``"""
+
+    @classmethod
+    def name(cls) -> str:
+        return "codetree"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> DataSourceReader:
+        return TreeReader(dict(self.options))
+
+
+def read_tree(spark: SparkSession, root: str, **options: int) -> DataFrame:
+    spark.dataSource.register(TreeSource)
+    reader = spark.read.format("codetree").option("path", root)
+    for k, v in options.items():
+        reader = reader.option(k, str(v))
+    return reader.load()
+
+
+def accounting(tree: DataFrame) -> DataFrame:
+    """Files by reason (``indexed`` without one) with up to 50 examples; the counts add up to what was walked."""
+    return tree.groupBy(F.coalesce("skipped", F.lit("indexed")).alias("reason")).agg(F.count(F.lit(1)).alias("files"), F.slice(F.sort_array(F.collect_list("path")), 1, 50).alias("examples"))
