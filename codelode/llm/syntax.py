@@ -137,7 +137,9 @@ def _python_error(code: str) -> str | None:
             if ":" not in bare:
                 return "statement"
             opened = bare.rstrip().endswith(":")
-        elif bare[-1] == ":" and bare.startswith(("match ", "case ")):
+        elif bare[-1] == ":":
+            if not bare.startswith(("match ", "match@", "case ", "case@")):
+                return "statement"
             opened = True
     if opened:
         return "premature_end"
@@ -154,6 +156,10 @@ def _python_error(code: str) -> str | None:
     return None
 
 
+#: First code that no text of the language begins with: markup, or a data document.
+_DATA_HEAD = {k: re.compile(r"\s*<" if k in ("python", "go") else r'\s*(?:<|\{\s*""\s*:)' if k in ("javascript", "typescript") else r"\s*[<{(]") for k in ("python", "javascript", "typescript", "go", "rust", "c", "csharp")}
+
+
 def syntax_error(text: str, language: str) -> str | None:
     """The first fault found: conflict_marker, unterminated, unbalanced, premature_end, foreign, statement; or None."""
     if language == "json":
@@ -172,7 +178,7 @@ def syntax_error(text: str, language: str) -> str | None:
         return "unterminated"
     if fault := bracket_error(code):
         return fault
-    if code.lstrip().startswith("<"):
+    if _DATA_HEAD[language].match(code):
         return "foreign"
     if language == "go" and not _GO_PACKAGE.match(code):
         return "foreign"
