@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 from ..common import Scratch
 
 #: Neighbours asked for, and length of the lists that NN-descent keeps.
-K, LIST = 5, 10
+K, LIST = 5, 8
 #: Trees of the first graph, nodes of a leaf that the fit aims at and that one block may hold, and the bounded sample.
 TREES, LEAF, BLOCK, SAMPLE = 4, 700, 2000, 20_000
-#: Rounds of NN-descent at most, neighbours and reverse neighbours compared in a round, and the share of changed edges that ends them.
-ROUNDS, JOINED, SETTLED = 4, 8, 0.002
+#: Rounds of NN-descent at most, neighbours and reverse neighbours compared in a round, and the share of changed
+#: edges among the k asked for that ends them.
+ROUNDS, JOINED, SETTLED = 4, 6, 0.005
 
 
 def usable(cache: DataFrame) -> DataFrame:
@@ -213,10 +214,10 @@ def _descend(nodes: DataFrame, graph: DataFrame, total: int, scratch: Scratch) -
         merged = _best(edges.select("a", "b", "s").unionByName(better), LIST)
         old = edges.select("a", "b", F.lit(False).alias("new"))
         marked = scratch.write(merged.join(old, ["a", "b"], "left").withColumn("new", F.coalesce("new", F.lit(True))), f"graph{n}")
-        updates = marked.where("new").count()
+        updates = marked.where(F.col("new") & (F.col("r") <= K)).count()
         scratch.drop(f"graph{n - 1}")
         fresh, edges = marked, marked.select("a", "b", "s", "r")
-        if updates <= SETTLED * total * LIST:
+        if updates <= SETTLED * total * K:
             break
     return edges
 
