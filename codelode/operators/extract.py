@@ -168,3 +168,97 @@ def declarations(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), kinds)], names=names)
 
     return texts.where("text IS NOT NULL").select("project", "file", "text").mapInArrow(run, ddl)
+
+
+def whole_texts(chunks: DataFrame) -> DataFrame:
+    """(project, file, text): each file's chunks in order, repeated rows once, joined by line feeds."""
+    once = chunks.where("project IS NOT NULL AND file IS NOT NULL AND chunk_index IS NOT NULL AND text IS NOT NULL").select("project", "file", F.struct("chunk_index", "text").alias("c"))
+    return once.groupBy("project", "file").agg(F.array_join(F.transform(F.array_sort(F.collect_set("c")), lambda x: x["text"]), "\n").alias("text"))
+
+
+def python_references(text: str) -> list[tuple[int, str | None, str, str, str | None]]:
+    """(line, enclosing declaration, name, relationship, receiver) of calls, base classes and imports of a Python text."""
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+    out: list[tuple[int, str | None, str, str, str | None]] = []
+    todo: list[tuple[ast.AST, str | None]] = [(n, None) for n in reversed(tree.body)]
+    while todo:
+        node, owner = todo.pop()
+        inner = owner
+        if isinstance(node, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef):
+            inner = f"{owner}.{node.name}" if owner else node.name
+            if isinstance(node, ast.ClassDef):
+                out += [(b.lineno, inner, *_named(b)[:1], "base_class", _named(b)[1]) for b in node.bases if _named(b)]
+        elif isinstance(node, ast.Call) and (n := _named(node.func)):
+            out.append((node.lineno, owner, n[0], "call", n[1]))
+        elif isinstance(node, ast.Import):
+            out += [(node.lineno, owner, a.name, "includes", None) for a in node.names]
+        elif isinstance(node, ast.ImportFrom):
+            out.append((node.lineno, owner, "." * node.level + (node.module or ""), "includes", None))
+        todo += [(n, inner) for n in reversed(list(ast.iter_child_nodes(node)))]
+    return list(dict.fromkeys(out))
+
+
+def _named(node: ast.AST) -> tuple[str, str | None] | None:
+    if isinstance(node, ast.Name):
+        return node.id, None
+    if isinstance(node, ast.Attribute):
+        return node.attr, node.value.id if isinstance(node.value, ast.Name) else None
+    return None
+
+
+def parsed_references(texts: DataFrame) -> DataFrame:
+    """References of Python texts (project, file, text)."""
+    ddl = "project string, file string, line int, from_symbol string, to_name string, relationship string, receiver string"
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [(p, f, *r) for p, f, t in zip(*[c.to_pylist() for c in b.columns]) for r in python_references(t)]
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), kinds)], names=[x.split()[0] for x in ddl.split(", ")])
+
+    return texts.where("text IS NOT NULL").select("project", "file", "text").mapInArrow(run, ddl)
+
+
+_HEAD = re.compile(r"^[ \t]*(?:export |default |async |pub(?:\(\w+\))? |static |public |private |internal |protected |abstract |override )*(?:(class|struct|enum|interface|namespace|trait|impl)\s+(\w+)|(?:function|func|fn)\s+(?:\([^)]*\)\s*)?(\w+)|[\w<>\[\],*&\s]+?[\s*](\w+)\s*\([^;{}]*\)[^;{}]*(?=\{|\n\s*\{))", re.M)
+_NO_NAME = frozenset("if for while switch catch return else do new await throw sizeof using lock".split())
+_BLANKED = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)'|`(?:[^`\\]|\\.)*`", re.S)
+
+
+def brace_declarations(text: str) -> list[tuple[str, str, str | None, int, int]]:
+    """Declarations of a brace language by heads and matching braces: a scanner, not a parser, so rows are ``regex`` ones."""
+    code = _BLANKED.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
+    out: list[tuple[str, str, str | None, int, int]] = []
+    open_: list[tuple[int, str]] = []
+    for m in _HEAD.finditer(code):
+        kind, name = ("class" if m.group(1) in ("impl", "trait") else m.group(1), m.group(2)) if m.group(1) else ("function", m.group(3) or m.group(4))
+        if not name or name in _NO_NAME:
+            continue
+        brace = code.find("{", m.end() - 1)
+        if brace < 0 or ";" in code[m.end() : brace]:
+            continue
+        depth, k = 0, brace
+        while k < len(code):
+            depth += (code[k] == "{") - (code[k] == "}")
+            if not depth:
+                break
+            k += 1
+        while open_ and open_[-1][0] < m.start():
+            open_.pop()
+        owner = open_[-1][1] if open_ else None
+        full = f"{owner}.{name}" if owner else name
+        start = code.count("\n", 0, m.start() + len(m.group()) - len(m.group().lstrip())) + 1
+        out.append((full, "method" if owner and kind == "function" else kind, owner, start, code.count("\n", 0, k) + 1))
+        open_.append((k, full))
+    return out
+
+
+def enclosing(refs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """References with the innermost declaration whose lines hold theirs: equality on the file, then containment."""
+    spans = symbols.select("project", "file", "id", "start_line", "end_line")
+    hit = refs.join(spans, ["project", "file"]).where((F.col("line") >= F.col("start_line")) & (F.col("line") <= F.col("end_line")))
+    key = [c for c in ("project", "file", "line", "to_name", "relationship")]
+    return hit.groupBy(*key).agg(F.max_by("id", F.struct("start_line", -F.col("end_line"), F.col("id"))).alias("enclosing_id"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..common import durable
+from ..functions.paths import class_weight
 from .lookup import reference_order
 
 
@@ -62,3 +63,48 @@ def call_edges(resolved_refs: DataFrame, symbols: DataFrame) -> DataFrame:
     targets = symbols.select(F.col("id").alias("target_id"), F.col("project").alias("tp"), F.col("file").alias("tf"))
     key = lambda p, f: F.concat_ws("\u0001", p, f)
     return resolved_refs.where("target_id IS NOT NULL").join(targets, "target_id").select(key("project", "file").alias("src"), key("tp", "tf").alias("dst")).where("src != dst").distinct()
+
+
+def callees(resolved_refs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(project, file, from_symbol, to_name, target_file, calls): what each declaration calls.
+
+    The called name is tied to a file only where exactly one file of the project defines it.
+    """
+    homes = symbols.where("name IS NOT NULL").groupBy("project", F.col("name").alias("to_name")).agg(F.count_distinct("file").alias("n"), F.min("file").alias("f"))
+    calls = resolved_refs.where("relationship = 'call'").groupBy("project", "file", "from_symbol", "to_name").agg(F.count(F.lit(1)).alias("calls"))
+    return calls.join(homes, ["project", "to_name"], "left").select("project", "file", "from_symbol", "to_name", F.when(F.col("n") == 1, F.col("f")).alias("target_file"), "calls")
+
+
+def dependencies(imports: DataFrame, project: str, start: str, direction: str, depth: int = 2, cap: int = 60) -> DataFrame:
+    """(level, file, position, refused) along resolved imports: ``out``, ``in`` or ``both``; ``cap`` counts the start."""
+    edges = imports.where((F.col("project") == project) & F.col("resolved_file").isNotNull() & (F.col("resolved_file") != F.col("file"))).select(F.col("file").alias("src"), F.col("resolved_file").alias("dst")).distinct()
+    if direction != "out":
+        back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        edges = back if direction == "in" else edges.unionByName(back).distinct()
+    edges = durable(edges)
+    spark = imports.sparkSession
+    seen = spark.createDataFrame([(0, start, 1, 0)], "level int, file string, position int, refused bigint")
+    frontier = seen.select("file")
+    for level in range(1, depth + 1):
+        step = edges.join(frontier.withColumnRenamed("file", "src"), "src").select(F.col("dst").alias("file")).distinct()
+        fresh = step.join(seen.select("file"), "file", "left_anti")
+        used = seen.count()
+        n = F.row_number().over(Window.orderBy(class_weight(F.col("file")), "file"))  # one project's files at most
+        ranked = fresh.withColumns({"n": n, "all": F.count(F.lit(1)).over(Window.partitionBy())})
+        room = max(0, cap - used)
+        shown = durable(ranked.where(F.col("n") <= room).select(F.lit(level).alias("level"), "file", (F.col("n") + used).cast("int").alias("position"), F.greatest(F.col("all") - room, F.lit(0)).cast("bigint").alias("refused")))
+        if shown.isEmpty():
+            break
+        seen, frontier = seen.unionByName(shown), shown.select("file")
+    return seen
+
+
+def importers(imports: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(project, name, importer): files that import a file which defines the name."""
+    homes = symbols.where("name IS NOT NULL").select("project", "name", F.col("file").alias("resolved_file")).distinct()
+    return imports.where("resolved_file IS NOT NULL").join(homes, ["project", "resolved_file"]).select("project", "name", F.col("file").alias("importer")).distinct()
+
+
+def render(nodes: list[tuple[int, str]]) -> str:
+    """Indented text of (level, label) nodes in order."""
+    return "\n".join("  " * level + label for level, label in nodes)

@@ -11,6 +11,7 @@ from ..common import durable, table
 from ..functions import paths as P
 from ..functions import text as T
 from ..operators import aggregates as A
+from ..operators import embed as B
 from ..operators import evaluate as V
 from ..operators import extract as E
 from ..operators import graph as G
@@ -82,7 +83,7 @@ def chunks_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"WITH {S.FILES} SELECT project, path, {S.class_weight('path')} AS weight, {S.file_class('path')} AS file_class FROM f")
-def p15_file_class(spark: SparkSession, d: str) -> DataFrame:  # noqa: D103
+def f15_file_class(spark: SparkSession, d: str) -> DataFrame:  # noqa: D103
     return files_of(spark, d).select("project", "path", P.class_weight(F.col("path")).alias("weight"), P.file_class(F.col("path")).alias("file_class"))
 
 
@@ -344,14 +345,10 @@ def _symbols(spark: SparkSession, d: str, f: L.SymbolFilter, limit: int) -> Data
 
 
 @query(_found(f"{S.FOLD.format('name')} = 'accept_anchor'", 50))
-def p1_o1_exact_name(spark: SparkSession, d: str) -> DataFrame:
+def o1_exact_name(spark: SparkSession, d: str) -> DataFrame:
     return _symbols(spark, d, L.SymbolFilter(name="ACCEPT_anchor"), 50)
 
 
-QUERIES["o1_exact_name"] = QUERIES.pop("p1_o1_exact_name")
-SQL["o1_exact_name"] = SQL.pop("p1_o1_exact_name")
-
-
 @query(_found(f"{S.FOLD.format('name')} LIKE '%to_en%'", 60))
 def lookup_substring(spark: SparkSession, d: str) -> DataFrame:
     return _symbols(spark, d, L.SymbolFilter(name="to_en", match="substring"), 60)
@@ -392,23 +389,23 @@ def o2_find_references(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"WITH {S.FILES} SELECT s.id, s.source, f.parse_verdict, CASE WHEN s.source = 'ast' AND f.parse_verdict = 'parsed' THEN 'ast' ELSE 'unknown' END AS evidence FROM symbols s LEFT JOIN f ON f.project = s.project AND f.path = s.file")
-def p13_j1_evidence(spark: SparkSession, d: str) -> DataFrame:
+def f13_j1_evidence(spark: SparkSession, d: str) -> DataFrame:
     return L.evidence(table(spark, d, "symbols"), files_of(spark, d)).select("id", "source", "parse_verdict", "evidence")
 
 
 @query("SELECT id, name, count(*) OVER (PARTITION BY project, name) AS candidates, count(*) OVER (PARTITION BY project, name) > 1 AS ambiguous FROM symbols WHERE name IS NOT NULL")
-def p14_candidates(spark: SparkSession, d: str) -> DataFrame:
+def f14_candidates(spark: SparkSession, d: str) -> DataFrame:
     per = table(spark, d, "symbols").where("name IS NOT NULL").groupBy("project", "name").agg(F.count(F.lit(1)).alias("candidates"))
     return table(spark, d, "symbols").join(per, ["project", "name"]).select("id", "name", "candidates", (F.col("candidates") > 1).alias("ambiguous"))
 
 
 @query(f"WITH {S.FILES} SELECT project, path, coalesce(language IN ('json', 'yaml', 'toml'), false) OR {S.ends('lower(path)', P.DATA_EXTENSIONS)} AS data FROM f")
-def p16_data_payload(spark: SparkSession, d: str) -> DataFrame:
+def f16_data_payload(spark: SparkSession, d: str) -> DataFrame:
     return files_of(spark, d).select("project", "path", P.is_data(F.col("path"), F.col("language")).alias("data"))
 
 
 @query("WITH c AS (SELECT DISTINCT chunk_id, file, symbol, text FROM chunks) SELECT chunk_id, coalesce(nullif(trim(symbol), ''), nullif(substr(trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1]), 1, 80), ''), file, 'file') AS label FROM c")
-def p18_hit_label(spark: SparkSession, d: str) -> DataFrame:
+def f18_hit_label(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "chunks").select("chunk_id", "file", "symbol", "text").distinct()
     first = F.left(F.trim(F.get(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), F.lit(0))), F.lit(80))
     return c.select("chunk_id", F.coalesce(F.nullif(F.trim("symbol"), F.lit("")), F.nullif(first, F.lit("")), F.col("file"), F.lit("file")).alias("label"))
@@ -781,3 +778,107 @@ SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, max(ts) + INTERVAL 1 HO
 )
 def t4_debounce(spark: SparkSession, d: str) -> DataFrame:
     return debounce.firings(table(spark, d, "events"), "user_id", "ts", 3600)
+
+
+# -- second inventory ----------------------------------------------------------------------------------------------
+
+
+@query(
+    r"""WITH c AS (SELECT DISTINCT project, file, start_line, text FROM chunks), l AS (SELECT project, file, start_line, string_split(text, chr(10)) AS ls FROM c), n AS (SELECT project, file, start_line + i - 1 AS line, ls[i] AS t FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM l)),
+m AS (SELECT *, coalesce(nullif(regexp_extract(t, '^(?:import|export|require|#include)\b.*[\"''<]([^\"''<>]+)[\"''>]', 1), ''), nullif(regexp_extract(t, '^(?:from|import|use|using)\s+([A-Za-z_.][\w.:]*)', 1), '')) AS raw_target FROM n WHERE regexp_matches(t, '^(from|import|use|using|export|require|#include)\b'))
+SELECT DISTINCT project, file, CAST(line AS INTEGER) AS line, raw_target FROM m WHERE raw_target IS NOT NULL"""
+)
+def x12_imports(spark: SparkSession, d: str) -> DataFrame:
+    return E.imports_of(table(spark, d, "chunks"))
+
+
+def x5_x7_declarations(spark: SparkSession, d: str) -> DataFrame:
+    """Parsed declarations and verdicts of the Python files."""
+    return E.declarations(E.whole_texts(table(spark, d, "chunks").where("file LIKE '%.py'")))
+
+
+def x10_parsed_references(spark: SparkSession, d: str) -> DataFrame:
+    return E.parsed_references(E.whole_texts(table(spark, d, "chunks").where("file LIKE '%.py'")))
+
+
+QUERIES |= {"x5_x7_declarations": x5_x7_declarations, "x10_parsed_references": x10_parsed_references}
+
+
+@query("SELECT r.project, r.file, r.line, r.to_name, r.relationship, arg_max(s.id, (s.start_line, -s.end_line, s.id)) AS enclosing_id FROM refs r JOIN symbols s ON s.project = r.project AND s.file = r.file AND r.line BETWEEN s.start_line AND s.end_line GROUP BY 1, 2, 3, 4, 5")
+def x10_j11_enclosing(spark: SparkSession, d: str) -> DataFrame:
+    return E.enclosing(table(spark, d, "refs"), table(spark, d, "symbols"))
+
+
+def x19_embedder(spark: SparkSession, d: str) -> DataFrame:
+    """Deterministic local embeddings of all documents, as float16 bytes."""
+    return B.embedded(table(spark, d, "documents"), "doc_id", B.hash_embedder(64))
+
+
+QUERIES["x19_embedder"] = x19_embedder
+
+
+@query("SELECT name, CASE WHEN starts_with(name, '_') THEN 'private' ELSE 'public' END AS seen_as, count(*) AS symbols FROM symbols WHERE language = 'python' AND name IS NOT NULL GROUP BY ALL")
+def x8_visibility(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "symbols").where("language = 'python' AND name IS NOT NULL")
+    return s.groupBy("name", E.visibility(F.col("name"), F.coalesce("signature", F.lit("")), F.col("language")).alias("seen_as")).agg(F.count(F.lit(1)).alias("symbols"))
+
+
+@query(f"WITH {S.RESOLVED}, hm AS (SELECT project, name, count(DISTINCT file) AS n, min(file) AS f FROM symbols WHERE name IS NOT NULL GROUP BY 1, 2) SELECT r.project, r.file, r.from_symbol, r.to_name, CASE WHEN hm.n = 1 THEN hm.f END AS target_file, count(*) AS calls FROM r LEFT JOIN hm ON hm.project = r.project AND hm.name = r.to_name WHERE relationship = 'call' GROUP BY ALL")
+def g3_callees(spark: SparkSession, d: str) -> DataFrame:
+    symbols = table(spark, d, "symbols")
+    return G.callees(table(spark, d, "refs"), symbols)
+
+
+def g4_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    """Two steps both ways from the file that most others of its project import."""
+    imports = durable(x14_resolved_imports(spark, d))
+    top = imports.where("resolved_file IS NOT NULL").groupBy("project", "resolved_file").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "project", "resolved_file").first()
+    return G.dependencies(imports, *(top["project"], top["resolved_file"]) if top else ("", ""), "both")
+
+
+def g5_j7_importers(spark: SparkSession, d: str) -> DataFrame:
+    return G.importers(x14_resolved_imports(spark, d), table(spark, d, "symbols"))
+
+
+QUERIES |= {"g4_dependencies": g4_dependencies, "g5_j7_importers": g5_j7_importers}
+
+
+@query("SELECT relationship, confidence, count(*) AS refs, count(DISTINCT to_name) AS names FROM refs WHERE relationship IN ('base_class') GROUP BY ALL")
+def f10_relationship_filter(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "refs").where(F.col("relationship").isin(*L.RELATIONSHIPS["inherits"]))
+    return r.groupBy("relationship", "confidence").agg(F.count(F.lit(1)).alias("refs"), F.count_distinct("to_name").alias("names"))
+
+
+@query(f"WITH {S.FILES} SELECT project, path FROM f WHERE path = 'src/core' OR starts_with(path, 'src/core/')")
+def f11_prefix_scope(spark: SparkSession, d: str) -> DataFrame:
+    return files_of(spark, d).where((F.col("path") == "src/core") | F.col("path").startswith("src/core/")).select("project", "path")
+
+
+@query(
+    """WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 6) AS score FROM embeddings, q WHERE label = 3)
+SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+)
+def f12_filtered_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The filter comes before the top-k, so that it never empties an answer."""
+    v = table(spark, d, "embeddings")
+    return X.nearest(v.where("label = 3"), v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5)
+
+
+@query(f"WITH {_POOL}, c AS (SELECT DISTINCT project, file, chunk_id, start_line, end_line FROM chunks), j AS (SELECT h.query_id, h.pos, min(c.chunk_id) AS chunk_id FROM h LEFT JOIN c ON c.project = h.project AND c.file = h.file AND h.start_line BETWEEN c.start_line AND c.end_line GROUP BY 1, 2) SELECT query_id, pos, chunk_id FROM j")
+def j8_hits_with_chunks(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "chunks").select("project", "file", "chunk_id", F.col("start_line").alias("a"), F.col("end_line").alias("b")).distinct()
+    h = _hits(spark, d)
+    hit = h.join(c, ["project", "file"]).where("start_line BETWEEN a AND b").groupBy("query_id", "pos").agg(F.min("chunk_id").alias("chunk_id"))
+    return h.select("query_id", "pos").join(hit, ["query_id", "pos"], "left")
+
+
+@query(f"WITH {S.FILES} SELECT project, count(*) AS files, count(*) FILTER (status <> 'ok') AS faulty, max(mtime_ns) AS newest, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(chunk_count) AS BIGINT) AS chunks FROM f GROUP BY 1")
+def q18_status(spark: SparkSession, d: str) -> DataFrame:
+    return files_of(spark, d).groupBy("project").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("status") != "ok").alias("faulty"), F.max("mtime_ns").alias("newest"), F.sum("size").alias("bytes"), F.sum("chunk_count").alias("chunks"))
+
+
+@query("SELECT project, file, line, relationship, to_name, receiver, from_symbol FROM (SELECT *, row_number() OVER (PARTITION BY project, to_name ORDER BY file, line, relationship, receiver NULLS FIRST, from_symbol NULLS FIRST) AS rn FROM refs) WHERE rn <= 3")
+def o3_o5_call_sites(spark: SparkSession, d: str) -> DataFrame:
+    """The first three sites of every name in store order."""
+    w = Window.partitionBy("project", "to_name").orderBy("file", "line", "relationship", "receiver", "from_symbol")
+    return table(spark, d, "refs").withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("project", "file", "line", "relationship", "to_name", "receiver", "from_symbol")
