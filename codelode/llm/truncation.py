@@ -30,7 +30,7 @@ WORDS, KNOWN = 1 << 20, 3
 #: A length is a limit if so many texts of a source have it and so many times the number at the lengths around.
 LIMIT_TEXTS, LIMIT_RATIO, LIMIT_LEAST = 4, 6.0, 120
 #: Cut texts score above it on held-out artificial cuts, intact ones with odd endings below.
-THRESHOLD = 0.35
+THRESHOLD = 0.28
 
 _MARK = re.compile(r"\s*(?:\[(?:\.\.\.|…|[^\]\n]{0,12}(?:cut|clip|trunc|more|snip|abbrev|abridg|omitted|gek|suite|continu|tronqu|recort)[^\]\n]{0,16})\]|\((?:\.\.\.|…|[^)\n]{0,12}(?:cut|clip|trunc|more|snip|continu|tronqu)[^)\n]{0,16})\)|<(?:cut|truncated|snip|more)[^>\n]{0,12}>|…|\.{3,})$", re.I)
 _HARD_MARK = re.compile(r"[\[(<]")
