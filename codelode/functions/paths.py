@@ -56,30 +56,40 @@ def top_directory(path: Column) -> Column:
 
 
 def in_dirs(path: Column, names: tuple[str, ...]) -> Column:
-    """Whether any directory of the path, in lower case, is one of ``names``."""
-    segments = F.split(F.lower(F.translate(path, "\\", "/")), "/")
-    return F.arrays_overlap(F.slice(segments, 1, F.greatest(F.size(segments) - 1, F.lit(0))), F.array(*[F.lit(n) for n in names]))
+    """Whether any directory of the path, in lower case, is one of ``names``: one compiled pattern, no splitting."""
+    escaped = "|".join("".join("\\" + c if c in r"\.^$|+(){}[]*?" else c for c in n) for n in names)
+    return F.lower(F.translate(path, "\\", "/")).rlike(f"(?:^|/)(?:{escaped})/")
 
 
 def ends_with(column: Column, suffixes: tuple[str, ...]) -> Column:
     return any_of([column.endswith(s) for s in suffixes])
 
 
-def file_class(path: Column, docs: tuple[str, ...] = (), examples: tuple[str, ...] = (), tests: tuple[str, ...] = ()) -> Column:
-    """source, examples, tests, docs or generated, by ordered rules; the arguments add directory names to a class."""
+def _class_rules(path: Column, docs: tuple[str, ...], examples: tuple[str, ...], tests: tuple[str, ...]) -> list[tuple[Column, str]]:
+    """(condition, class) in the order they are tried; source where none holds."""
     name = base(path)
     low = F.lower(name)
     dirs = F.lower(F.regexp_extract(F.translate(path, "\\", "/"), r"^(.*)/[^/]*$", 1))
     generated = in_dirs(path, GENERATED_DIRS) | low.isin(*LOCK_NAMES) | ends_with(low, GENERATED_SUFFIXES) | any_of([low.contains(m) for m in GENERATED_MARKERS])
     document = in_dirs(path, DOC_DIRS + docs) | ends_with(low, DOC_SUFFIXES) | low.isin(*DOC_NAMES)
     test = in_dirs(path, TEST_DIRS + tests) | dirs.rlike(r"\.tests?(/|$)") | name.isin(*TEST_NAMES) | any_of([name.startswith(p) for p in TEST_PREFIXES]) | ends_with(name, TEST_SUFFIXES) | ends_with(name, TEST_CAMEL_SUFFIXES)
-    return F.when(generated, "generated").when(document, "docs").when(test, "tests").when(in_dirs(path, EXAMPLE_DIRS + examples), "examples").otherwise("source")
+    return [(generated, "generated"), (document, "docs"), (test, "tests"), (in_dirs(path, EXAMPLE_DIRS + examples), "examples")]
+
+
+def file_class(path: Column, docs: tuple[str, ...] = (), examples: tuple[str, ...] = (), tests: tuple[str, ...] = ()) -> Column:
+    """source, examples, tests, docs or generated, by ordered rules; the arguments add directory names to a class."""
+    out = F
+    for condition, name in _class_rules(path, docs, examples, tests):
+        out = out.when(condition, name)
+    return out.otherwise("source")
 
 
 def class_weight(path: Column) -> Column:
-    """Sort position of the file class: 0 source, 1 examples, 2 tests, 3 docs, 4 generated."""
-    kind = file_class(path)
-    return F.when(kind == "source", 0).when(kind == "examples", 1).when(kind == "tests", 2).when(kind == "docs", 3).otherwise(4)
+    """Sort position of the file class: 0 source, 1 examples, 2 tests, 3 docs, 4 generated; each rule is tried once."""
+    out = F
+    for condition, name in _class_rules(path, (), (), ()):
+        out = out.when(condition, CLASSES.index(name))
+    return out.otherwise(0)
 
 
 def language(path: Column) -> Column:

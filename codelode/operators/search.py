@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..common import durable
 from ..functions.text import cosine, terms
 from .shaping import reciprocal_rank
 
@@ -49,11 +50,13 @@ def bm25(docs: DataFrame, query: str, limit: int, key: tuple[str, ...]) -> DataF
     if not phrases:
         return docs.select(*key).withColumn("score", F.lit(0.0)).limit(0)
     strings = docs.select(*key, *[term_string(F.col(c)).alias(f"t_{c}") for c in ("content", "symbol", "path")])
+    # Only lengths and counts go on: they are stored, so that the texts are read and tokenized once.
     counted = strings.select(
         *key,
         sum((F.length(f"t_{c}") - F.length(F.replace(F.col(f"t_{c}"), F.lit(" "), F.lit(""))) - 1 for c in ("content", "symbol", "path")), F.lit(0)).alias("len"),
         *[sum((_count(F.col(f"t_{c}"), p) * w for c, w in zip(("content", "symbol", "path"), WEIGHTS)), F.lit(0.0)).alias(f"f{k}") for k, p in enumerate(phrases)],
     )
+    counted = durable(counted)
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"), *[F.sum((F.col(f"f{k}") > 0).cast("int")).alias(f"df{k}") for k in range(len(phrases))])
     scored = counted.where(sum((F.col(f"f{k}") for k in range(len(phrases))), F.lit(0.0)) > 0).crossJoin(F.broadcast(stats))  # stats is one row
 
