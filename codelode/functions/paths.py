@@ -55,10 +55,14 @@ def top_directory(path: Column) -> Column:
     return F.when(path.contains("/"), F.split(path, "/")[0]).otherwise(".")
 
 
+def _either(names: tuple[str, ...]) -> str:
+    """A group of literal alternatives."""
+    return "(?:" + "|".join("".join("\\" + c if c in r"\.^$|+(){}[]*?" else c for c in n) for n in names) + ")"
+
+
 def in_dirs(path: Column, names: tuple[str, ...]) -> Column:
     """Whether any directory of the path, in lower case, is one of ``names``: one compiled pattern, no splitting."""
-    escaped = "|".join("".join("\\" + c if c in r"\.^$|+(){}[]*?" else c for c in n) for n in names)
-    return F.lower(F.translate(path, "\\", "/")).rlike(f"(?:^|/)(?:{escaped})/")
+    return F.lower(F.translate(path, "\\", "/")).rlike(f"(?:^|/){_either(names)}/")
 
 
 def ends_with(column: Column, suffixes: tuple[str, ...]) -> Column:
@@ -67,12 +71,12 @@ def ends_with(column: Column, suffixes: tuple[str, ...]) -> Column:
 
 def _class_rules(path: Column, docs: tuple[str, ...], examples: tuple[str, ...], tests: tuple[str, ...]) -> list[tuple[Column, str]]:
     """(condition, class) in the order they are tried; source where none holds."""
-    name = base(path)
-    low = F.lower(name)
-    dirs = F.lower(F.regexp_extract(F.translate(path, "\\", "/"), r"^(.*)/[^/]*$", 1))
-    generated = in_dirs(path, GENERATED_DIRS) | low.isin(*LOCK_NAMES) | ends_with(low, GENERATED_SUFFIXES) | any_of([low.contains(m) for m in GENERATED_MARKERS])
-    document = in_dirs(path, DOC_DIRS + docs) | ends_with(low, DOC_SUFFIXES) | low.isin(*DOC_NAMES)
-    test = in_dirs(path, TEST_DIRS + tests) | dirs.rlike(r"\.tests?(/|$)") | name.isin(*TEST_NAMES) | any_of([name.startswith(p) for p in TEST_PREFIXES]) | ends_with(name, TEST_SUFFIXES) | ends_with(name, TEST_CAMEL_SUFFIXES)
+    # One pattern per rule and spelling: conditional branches share no subexpressions, so each must be cheap by itself.
+    plain = F.translate(path, "\\", "/")
+    low = F.lower(plain)
+    generated = low.rlike(f"(?:^|/){_either(GENERATED_DIRS)}/|(?:^|/){_either(LOCK_NAMES)}$|{_either(GENERATED_SUFFIXES)}$|{_either(GENERATED_MARKERS)}[^/]*$")
+    document = low.rlike(f"(?:^|/){_either(DOC_DIRS + docs)}/|{_either(DOC_SUFFIXES)}$|(?:^|/){_either(DOC_NAMES)}$")
+    test = low.rlike(f"(?:^|/){_either(TEST_DIRS + tests)}/|\\.tests?/") | plain.rlike(f"(?:^|/)(?:{_either(TEST_NAMES)}$|{_either(TEST_PREFIXES)}[^/]*$)|{_either(TEST_SUFFIXES + TEST_CAMEL_SUFFIXES)}$")
     return [(generated, "generated"), (document, "docs"), (test, "tests"), (in_dirs(path, EXAMPLE_DIRS + examples), "examples")]
 
 
