@@ -75,21 +75,20 @@ def find_symbols(symbols: DataFrame, refs: DataFrame, f: SymbolFilter, limit: in
     """The first ``limit`` matches in symbol order, with the number of all matches beside each."""
     got = filtered(symbols, refs, f)
     top = got.orderBy(*symbol_order()).limit(limit)
-    return top.crossJoin(F.broadcast(got.agg(F.count(F.lit(1)).alias("match_count"))))
+    return top.withColumn("match_count", got.agg(F.count(F.lit(1))).scalar())
 
 
 def find_symbols_tiered(symbols: DataFrame, refs: DataFrame, name: str, limit: int = 25) -> DataFrame:
     """Exact matches; where there are none, substring matches."""
     wide = symbols.where(name_matches(F.col("name"), name, "substring")).withColumn("tier", F.when(name_matches(F.col("name"), name, "exact"), 0).otherwise(1))
-    best = F.broadcast(wide.agg(F.min("tier").alias("tier")))
-    return wide.join(best, "tier", "left_semi").orderBy(*symbol_order()).limit(limit)
+    return wide.where(F.col("tier") == wide.agg(F.min("tier")).scalar()).orderBy(*symbol_order()).limit(limit)
 
 
 def find_references(refs: DataFrame, name: str, relationship: str | None, limit: int) -> DataFrame:
     got = refs.where(F.col("to_name") == name)
     if relationship:
         got = got.where(F.col("relationship").isin(*RELATIONSHIPS[relationship]))
-    return got.orderBy(*reference_order()).limit(limit).crossJoin(F.broadcast(got.agg(F.count(F.lit(1)).alias("match_count"))))
+    return got.orderBy(*reference_order()).limit(limit).withColumn("match_count", got.agg(F.count(F.lit(1))).scalar())
 
 
 def skeleton(symbols: DataFrame, files: DataFrame, per_file: int) -> DataFrame:

@@ -6,7 +6,9 @@ aggregates and a top-k; where the same corpus is searched often, ``postings`` gi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..common import durable
-from ..functions.text import cosine, terms
+from ..functions.text import terms
 from .shaping import reciprocal_rank
 
 #: BM25 constants, column weights of content, symbol and path, and terms of a query that are used.
 K1, B, WEIGHTS, MOST_TERMS = 1.2, 0.75, (1.0, 8.0, 4.0), 12
+#: Queries that are sent to the tasks at once.
+QUERY_BLOCK = 20_000
 #: Least number of candidates fetched per answer.
 LEAST_FETCH = 24
 
@@ -58,12 +62,14 @@ def bm25(docs: DataFrame, query: str, limit: int, key: tuple[str, ...]) -> DataF
     )
     counted = durable(counted)
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"), *[F.sum((F.col(f"f{k}") > 0).cast("int")).alias(f"df{k}") for k in range(len(phrases))])
-    scored = counted.where(sum((F.col(f"f{k}") for k in range(len(phrases))), F.lit(0.0)) > 0).crossJoin(F.broadcast(stats))  # stats is one row
+    scored = counted.where(sum((F.col(f"f{k}") for k in range(len(phrases))), F.lit(0.0)) > 0)
+    row = stats.first()
 
     def part(k: int) -> Column:
-        idf = F.greatest(F.log((F.col("n") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5)), F.lit(1e-6))
+        df = row[f"df{k}"] or 0
+        idf = max(math.log((row["n"] - df + 0.5) / (df + 0.5)), 1e-6)
         tf = F.col(f"f{k}")
-        return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
+        return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / (row["avgdl"] or 1.0)))
 
     return scored.select(*key, F.round(sum((part(k) for k in range(len(phrases))), F.lit(0.0)), 6).alias("score")).orderBy(F.desc("score"), *key).limit(limit)
 
@@ -86,15 +92,16 @@ def lexical_hits(ranked: DataFrame, order: tuple[Column, ...]) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """(query_id, vec_id, score, rank): exact cosine top-k of a stated query set against all rows, in blocks.
 
-    Queries (query_id, embedding) are sent to the tasks if they are few (their size is checked), each block of rows is
-    multiplied with all of them, and only the best ``limit`` of each block and query go on. Other query sets take part
-    as a relation and are compared natively.
+    Queries (query_id, embedding) are sent to the tasks in blocks of bounded size, each block of rows is multiplied with
+    all of a block's queries, and only the best ``limit`` of each go on.
     """
-    rows = queries.select("query_id", "embedding").limit(20_001).collect()
-    if len(rows) > 20_000:
-        pairs = vectors.select("vec_id", "embedding").withColumnRenamed("embedding", "v").join(queries, F.lit(True))
-        scored = pairs.select("query_id", "vec_id", F.round(cosine(F.col("v"), F.col("embedding")), 6).alias("score"))
-        return _top(scored, limit)
+    n = queries.count()
+    if n > QUERY_BLOCK:
+        blocks = -(-n // (QUERY_BLOCK // 2))  # hash blocks differ in size
+        part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+        parts = [nearest(vectors, queries.where(part == k), limit) for k in range(blocks)]
+        return reduce(DataFrame.unionByName, parts)
+    rows = queries.select("query_id", "embedding").collect()
     if not rows:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, score double, rank int")
     ids = np.array([r["query_id"] for r in rows])
