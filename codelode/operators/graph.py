@@ -14,32 +14,50 @@ from ..functions.paths import class_weight
 from .lookup import reference_order
 
 
+#: What makes a call site one node.
+SITE = ["file", "line", "from_symbol", "relationship"]
+
+
+def _capped(found: DataFrame, level: int, used: int, cap: int) -> DataFrame:
+    """The rows of a level, numbered ``n`` of ``all``, that the cap leaves room for, each with the number ``refused``.
+
+    Where it leaves none, one row holds that number alone: its position and all else but the level are null.
+    """
+    room = max(0, cap - used)
+    numbers = {"level": F.lit(level), "position": (F.col("n") + used).cast("int"), "refused": F.greatest(F.col("all") - room, F.lit(0)).cast("bigint")}
+    shown = found.where(F.col("n") <= max(1, room)).withColumns(numbers).drop("n", "all")
+    return shown if room else shown.withColumns({c: F.lit(None).cast(t) for c, t in shown.dtypes if c not in ("level", "refused")})
+
+
 def callers(refs: DataFrame, symbols: DataFrame, project: str, name: str, depth: int = 2, cap: int = 40) -> DataFrame:
     """Call sites reaching ``name``: (level, file, line, from_symbol, relationship, target, position), roots at level 0.
 
     A node is a site; the next level asks for the enclosing symbol's name. Positions follow the frontier's order and
-    then the reference order; at most ``cap`` nodes are shown, roots included, and ``refused`` counts the others.
+    then the reference order; at most ``cap`` nodes are shown, roots included, and ``refused`` counts the others of the
+    level: on each of its rows, or on a row without a position if none is shown. A site is refused once.
     """
     refs = refs.where(F.col("project") == project)
     roots = symbols.where((F.col("project") == project) & (F.col("name") == name)).select("file", F.col("start_line").alias("line"), F.col("name").alias("from_symbol")).distinct()
-    order = Window.orderBy("file", "line")
-    seen = durable(roots.withColumn("position", F.row_number().over(order)).where(F.col("position") <= cap).select(F.lit(0).alias("level"), "file", "line", "from_symbol", F.lit("definition").alias("relationship"), F.lit(name).alias("target"), "position", F.lit(0).cast("bigint").alias("refused")))
-    frontier = seen.sparkSession.createDataFrame([(name, 0)], "to_name string, at int")
+    count = F.count(F.lit(1)).over(Window.partitionBy())
+    found = durable(roots.select("file", "line", "from_symbol", F.lit("definition").alias("relationship"), F.lit(name).alias("target"), F.row_number().over(Window.orderBy("file", "line")).alias("n"), count.alias("all")))
+    columns = ["level", *SITE, "target", "position", "refused"]
+    walked, seen = _capped(found, 0, 0, cap).select(columns), found.select(SITE)
+    used = min(found.count(), max(0, cap))
+    frontier = walked.sparkSession.createDataFrame([(name, 0)], "to_name string, at int")
     for level in range(1, depth + 1):
         edges = refs.join(F.broadcast(frontier), "to_name").select("file", "line", "from_symbol", "relationship", "to_name", "at", "project", "confidence", "receiver")
-        fresh = edges.join(seen.select("file", "line", F.col("from_symbol"), "relationship"), ["file", "line", "relationship"], "left_anti")
-        first = fresh.withColumn("k", F.row_number().over(Window.partitionBy("file", "line", "from_symbol", "relationship").orderBy("at", *reference_order()))).where("k = 1")
-        used = seen.count()
-        ranked = first.withColumns({"n": F.row_number().over(Window.orderBy("at", *reference_order())), "all": F.count(F.lit(1)).over(Window.partitionBy())})
-        room = max(0, cap - used)
-        shown = ranked.where(F.col("n") <= room).select(F.lit(level).alias("level"), "file", "line", "from_symbol", "relationship", F.col("to_name").alias("target"), (F.col("n") + used).cast("int").alias("position"), (F.col("all") - F.least(F.col("all"), F.lit(room))).alias("refused"))
-        shown = durable(shown)
-        if shown.isEmpty():
+        keys = seen.select([F.col(c).alias(f"seen_{c}") for c in SITE])
+        fresh = edges.join(keys, [edges[c].eqNullSafe(keys[f"seen_{c}"]) for c in SITE], "left_anti")
+        first = fresh.withColumn("k", F.row_number().over(Window.partitionBy(*SITE).orderBy("at", *reference_order()))).where("k = 1")
+        found = durable(first.withColumns({"n": F.row_number().over(Window.orderBy("at", *reference_order())), "all": count}).select(*SITE, F.col("to_name").alias("target"), "n", "all"))
+        shown = _capped(found, level, used, cap).select(columns)
+        walked, seen = walked.unionByName(shown), seen.unionByName(found.select(SITE))
+        taken = min(found.count(), max(0, cap - used))
+        if not taken:
             break
-        seen = seen.unionByName(shown)
-        asked = shown.where("from_symbol IS NOT NULL").groupBy(F.col("from_symbol").alias("to_name")).agg(F.min("position").alias("at"))
-        frontier = durable(asked)
-    return seen
+        used += taken
+        frontier = durable(shown.where("from_symbol IS NOT NULL").groupBy(F.col("from_symbol").alias("to_name")).agg(F.min("position").alias("at")))
+    return walked
 
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
@@ -76,27 +94,31 @@ def callees(resolved_refs: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def dependencies(imports: DataFrame, project: str, start: str, direction: str, depth: int = 2, cap: int = 60) -> DataFrame:
-    """(level, file, position, refused) along resolved imports: ``out``, ``in`` or ``both``; ``cap`` counts the start."""
+    """(level, file, position, refused) along resolved imports: ``out``, ``in`` or ``both``; ``cap`` counts the start.
+
+    ``refused`` counts the files of the level that the cap left out, as in ``callers``.
+    """
     edges = imports.where((F.col("project") == project) & F.col("resolved_file").isNotNull() & (F.col("resolved_file") != F.col("file"))).select(F.col("file").alias("src"), F.col("resolved_file").alias("dst")).distinct()
     if direction != "out":
         back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         edges = back if direction == "in" else edges.unionByName(back).distinct()
     edges = durable(edges)
     spark = imports.sparkSession
-    seen = spark.createDataFrame([(0, start, 1, 0)], "level int, file string, position int, refused bigint")
-    frontier = seen.select("file")
+    walked = spark.createDataFrame([(0, start, 1, 0)], "level int, file string, position int, refused bigint")
+    seen = frontier = walked.select("file")
+    used = 1
     for level in range(1, depth + 1):
         step = edges.join(frontier.withColumnRenamed("file", "src"), "src").select(F.col("dst").alias("file")).distinct()
-        fresh = step.join(seen.select("file"), "file", "left_anti")
-        used = seen.count()
+        fresh = step.join(seen, "file", "left_anti")
         n = F.row_number().over(Window.orderBy(class_weight(F.col("file")), "file"))  # one project's files at most
-        ranked = fresh.withColumns({"n": n, "all": F.count(F.lit(1)).over(Window.partitionBy())})
-        room = max(0, cap - used)
-        shown = durable(ranked.where(F.col("n") <= room).select(F.lit(level).alias("level"), "file", (F.col("n") + used).cast("int").alias("position"), F.greatest(F.col("all") - room, F.lit(0)).cast("bigint").alias("refused")))
-        if shown.isEmpty():
+        found = durable(fresh.withColumns({"n": n, "all": F.count(F.lit(1)).over(Window.partitionBy())}))
+        shown = _capped(found, level, used, cap).select("level", "file", "position", "refused")
+        walked, seen = walked.unionByName(shown), seen.unionByName(found.select("file"))
+        taken = min(found.count(), max(0, cap - used))
+        if not taken:
             break
-        seen, frontier = seen.unionByName(shown), shown.select("file")
-    return seen
+        used, frontier = used + taken, shown.select("file")
+    return walked
 
 
 def importers(imports: DataFrame, symbols: DataFrame) -> DataFrame:

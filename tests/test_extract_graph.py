@@ -42,6 +42,20 @@ def test_callers_levels_caps_and_cycles(spark):
     assert sorted(map(tuple, graph.reach(edges, spark.createDataFrame([("a",)], "node string"), 2).collect())) == [("a", 0), ("b", 1), ("c", 2)]
 
 
+def test_walks_count_what_a_used_up_cap_refuses(spark):
+    symbols = spark.createDataFrame([_sym(k, f"d{k}.py", "f") for k in range(5)], SYM)
+    refs = spark.createDataFrame([_ref("b.py", 2, "g", "f"), _ref("c.py", 2, "h", "f"), _ref("e.py", 2, "z", "g")], REF)
+    rows = graph.callers(refs, symbols, "p", "f", cap=3).collect()
+    assert sorted((r.level, r.file or "", r.position or 0, r.refused) for r in rows) == [(0, "d0.py", 1, 2), (0, "d1.py", 2, 2), (0, "d2.py", 3, 2), (1, "", 0, 2)]
+    rows = graph.callers(refs, symbols, "p", "f", cap=7).collect()
+    assert [(r.level, r.file, r.refused) for r in rows if r.level] == [(1, "b.py", 0), (1, "c.py", 0), (2, None, 1)]
+    imports = spark.createDataFrame([("p", "b", "a"), ("p", "c", "a"), ("p", "d", "b")], "project string, file string, resolved_file string")
+    walk = lambda cap: sorted((r.level, r.file or "", r.refused) for r in graph.dependencies(imports, "p", "a", "in", cap=cap).collect())
+    assert walk(1) == [(0, "a", 0), (1, "", 2)]
+    assert walk(2) == [(0, "a", 0), (1, "b", 1), (2, "", 1)]
+    assert walk(3) == [(0, "a", 0), (1, "b", 0), (1, "c", 0), (2, "", 1)]
+
+
 def test_symbol_filters(spark):
     symbols = spark.createDataFrame([_sym(1, "a.py", "LoadIt"), _sym(2, "tests/b.py", "loadit"), _sym(3, "c.py", "x_load", "method"), _sym(4, "d.py", None)], SYM)
     refs = spark.createDataFrame([_ref("c.py", 2, "x_load", "Go"), _ref("a.py", 2, None, "Go")], REF)
