@@ -78,7 +78,9 @@ def textual_references(chunks: DataFrame) -> DataFrame:
     """
     numbered = chunks.select("project", "file", "start_line", F.posexplode(F.split("text", "\n")).alias("i", "text")).select("project", "file", (F.col("start_line") + F.col("i")).alias("line"), F.trim(F.translate("text", "\t", " ")).alias("t"))
     code = numbered.where("t != ''").where(~F.col("t").rlike(r"^(#(?!include)|//|\*|--)"))
-    target = import_target(F.col("t"))
+    # A declaration that is exported, and prose that starts with "from" or "using", import nothing.
+    other = F.col("t").rlike(r"^export\b(?!.*\bfrom\s*[\"'])|^from\b(?!\s+[\w.]+\s+import\b)|^using\b(?!.*;)")
+    target = F.when(~other, import_target(F.col("t")))
     imports = code.where(target.isNotNull()).select("project", "file", "line", target.alias("to_name"), F.lit("includes").alias("relationship"))
     words = code.where(target.isNull()).select("project", "file", "line", F.explode(F.regexp_extract_all("t", F.lit(r"[A-Za-z_][A-Za-z0-9_]{2,}\(?"), F.lit(0))).alias("w"))
     names = words.select("project", "file", "line", F.rtrim(F.translate("w", "(", " ")).alias("to_name"), F.when(F.col("w").endswith("("), "call").otherwise("identifier").alias("relationship"))

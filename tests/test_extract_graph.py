@@ -6,7 +6,7 @@ import random
 import pytest
 
 from codelode.operators import extract, graph, lookup, maintain, resolve
-from codelode.plans import edits, governance
+from codelode.plans import core_queries, edits, governance
 from codelode.sources import readers, tree
 from codelode.streaming import debounce
 
@@ -89,6 +89,15 @@ def test_textual_references_and_imports(spark):
     assert resolved == {("src/m.py", "a/b.py"), ("ui/x.ts", "ui/lib/y/index.ts")}
 
 
+def test_textual_references_of_every_language_without_parser(spark, tmp_path):
+    texts = {"a.ts": 'export const kind = make("word");\nexport { x } from "./lib/y";', "b.go": "func Run() {\n\tload(item)\n}", "c.md": "from the list(s)\nusing tokens", "d.json": '{"name": 1}', "e.js": "run(it);", "f.yaml": "key: val", "g.py": "call(me)", "h.rs": "use a::b;"}
+    spark.createDataFrame([("p", f, 1, t) for f, t in texts.items()], "project string, file string, start_line int, text string").write.parquet(str(tmp_path / "chunks.parquet"))
+    got = {(r.file, r.relationship): r.refs for r in core_queries.x12_x13_textual_references(spark, str(tmp_path)).collect()}
+    assert {f for f, _ in got} == set(texts) - {"g.py"}
+    assert got[("a.ts", "includes")] == got[("a.ts", "call")] == 1 and got[("a.ts", "identifier")] == 4  # export, const, kind, word
+    assert got[("b.go", "call")] == 2 and got[("c.md", "call")] == 1 and got[("c.md", "identifier")] == 4 and got[("h.rs", "includes")] == 1
+
+
 def test_python_declarations(spark):
     text = "@d\nclass A:\n    def m(self):\n        def inner(): pass\n\ndef f():\n    return 1\n"
     assert extract.python_declarations(text) == [("A", "class", None, 1, 4), ("A.m", "method", "A", 3, 4), ("A.m.inner", "function", "A.m", 4, 4), ("f", "function", None, 6, 7)]
