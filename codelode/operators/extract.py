@@ -155,16 +155,23 @@ def python_declarations(text: str) -> list[tuple[str, str, str | None, int, int]
 
 
 def declarations(texts: DataFrame) -> DataFrame:
-    """Parsed declarations of Python texts (project, file, text), with the verdict parsed or parse_error per file."""
-    ddl = "project string, file string, verdict string, qualified_name string, symbol_type string, container string, start_line int, end_line int"
-    kinds = [pa.string()] * 6 + [pa.int32()] * 2
+    """Declarations of texts (project, file, text), with a verdict per file, also where nothing is declared.
+
+    Python is parsed (source ``ast``, verdict parsed or parse_error). No other language has a parser here: the verdict is
+    parse_unavailable, and declarations of brace languages come from a scanner (source ``regex``).
+    """
+    ddl = "project string, file string, verdict string, source string, qualified_name string, symbol_type string, container string, start_line int, end_line int"
+    kinds = [pa.string()] * 7 + [pa.int32()] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got: list[tuple] = []
             for project, file, text in zip(*[c.to_pylist() for c in b.columns]):
-                found = python_declarations(text)
-                got += [(project, file, "parse_error", *[None] * 5)] if found is None else [(project, file, "parsed", n, k, o, s, e) for n, k, o, s, e in found] or [(project, file, "parsed", *[None] * 5)]
+                ext = file.rpartition(".")[2].lower()
+                python = ext == "py"
+                found = python_declarations(text) if python else brace_declarations(text, ext) if ext in BRACED else []
+                verdict = "parse_unavailable" if not python else "parse_error" if found is None else "parsed"
+                got += [(project, file, verdict, "ast" if python else "regex", *row) for row in found or []] or [(project, file, verdict, *[None] * 6)]
             if got:
                 names = [x.split()[0] for x in ddl.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), kinds)], names=names)
@@ -225,36 +232,73 @@ def parsed_references(texts: DataFrame) -> DataFrame:
     return texts.where("text IS NOT NULL").select("project", "file", "text").mapInArrow(run, ddl)
 
 
-_HEAD = re.compile(r"^[ \t]*(?:export |default |async |pub(?:\(\w+\))? |static |public |private |internal |protected |abstract |override )*(?:(class|struct|enum|interface|namespace|trait|impl)\s+(\w+)|(?:function|func|fn)\s+(?:\([^)]*\)\s*)?(\w+)|[\w<>\[\],*&\s]+?[\s*](\w+)\s*\([^;{}]*\)[^;{}]*(?=\{|\n\s*\{))", re.M)
-_NO_NAME = frozenset("if for while switch catch return else do new await throw sizeof using lock".split())
+#: Extensions of the languages whose declarations end with a brace; single quotes hold texts in some of them.
+BRACED = frozenset("c cc cpp cs cts go h hpp java js jsx mjs mts rs ts tsx".split())
+_SCRIPT = frozenset("cts js jsx mjs mts ts tsx".split())
+_MODIFIERS = r"[ \t]*(?:(?:export|default|declare|async|pub(?:\([\w: ]+\))?|static|public|private|internal|protected|abstract|override|sealed|partial|readonly|virtual|inline|final|const|unsafe|extern|typedef)[ \t]+)*"
+_TYPE_HEAD = re.compile(_MODIFIERS + r"(?:(class|struct|enum|interface|namespace|trait)\s+(?:class\s+)?(\w+)|impl(?:<[^{};]*?>)?\s+(?:[^{};\n]*?\sfor\s+)?(?:\w+::)*(\w+)|type\s+(\w+)(?:\[[^\]\n]*\])?\s+(struct|interface)\b)")
+_NAMED_HEAD = re.compile(_MODIFIERS + r"(?:function\s*\*?|func|fn)\s+(?:\([^)]*\)\s*)?(\w+)[^;{}()]*\(")
+_TYPED_HEAD = re.compile(r"([\w<>\[\],.*&? \t]+?)(?:(?<=[ \t*&])|\n)(\w+)[ \t]*(?:<[\w, \t]*>)?\s*\(")
+_AFTER_ARGUMENTS = re.compile(r"\s*(?:(?::|where\b|const\b|noexcept\b|override\b|throws\b)[^;{}]*)?")
+_NO_NAME = frozenset("if for foreach while switch catch return else elif do new await throw sizeof using lock fixed synchronized".split())
+_NO_TYPE = _NO_NAME | frozenset("assert case def defer go import in match package with yield".split())
 _BLANKED = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)'|`(?:[^`\\]|\\.)*`", re.S)
+_BLANKED_SCRIPT = re.compile(_BLANKED.pattern.replace(r"\\.)'", r"\\.)*'"), re.S)
+
+
+def _pairs(code: str) -> dict[int, int]:
+    """Where each opening brace or parenthesis is closed: by its own kind, at the end of the text if nowhere."""
+    closed: dict[int, int] = {}
+    open_: dict[str, list[int]] = {"{": [], "(": []}
+    for m in re.finditer(r"[{}()]", code):
+        if m.group() in open_:
+            open_[m.group()].append(m.start())
+        elif stack := open_["{" if m.group() == "}" else "("]:
+            closed[stack.pop()] = m.start()
+    return closed
+
+
+def _head(code: str, at: int, pairs: dict[int, int], ext: str) -> tuple[str, str, int] | None:
+    """(kind, name, opening brace) of the declaration whose head begins on the line at ``at``."""
+    if m := _TYPE_HEAD.match(code, at):
+        kind, name = (m.group(5) or m.group(1) or "class").replace("trait", "class"), m.group(2) or m.group(3) or m.group(4)
+        brace = code.find("{", m.end())
+        if brace >= 0 and not re.search(r"[;=()]" if kind in ("struct", "enum") else ";", code[m.end() : brace]):
+            return kind, name, brace
+    m, named = _NAMED_HEAD.match(code, at), True
+    if not m and ext not in ("go", "rs"):
+        m, named = _TYPED_HEAD.match(code, at), False
+        words = re.findall(r"\w+", m.group(1)) if m else []
+        if m and (m.group(2) in _NO_NAME or (words and (words[0] in _NO_TYPE or words[-1] in _NO_TYPE)) or (not words and "\n" in m.group())):
+            m = None
+    if not m or (end := pairs.get(m.end() - 1)) is None:
+        return None
+    brace = code.find("{", end)
+    between = code[end + 1 : brace]
+    if brace < 0 or ";" in between or (not named and not _AFTER_ARGUMENTS.fullmatch(between)):
+        return None
+    return "function", m.group(1 if named else 2), brace
 
 
-def brace_declarations(text: str) -> list[tuple[str, str, str | None, int, int]]:
+def brace_declarations(text: str, ext: str = "") -> list[tuple[str, str, str | None, int, int]]:
     """Declarations of a brace language by heads and matching braces: a scanner, not a parser, so rows are ``regex`` ones."""
-    code = _BLANKED.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
+    code = (_BLANKED_SCRIPT if ext in _SCRIPT else _BLANKED).sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
+    pairs = _pairs(code)
     out: list[tuple[str, str, str | None, int, int]] = []
     open_: list[tuple[int, str]] = []
-    for m in _HEAD.finditer(code):
-        kind, name = ("class" if m.group(1) in ("impl", "trait") else m.group(1), m.group(2)) if m.group(1) else ("function", m.group(3) or m.group(4))
-        if not name or name in _NO_NAME:
-            continue
-        brace = code.find("{", m.end() - 1)
-        if brace < 0 or ";" in code[m.end() : brace]:
-            continue
-        depth, k = 0, brace
-        while k < len(code):
-            depth += (code[k] == "{") - (code[k] == "}")
-            if not depth:
-                break
-            k += 1
-        while open_ and open_[-1][0] < m.start():
-            open_.pop()
-        owner = open_[-1][1] if open_ else None
-        full = f"{owner}.{name}" if owner else name
-        start = code.count("\n", 0, m.start() + len(m.group()) - len(m.group().lstrip())) + 1
-        out.append((full, "method" if owner and kind == "function" else kind, owner, start, code.count("\n", 0, k) + 1))
-        open_.append((k, full))
+    at, line, after = 0, 1, -1
+    for row in code.split("\n"):
+        found = _head(code, at, pairs, ext) if at > after and row.strip() else None
+        if found:
+            kind, name, after = found
+            end = pairs.get(after, len(code))
+            while open_ and open_[-1][0] < at:
+                open_.pop()
+            owner = open_[-1][1] if open_ else None
+            full = f"{owner}.{name}" if owner else name
+            out.append((full, "method" if owner and kind == "function" else kind, owner, line, line + code.count("\n", at, end)))
+            open_.append((end, full))
+        at, line = at + len(row) + 1, line + 1
     return out
 
 

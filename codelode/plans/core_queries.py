@@ -793,8 +793,8 @@ def x12_imports(spark: SparkSession, d: str) -> DataFrame:
 
 
 def x5_x7_declarations(spark: SparkSession, d: str) -> DataFrame:
-    """Parsed declarations and verdicts of the Python files."""
-    return E.declarations(E.whole_texts(table(spark, d, "chunks").where("file LIKE '%.py'")))
+    """Declarations and verdicts of all files."""
+    return E.declarations(E.whole_texts(table(spark, d, "chunks")))
 
 
 def x10_parsed_references(spark: SparkSession, d: str) -> DataFrame:

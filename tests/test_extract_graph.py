@@ -105,6 +105,32 @@ def test_python_declarations(spark):
     assert sorted((r.file, r.verdict) for r in extract.declarations(df).collect()) == [("a.py", "parse_error"), ("b.py", "parsed")]
 
 
+def test_declarations_of_every_language(spark, tmp_path):
+    texts = {
+        "a.py": "def f(): pass", "b.md": "# f(x) {", "c.json": "{}",
+        "a.go": "package p\n\nimport (\n\t\"x/y\"\n)\n\ntype T struct {\n}\n\nfunc (t *T) Go(v interface{}) error {\n\tdefer done(v)\n\tif v {\n\t}\n}",
+        "a.rs": "impl Show for T {\n    fn go<'a>(x: &'a str) -> u8 {\n        match look(x) {\n        }\n        for y in all(x) {\n        }\n    }\n}",
+        "a.cs": "public sealed class C\n{\n    public C(int x) : base(x)\n    {\n        foreach (var y in Read(x))\n        {\n        }\n    }\n}",
+        "a.c": "struct s {\n};\nstruct s *make(int x)\n{\n}\nstruct s one = { 1 };",
+        "a.js": "class A {\n  run({ a, b }) {\n    if (a) { say('}'); }\n  }\n}",
+        "a.ts": "export interface I {\n}\nexport function f(x: { y: number }): number {\n}",
+    }
+    spark.createDataFrame([("p", f, 0, t) for f, t in texts.items()], "project string, file string, chunk_index int, text string").write.parquet(str(tmp_path / "chunks.parquet"))
+    rows = core_queries.x5_x7_declarations(spark, str(tmp_path)).collect()
+    assert {r.file: r.verdict for r in rows} == {f: "parsed" if f == "a.py" else "parse_unavailable" for f in texts}
+    assert {r.source for r in rows if r.file != "a.py" and r.qualified_name} == {"regex"}
+    got = {f: sorted((r.start_line, r.end_line, r.qualified_name, r.symbol_type) for r in rows if r.file == f and r.source) for f in texts}
+    assert got == {
+        "a.py": [(1, 1, "f", "function")], "b.md": [], "c.json": [],
+        "a.go": [(7, 8, "T", "struct"), (10, 14, "Go", "function")],
+        "a.rs": [(1, 8, "T", "class"), (2, 7, "T.go", "method")],
+        "a.cs": [(1, 9, "C", "class"), (3, 8, "C.C", "method")],
+        "a.c": [(1, 2, "s", "struct"), (3, 5, "make", "function")],
+        "a.js": [(1, 5, "A", "class"), (2, 4, "A.run", "method")],
+        "a.ts": [(1, 2, "I", "interface"), (3, 4, "f", "function")],
+    }
+
+
 def test_tree_changes_and_reuse(spark):
     f = "project string, path string, content_hash string, status string"
     old = spark.createDataFrame([("p", "a", "1", "ok"), ("p", "b", "1", "ok"), ("p", "c", "1", "ok"), ("p", "d", "1", "ok")], f)
