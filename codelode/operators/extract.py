@@ -101,22 +101,90 @@ def imports_of(chunks: DataFrame) -> DataFrame:
     return got.where("raw_target IS NOT NULL").select("project", "file", (F.col("start_line") + F.col("i")).alias("line"), "raw_target").distinct()
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+_GO_GROUP = re.compile(r"^import\s*\(", re.M)
+_GO_TOKEN = re.compile(r"//[^\n]*|/\*.*?\*/|\"([^\"\n]*)\"|`([^`]*)`|(\))", re.S)
+
+
+def go_group_targets(chunks: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """(line, path) inside the ``import ( … )`` groups of a Go file's (start line, text) chunks, which may overlap."""
+    rows: dict[int, str] = {}
+    for start, text in chunks:
+        for line, row in enumerate(text.split("\n"), start):
+            rows.setdefault(line, row)
+    numbers = sorted(rows)
+    text = "\n".join(rows[k] for k in numbers)
+    out: list[tuple[int, str]] = []
+    for group in _GO_GROUP.finditer(text):
+        for m in _GO_TOKEN.finditer(text, group.end()):
+            if m.group(3):
+                break
+            if path := m.group(1) or m.group(2):
+                out.append((numbers[text.count("\n", 0, m.start())], path))
+    return out
+
+
+def grouped_imports(chunks: DataFrame) -> DataFrame:
+    """(project, file, line, raw_target): the paths inside Go import groups, read per file as a group may span chunks."""
+    ddl = "project string, file string, line int, raw_target string"
+    mine = chunks.where("file LIKE '%.go' AND project IS NOT NULL AND start_line IS NOT NULL AND text IS NOT NULL")
+    files = mine.groupBy("project", "file").agg(F.array_sort(F.collect_set(F.struct("start_line", "text"))).alias("c")).where(F.exists("c", lambda x: x["text"].rlike(r"(?m)^import\s*\(")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [(p, f, *r) for p, f, c in zip(*[x.to_pylist() for x in b.columns]) for r in go_group_targets([(x["start_line"], x["text"]) for x in c])]
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), [pa.string(), pa.string(), pa.int32(), pa.string()])], names=[x.split()[0] for x in ddl.split(", ")])
+
+    return files.select("project", "file", "c").mapInArrow(run, ddl)
+
+
+def go_modules(chunks: DataFrame) -> DataFrame:
+    """(project, module) by the ``go.mod`` in a project's root."""
+    rows = chunks.where("file = 'go.mod'").select("project", F.explode(F.split("text", "\n")).alias("t"))
+    module = F.regexp_extract("t", r"^module\s+\"?([^\s\"]+)", 1)
+    return rows.where(module != "").groupBy("project").agg(F.min(module).alias("module"))
+
+
+def _parts(path: Column) -> Column:
+    """The parts of a path without ``.`` and ``..``; null if it leaves the root."""
+    none = F.lit(None).cast("array<string>")
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.when(F.size(done) > 0, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(none)
+        return F.when(part.isin("", "."), done).when(part == "..", up).otherwise(F.concat(done, F.array(part)))
+
+    return F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame, modules: DataFrame | None = None) -> DataFrame:
     """Imports with ``resolved_file``: the first candidate path that the project has, or null.
 
-    Candidates go by language: package paths with and without ``src/``, ``__init__``; relative modules with extensions
-    and index files; quoted headers beside the file and from the root.
+    Candidates go by language: package paths with and without ``src/``, ``__init__``, leading dots counted from the
+    file's package; relative modules with extensions and index files; quoted headers beside the file and from the root;
+    the first file, tests aside, of a Go package's directory, its path taken without the project's module (project,
+    module) in ``modules``.
     """
     here = F.regexp_replace("file", r"[^/]*$", "")
+    target = F.col("raw_target")
+    path = lambda p: F.array_join(_parts(p), "/")
     dotted = F.regexp_replace("raw_target", r"\.", "/")
-    relative = F.concat(here, F.regexp_replace("raw_target", r"^\./", ""))
-    python = F.array(*[F.concat(p, dotted, s) for p in (F.lit(""), F.lit("src/"), here) for s in (F.lit(".py"), F.lit("/__init__.py"))])
-    script = F.array(*[F.concat(relative, F.lit(s)) for s in ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.js")])
-    header = F.array(relative, F.col("raw_target"))
+    dots = F.length(F.regexp_extract("raw_target", r"^\.*", 0))
+    module = _parts(F.concat(here, F.repeat(F.lit("../"), F.greatest(dots - 1, F.lit(0))), F.regexp_replace(F.regexp_replace("raw_target", r"^\.+", ""), r"\.", "/")))
+    inner = F.array(F.concat(F.array_join(module, "/"), F.lit(".py")), F.array_join(F.concat(module, F.array(F.lit("__init__.py"))), "/"))
+    python = F.when(dots > 0, inner).otherwise(F.array(*[F.concat(p, dotted, s) for p in (F.lit(""), F.lit("src/"), here) for s in (F.lit(".py"), F.lit("/__init__.py"))]))
+    relative = path(F.concat(here, target))
+    script = F.array(*[F.concat(relative, F.lit(s)) for s in ("", ".ts", ".tsx", ".js", ".jsx")], *[path(F.concat(here, target, F.lit(s))) for s in ("/index.ts", "/index.tsx", "/index.js", "/index.jsx")])
+    header = F.array(relative, path(target))
+    package = F.when(target == F.col("module"), "").when(target.startswith(F.concat("module", F.lit("/"))), F.expr("substring(raw_target, length(module) + 2)")).otherwise(target)
+    go = F.array(F.concat(path(package), F.lit("/")), F.concat(path(package), F.lit(".go")))
     ext = F.regexp_extract("file", r"\.([^./]+)$", 1)
-    paths = F.when(ext == "py", python).when(ext.isin("js", "ts", "jsx", "tsx"), script).when(ext.isin("c", "h", "cpp"), header).otherwise(F.array().cast("array<string>"))
-    tried = imports.select("*", F.posexplode(paths).alias("priority", "path")).join(files.select("project", "path"), ["project", "path"])
-    best = tried.groupBy("project", "file", "line", "raw_target").agg(F.min_by("path", "priority").alias("resolved_file"))
+    paths = F.when(ext == "py", python).when(ext.isin("js", "ts", "jsx", "tsx"), script).when(ext.isin("c", "h", "cpp"), header).when(ext == "go", go).otherwise(F.array().cast("array<string>"))
+    known = imports.join(modules, "project", "left") if modules is not None else imports.withColumn("module", F.lit(None).cast("string"))
+    # A directory ends with a slash and stands for its first Go file.
+    packages = files.where(r"path LIKE '%.go' AND path NOT LIKE '%\_test.go'").groupBy("project", F.concat(F.regexp_replace("path", r"/?[^/]*$", ""), F.lit("/")).alias("path")).agg(F.min("path").alias("found"))
+    homes = files.select("project", "path", F.col("path").alias("found")).unionByName(packages)
+    tried = known.select("*", F.posexplode(paths).alias("priority", "path")).join(homes, ["project", "path"])
+    best = tried.groupBy("project", "file", "line", "raw_target").agg(F.min_by("found", "priority").alias("resolved_file"))
     return imports.join(best, ["project", "file", "line", "raw_target"], "left")
 
 

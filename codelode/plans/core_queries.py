@@ -292,7 +292,10 @@ QUERIES["x12_x13_textual_references"] = x12_x13_textual_references
 
 
 def x14_resolved_imports(spark: SparkSession, d: str) -> DataFrame:
-    return E.resolve_imports(E.imports_of(table(spark, d, "chunks")), files_of(spark, d))
+    """Import lines and the paths of Go import groups with the files they mean."""
+    chunks = table(spark, d, "chunks")
+    imports = E.imports_of(chunks).unionByName(E.grouped_imports(chunks)).distinct()
+    return E.resolve_imports(imports, files_of(spark, d), E.go_modules(chunks))
 
 
 QUERIES["x14_resolved_imports"] = x14_resolved_imports

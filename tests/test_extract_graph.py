@@ -98,6 +98,22 @@ def test_textual_references_of_every_language_without_parser(spark, tmp_path):
     assert got[("b.go", "call")] == 2 and got[("c.md", "call")] == 1 and got[("c.md", "identifier")] == 4 and got[("h.rs", "includes")] == 1
 
 
+def test_relative_and_go_imports_resolve(spark, tmp_path):
+    texts = [
+        ("pkg/sub/a.py", 0, 1, "from .m import x\nfrom ..n import y\nfrom . import z\nfrom ....far import w"), ("ui/app/x.ts", 0, 1, 'import { a } from "../lib/y";\nimport b from "./../../top";'),
+        ("src/u.c", 0, 1, '#include "../inc/h.h"'), ("go.mod", 0, 1, "module example.org/m\n"), ("cmd/main.go", 0, 1, 'package main\n\nimport (\n\t"fmt" // "no"'), ("cmd/main.go", 1, 5, '\tq "example.org/m/pkg/q"\n\t`lone`\n)\nvar s = "after"'),
+    ]
+    spark.createDataFrame([("p", *t) for t in texts], "project string, file string, chunk_index int, start_line int, text string").write.parquet(str(tmp_path / "chunks.parquet"))
+    paths = ["pkg/sub/m.py", "pkg/n.py", "pkg/sub/__init__.py", "far.py", "ui/lib/y/index.ts", "top.js", "inc/h.h", "pkg/q/a_test.go", "pkg/q/c.go", "pkg/q/b.go", "lone.go"]
+    spark.createDataFrame([("p", f, k) for k, f in enumerate(paths)], "project string, path string, file_id int").write.parquet(str(tmp_path / "files.parquet"))
+    got = {(r.file, r.line, r.raw_target): r.resolved_file for r in core_queries.x14_resolved_imports(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("pkg/sub/a.py", 1, ".m"): "pkg/sub/m.py", ("pkg/sub/a.py", 2, "..n"): "pkg/n.py", ("pkg/sub/a.py", 3, "."): "pkg/sub/__init__.py", ("pkg/sub/a.py", 4, "....far"): None,
+        ("ui/app/x.ts", 1, "../lib/y"): "ui/lib/y/index.ts", ("ui/app/x.ts", 2, "./../../top"): "top.js", ("src/u.c", 1, "../inc/h.h"): "inc/h.h",
+        ("cmd/main.go", 4, "fmt"): None, ("cmd/main.go", 5, "example.org/m/pkg/q"): "pkg/q/b.go", ("cmd/main.go", 6, "lone"): "lone.go",
+    }
+
+
 def test_python_declarations(spark):
     text = "@d\nclass A:\n    def m(self):\n        def inner(): pass\n\ndef f():\n    return 1\n"
     assert extract.python_declarations(text) == [("A", "class", None, 1, 4), ("A.m", "method", "A", 3, 4), ("A.m.inner", "function", "A.m", 4, 4), ("f", "function", None, 6, 7)]
