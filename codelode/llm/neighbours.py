@@ -236,13 +236,17 @@ def graph_of(cache: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return vectors, nodes, _descend(plain, _first_graph(plain, dims, scratch), sum(dims.values()), scratch)
 
 
+def _first_copies(vectors: DataFrame, k: int) -> DataFrame:
+    """(id, neighbour): the first k + 1 copies of a node, all that can be anybody's neighbour; found in salted parts."""
+    part = Window.partitionBy("id", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id")
+    first = vectors.withColumn("p", F.row_number().over(part)).where(F.col("p") <= k + 1)
+    return first.withColumn("p", F.row_number().over(Window.partitionBy("id").orderBy("vec_id"))).where(F.col("p") <= k + 1).select("id", F.col("vec_id").alias("neighbour"))
+
+
 def neighbours(cache: DataFrame, k: int = K) -> DataFrame:
     """(vec_id, neighbour, similarity, rank): the k most similar other vectors of every usable vector."""
     vectors, _, edges = graph_of(cache)
-    # The first k + 1 copies of a node are all that can be anybody's neighbour; found in salted parts.
-    part = Window.partitionBy("id", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id")
-    first = vectors.withColumn("p", F.row_number().over(part)).where(F.col("p") <= k + 1)
-    first = first.withColumn("p", F.row_number().over(Window.partitionBy("id").orderBy("vec_id"))).where(F.col("p") <= k + 1).select("id", F.col("vec_id").alias("neighbour"))
+    first = _first_copies(vectors, k)
     own = vectors.where("copies > 1").join(first, "id").select("vec_id", "neighbour", F.lit(1.0).cast("float").alias("similarity"))
     near = edges.where(F.col("r") <= k).join(first, edges["b"] == first["id"]).select(F.col("a").alias("id"), "neighbour", F.col("s").alias("similarity"))
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour"))).where(F.col("r") <= k)
@@ -257,16 +261,25 @@ def neighbour_pairs(found: DataFrame) -> DataFrame:
     return found.select(F.least("vec_id", "neighbour").alias("vec_id_a"), F.greatest("vec_id", "neighbour").alias("vec_id_b")).distinct()
 
 
-def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = K, beam: int = 24, entries: int = 64, rounds: int = 12) -> DataFrame:
+def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = K, beam: int = 24, entries: int = SAMPLE, members: DataFrame | None = None) -> DataFrame:
     """(query_id, id, similarity, rank): greedy search over the graph for (query_id, dim, vec).
 
     Every round expands the unexpanded nodes of each query's beam along both directions of the graph and keeps the best
-    ``beam``; queries whose beam holds no unexpanded node are done. Entry points are ``entries`` nodes chosen by hash.
+    ``beam``; queries whose beam holds no unexpanded node are done. They start at the most similar of at most about
+    ``entries`` nodes of each length, chosen by hash: lists of near vectors alone don't lead from one cluster to another.
+    With ``members`` (vec_id, id) of the nodes, answers are vectors: every copy counts, and the query itself does not.
     """
+    beam = max(beam, k + 1)
     scratch = Scratch(queries.sparkSession)
     both = edges.where(F.col("r") <= LIST).select("a", "b")
     links = scratch.write(both.unionByName(both.where(F.col("a") != F.col("b")).select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    starts = nodes.select("id", "dim", F.xxhash64("id").alias("h")).withColumn("e", F.row_number().over(Window.partitionBy("dim", F.pmod("h", F.lit(32))).orderBy("h"))).where(F.col("e") <= entries // 32).select("id", "dim")
+    chosen = {}
+    for r in nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect():
+        share = int(min(1.0, entries / r["n"]) * (1 << 30))
+        rows = nodes.where((F.col("dim") == r["dim"]) & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share)).select("id", "vec").collect()
+        if rows:
+            chosen[r["dim"]] = np.array([x["id"] for x in rows]), _unit([bytes(x["vec"]) for x in rows])
+    shared = nodes.sparkSession.sparkContext.broadcast(chosen)
     q = queries.select("query_id", "dim", F.col("vec").alias("qvec"))
 
     def similar(rows: DataFrame) -> DataFrame:
@@ -282,17 +295,36 @@ def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = K, b
 
         return rows.join(q, "query_id").join(nodes.select("id", F.col("vec").alias("nvec")), "id").select("query_id", "dim", "id", "qvec", "nvec").mapInArrow(run, "query_id bigint, id bigint, similarity float")
 
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dim = b.column(1).to_numpy()
+            for d in np.unique(dim):
+                if int(d) not in shared.value:
+                    continue
+                ids, unit = shared.value[int(d)]
+                k = min(beam, len(ids))
+                for at in np.array_split(np.flatnonzero(dim == d), int((dim == d).sum()) // 256 + 1):
+                    if not len(at):
+                        continue
+                    asked = _unit(b.column(2).take(pa.array(at)).to_pylist())
+                    best = np.argpartition(-(asked @ unit.T), k - 1, axis=1)[:, :k]
+                    s = (np.repeat(asked, k, axis=0) * unit[best.ravel()]).sum(1)  # as in similar()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy()[at], k)), pa.array(ids[best.ravel()]), pa.array(s)], names=["query_id", "id", "similarity"])
+
     def kept(rows: DataFrame) -> DataFrame:
         once = rows.groupBy("query_id", "id").agg(F.max("similarity").alias("similarity"), F.max("done").alias("done"))
         return once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= beam)
 
-    state = scratch.write(kept(similar(q.select("query_id", "dim").join(F.broadcast(starts), "dim").select("query_id", "id")).withColumn("done", F.lit(False))), "beam0")
-    for n in range(1, rounds + 1):
-        open_ = state.where("NOT done AND rank <= 12")
-        if open_.isEmpty():
-            break
+    state = scratch.write(kept(q.mapInArrow(start, "query_id bigint, id bigint, similarity float").withColumn("done", F.lit(False))), "beam0")
+    n = 0  # a node that left a beam never returns to it, so the rounds end
+    while not (open_ := state.where("NOT done")).isEmpty():
+        n += 1
         reached = open_.select("query_id", F.col("id").alias("a")).join(links, "a").select("query_id", F.col("b").alias("id")).distinct().join(state.select("query_id", "id"), ["query_id", "id"], "left_anti")
-        expanded = state.withColumn("done", F.col("done") | (F.col("rank") <= 12)).drop("rank")
+        expanded = state.withColumn("done", F.lit(True)).drop("rank")
         state = scratch.write(kept(expanded.unionByName(similar(reached).withColumn("done", F.lit(False)))), f"beam{n}")
         scratch.drop(f"beam{n - 1}")
-    return state.where(F.col("rank") <= k).select("query_id", "id", "similarity", "rank")
+    if members is None:
+        return state.where(F.col("rank") <= k).select("query_id", "id", "similarity", "rank")
+    # One of the nearest k + 1 nodes may be the query alone.
+    near = state.where(F.col("rank") <= k + 1).join(_first_copies(members, k), "id").where("neighbour != query_id").select("query_id", F.col("neighbour").alias("id"), "similarity")
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= k)

@@ -181,3 +181,17 @@ def test_graph_search_recall(spark):
     m /= np.linalg.norm(m, axis=1, keepdims=True)
     hits = sum(len(got[k] & set(map(int, np.argsort(-(m @ m[k]))[:5]))) for k in got)
     assert len(got) == 12 and hits >= 0.9 * 60
+
+
+def test_graph_search_answers_with_copies_without_the_query(spark):
+    rng = np.random.default_rng(8)
+    blobs = [rng.normal(size=16).astype("<f2").tobytes() for _ in range(60)]
+    base = rng.normal(size=16)
+    near = (base + 0.05 * rng.normal(size=16)).astype("<f2").tobytes()
+    rows = [(k, 16, bytearray(b), None, None) for k, b in enumerate(blobs)] + [(k, 16, bytearray(near), None, None) for k in range(100, 109)] + [(200, 16, bytearray(base.astype("<f2").tobytes()), None, None)]
+    vectors, nodes, edges = neighbours.graph_of(spark.createDataFrame(rows, EMBED))
+    q = spark.createDataFrame([(k, 16, rows[-1][2] if k == 200 else bytearray(near)) for k in (100, 108, 200)], "query_id long, dim int, vec binary")
+    got: dict[int, list[int]] = {}
+    for r in sorted(neighbours.search(q, nodes, edges, members=vectors).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == {100: [101, 102, 103, 104, 105], 108: [100, 101, 102, 103, 104], 200: [100, 101, 102, 103, 104]}
