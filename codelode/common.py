@@ -19,29 +19,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    """The folder all executors share: the context's checkpoint folder, else ``spark.checkpoint.dir``.
+
+    One of our own is made only on a local master where neither is set (tests); a cluster without one is an error.
+    """
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get().rstrip("/")
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    chosen = tempfile.mkdtemp(prefix="codelode-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{chosen}")
-    return f"file://{chosen}"
+    if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = f"file://{tempfile.mkdtemp(prefix='codelode-')}"
+    spark.sparkContext.setCheckpointDir(configured)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def durable(df: DataFrame) -> DataFrame:
     """Run ``df`` now, store it reliably in the shared folder and return it with its lineage cut."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 class Scratch:
-    """Parquet intermediates in the shared folder, each deletable once its successor is written."""
+    """Parquet intermediates in the shared folder: deleted when their successor is written, the rest when Spark ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/codelode-{uuid.uuid4().hex}"
+        path = self._path("")
+        self._system(path).deleteOnExit(path)
+
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def _system(self, path):
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -49,9 +62,8 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path = self._path(name)
+        self._system(path).delete(path, True)
 
 
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
