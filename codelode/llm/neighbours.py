@@ -1,11 +1,13 @@
 """Most similar vectors for every vector (problem 4): NN-descent by iterative Spark joins, and greedy graph search.
 
 Vectors are validated, taken once per id, and exact copies are folded into one node, so that a group of copies of any
-size costs one node. The first graph comes from a few random-projection forests fitted on a bounded sample: every node
-meets the others of its leaf in blocks of bounded size (overfull leaves are salted). Rounds of NN-descent follow: each
-node's list, forward and reverse, is gathered with its vectors in one join, neighbours of neighbours are compared in
-matrix blocks, and improvements merged, until few edges change. Copies get their own copies first and share their node's
-neighbours. New vectors are answered by greedy search over the graph.
+size costs one node. The first graph comes from a few random-projection trees fitted on a bounded sample: every node meets
+the others of its leaf in blocks of bounded size (overfull leaves are salted). Rounds of NN-descent follow. In each, every
+node's list and the lists that name it are joined with those of its neighbours; a block of nodes (a leaf of the first
+tree) gets each vector that its nodes' neighbours of neighbours need once, and compares in one matrix product. Only
+neighbourhoods that changed are joined again, and the rounds go on until lists no longer change. Copies get their own
+copies first and share their node's neighbours. New vectors are answered by greedy search over the graph, entered in the
+leaves of the trees.
 
 Defined results: unusable blobs (wrong length, not finite, all zero) and null ids or dims take no part; of several blobs
 of one id the greatest usable holds; ties go to the smaller id; tables with fewer than k others give what there is.
@@ -14,22 +16,28 @@ of one id the greatest usable holds; ties go to the smaller id; tables with fewe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..common import Scratch
 
-#: Neighbours asked for, and length of the lists that NN-descent keeps.
-K, LIST = 5, 8
-#: Trees of the first graph, nodes of a leaf that the fit aims at and that one block may hold, and the bounded sample.
-TREES, LEAF, BLOCK, SAMPLE = 4, 700, 2000, 20_000
-#: Rounds of NN-descent at most, neighbours and reverse neighbours compared in a round, and the share of changed
-#: edges among the k asked for that ends them.
-ROUNDS, JOINED, SETTLED = 4, 6, 0.005
+#: Neighbours asked for, and length of the lists that NN-descent keeps (forward ones, and reverse ones joined at most).
+K, LIST = 5, 12
+#: Trees of the first graph, nodes of a leaf that the fit aims at and that one block may hold.
+TREES, LEAF, BLOCK = 4, 700, 2000
+#: Vectors, and bytes of them, that the trees are fitted on at most; a fitted leaf keeps so many of them, and beyond the
+#: fitted levels leaves are split by so many planes at most that all leaves of a tree share.
+SAMPLE, SAMPLE_BYTES, FITTED, PLANES = 20_000, 16 << 20, 16, 30
+#: The rounds end when so small a share of the k nearest got better by more than float noise.
+SETTLED, NOISE = 0.001, 1e-5
+#: Reverse links and queries that one window or block holds at most about.
+PART = 100_000
 
 
 def usable(cache: DataFrame) -> DataFrame:
@@ -53,25 +61,30 @@ def _unit(blobs: list[bytes]) -> np.ndarray:
 
 
 class Forest:
-    """Random-projection trees: internal nodes split the sample in halves by the plane between two of its points."""
+    """Random-projection trees: internal nodes split the sample in halves by the plane between two of its points.
+
+    Their size is bounded by the sample's. Leaves that must be split further than the sample reaches are split by random
+    planes through the leaf's centre, which all leaves of a tree share.
+    """
 
     def __init__(self, sample: np.ndarray, trees: int, depth: int, seed: int):
         rng = np.random.default_rng(seed)
-        self.trees = [self._grow(sample, np.arange(len(sample)), depth, rng) for _ in range(trees)]
+        self.extra = min(PLANES, max(0, depth - max(0, int(np.log2(max(1, len(sample)) / FITTED)))))
+        self.trees = [self._grow(sample, np.arange(len(sample)), depth - self.extra, rng) for _ in range(trees)]
+        self.planes = rng.normal(size=(trees, self.extra, sample.shape[1])).astype(np.float32)
 
     def _grow(self, x: np.ndarray, at: np.ndarray, depth: int, rng: np.random.Generator):
-        if depth == 0:
-            return None
-        if len(at) >= 8:
-            a, b = x[rng.choice(at, 2, replace=False)]
-            normal = a - b
-            if not normal.any():
-                normal = rng.normal(size=x.shape[1]).astype(np.float32)
-        else:  # finer than the sample: planes through its mean in random directions
+        if depth <= 0 or len(at) < FITTED:
+            return x[at].mean(axis=0)
+        a, b = x[rng.choice(at, 2, replace=False)]
+        normal = a - b
+        if not normal.any():
             normal = rng.normal(size=x.shape[1]).astype(np.float32)
-        d = x[at] @ normal if len(at) else np.zeros(1, dtype=np.float32)
+        d = x[at] @ normal
         middle = float(np.median(d))
-        return normal, middle, self._grow(x, at[d > middle] if len(at) else at, depth - 1, rng), self._grow(x, at[d <= middle] if len(at) else at, depth - 1, rng)
+        if not (d > middle).any():
+            return x[at].mean(axis=0)
+        return normal, middle, self._grow(x, at[d > middle], depth - 1, rng), self._grow(x, at[d <= middle], depth - 1, rng)
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """Leaf numbers, one column per tree."""
@@ -82,158 +95,195 @@ class Forest:
                 node, at, code = stack.pop()
                 if not len(at):
                     continue
-                if node is None:
-                    out[at, t] = code
+                if isinstance(node, np.ndarray):
+                    bits = ((x[at] - node) @ self.planes[t].T > 0) @ (1 << np.arange(self.extra, dtype=np.int64))
+                    out[at, t] = (code << self.extra) + bits
                     continue
                 above = x[at] @ node[0] > node[1]
                 stack += [(node[2], at[above], code * 2 + 1), (node[3], at[~above], code * 2)]
         return out
 
 
-def _top_pairs(ids: np.ndarray, unit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, similarity) of the k most similar others of every row of a block."""
-    s = unit @ unit.T
-    np.fill_diagonal(s, -2)
-    k = min(k, len(ids) - 1)
-    if k < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
-    best = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    return np.repeat(ids, k), ids[best].ravel(), np.take_along_axis(s, best, 1).ravel()
+def _forests(nodes: DataFrame, trees: int = TREES) -> Broadcast:
+    """{dim: trees} fitted on a hash-chosen sample of bounded size; lengths too rare to be in it have no trees."""
+    total, size = nodes.agg(F.count(F.lit(1)), F.sum(F.octet_length("vec"))).first()
+    share = min(1.0, SAMPLE / max(1, total), SAMPLE_BYTES / max(1, size or 0))
+    picked: dict[int, list[tuple[int, bytes]]] = {}
+    for r in nodes.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("id", "dim", "vec").collect():
+        picked.setdefault(r["dim"], []).append((r["id"], bytes(r["vec"])))
+    forests = {}
+    for dim, rows in picked.items():
+        sample = _unit([blob for _, blob in sorted(rows)])
+        forests[dim] = Forest(sample, trees, max(0, int(np.ceil(np.log2(max(1.0, len(sample) / share / LEAF))))), 11 + dim)
+    return nodes.sparkSession.sparkContext.broadcast(forests)
 
 
-def _edges(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"a": a.astype(np.int64), "b": b.astype(np.int64), "s": s.astype(np.float32)})
+def _with_leaves(rows: DataFrame, forests: Broadcast, trees: int = TREES) -> DataFrame:
+    """(id, dim, vec) with ``leaves``, the number of the leaf in each tree (0 for lengths without trees)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dim, blobs = b.column(1).to_numpy(), b.column(2)
+            leaf = np.zeros((b.num_rows, trees), dtype=np.int64)
+            for d in np.unique(dim):
+                if int(d) in forests.value:
+                    at = np.flatnonzero(dim == d)
+                    leaf[at] = forests.value[int(d)].leaves(_unit(blobs.take(pa.array(at)).to_pylist()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), blobs, pa.array(list(leaf), type=pa.list_(pa.int64()))], names=["id", "dim", "vec", "leaves"])
 
-def _in_leaf(pdf: pd.DataFrame) -> pd.DataFrame:
-    return _edges(*_top_pairs(pdf["id"].to_numpy(), _unit(pdf["vec"].tolist()), LIST))
+    return rows.select("id", "dim", "vec").mapInArrow(run, "id bigint, dim int, vec binary, leaves array<bigint>")
 
 
-def _best(edges: DataFrame, k: int) -> DataFrame:
-    """The k most similar distinct neighbours of each node; ties to the smaller id."""
-    once = edges.groupBy("a", "b").agg(F.max("s").alias("s"))
-    ranked = once.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b")))
-    return ranked.where(F.col("r") <= k).select("a", "b", "s", "r")
+def _crowded(placed: DataFrame, most: int) -> DataFrame:
+    """(dim, tree, leaf, parts) of the leaves that more than ``most`` rows of (dim, leaves) share."""
+    counts = placed.select("dim", F.posexplode("leaves").alias("tree", "leaf")).groupBy("dim", "tree", "leaf").agg(F.count(F.lit(1)).alias("n"))
+    return counts.where(F.col("n") > most).select("dim", "tree", "leaf", F.ceil(F.col("n") / most).cast("int").alias("parts"))
 
 
-def _first_graph(nodes: DataFrame, dims: dict[int, int], scratch: Scratch) -> DataFrame:
-    forests = {}
-    for dim, n in dims.items():
-        share = min(1.0, SAMPLE / n)
-        picked = nodes.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))).select("id", "vec").collect()
-        sample = _unit([bytes(r["vec"]) for r in sorted(picked, key=lambda r: r["id"])])
-        forests[dim] = Forest(sample, TREES, max(0, int(np.ceil(np.log2(max(1.0, n / LEAF))))), 11 + dim)
-    shared = nodes.sparkSession.sparkContext.broadcast(forests)
+def _part(key: str) -> Column:
+    """A row's part of its leaf: leaves that are not crowded have one."""
+    return F.pmod(F.xxhash64(key, "tree"), F.coalesce("parts", F.lit(1))).cast("int")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, dim, blobs = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
-            for d in np.unique(dim):
-                at = np.flatnonzero(dim == d)
-                mine = blobs.take(pa.array(at))
-                leaf = shared.value[int(d)].leaves(_unit(mine.to_pylist()))
-                for t in range(leaf.shape[1]):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(np.full(len(at), d, np.int32)), mine.cast(pa.binary()), pa.array(np.full(len(at), t, np.int32)), pa.array(leaf[:, t])], names=["id", "dim", "vec", "tree", "leaf"])
 
-    placed = nodes.mapInArrow(run, "id bigint, dim int, vec binary, tree int, leaf bigint")
-    # Overfull leaves are split at random, so that no block grows with the data.
-    counts = nodes.mapInArrow(run, "id bigint, dim int, vec binary, tree int, leaf bigint").groupBy("dim", "tree", "leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
-    salted = placed.join(counts, ["dim", "tree", "leaf"], "left").withColumn("salt", F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("n") / BLOCK))).cast("int"))
-    edges = salted.select("dim", "tree", "leaf", "salt", "id", "vec").groupBy("dim", "tree", "leaf", "salt").applyInPandas(lambda pdf: _in_leaf(pdf), "a bigint, b bigint, s float")
-    return scratch.write(_best(edges, LIST), "graph0")
+def _in_leaf(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(id, near, sims): the most similar others of every node of a block."""
+    ids, unit = pdf["id"].to_numpy(), _unit(pdf["vec"].tolist())
+    k = min(LIST, len(ids) - 1)
+    if k < 1:
+        return pd.DataFrame({"id": ids, "near": [[] for _ in ids], "sims": [[] for _ in ids]})
+    s = unit @ unit.T
+    np.fill_diagonal(s, -2)
+    best = np.argpartition(s, len(ids) - k, axis=1)[:, len(ids) - k :]
+    return pd.DataFrame({"id": ids, "near": list(ids[best]), "sims": list(np.take_along_axis(s, best, 1))})
+
 
+def _first_lists(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, dim, home, near, sims, fresh): the lists that the trees give; ``home`` is the node's block in the first tree."""
+    crowded = scratch.write(_crowded(nodes, BLOCK), "crowded")
+    placed = nodes.select("id", "dim", F.posexplode("leaves").alias("tree", "leaf"), "vec").join(crowded, ["dim", "tree", "leaf"], "left").withColumn("part", _part("id"))
+    blocks = placed.select("dim", "tree", "leaf", "part", "id", "vec").groupBy("dim", "tree", "leaf", "part").applyInPandas(_in_leaf, "id bigint, near array<bigint>, sims array<float>")
+    ranked = F.array_sort(F.flatten(F.collect_list(F.arrays_zip(F.transform("sims", lambda s: -s).alias("sims"), "near"))))
+    near = blocks.groupBy("id").agg(F.slice(F.array_distinct(F.transform(ranked, lambda x: x["near"])), 1, LIST).alias("near"))
+    homes = nodes.select("id", "dim", F.lit(0).alias("tree"), F.element_at("leaves", 1).alias("leaf")).join(crowded, ["dim", "tree", "leaf"], "left")
+    homes = homes.select("id", "dim", F.xxhash64("leaf", _part("id")).alias("home"))
+    return scratch.write(homes.join(near, "id").select("id", "dim", "home", "near", F.array().cast("array<float>").alias("sims"), F.lit(True).alias("fresh")), "lists0")
 
-def _local_join(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (center, dim, node, floor, vec) sorted by center: improvements among the nodes that share a center.
 
-    ``floor`` is the least similarity in the node's own list: only pairs above one of the floors are sent on.
-    """
+def _reverse(lists: DataFrame, total: int) -> DataFrame:
+    """(id, back, stirred): the nodes that name a node, those that rank it first before others, ``LIST`` at most.
 
-    def compare(center: np.ndarray, node: np.ndarray, floor: np.ndarray, blobs: list[bytes]):
-        starts = np.flatnonzero(np.concatenate(([True], center[1:] != center[:-1])))
-        sizes = np.diff(np.concatenate((starts, [len(center)])))
-        unit = _unit(blobs)
-        for size in np.unique(sizes[sizes > 1]):
-            first = starts[sizes == size]
-            at = first[:, None] + np.arange(size)[None, :]
-            for block in np.array_split(at, max(1, len(at) * size * size // 2_000_000)):
-                u = unit[block]
-                s = np.einsum("cid,cjd->cij", u, u, optimize=True)
-                n, f = node[block], floor[block]
-                i, j = np.triu_indices(size, 1)
-                sim = s[:, i, j]
-                a, b = n[:, i], n[:, j]
-                for x, y, fx in ((a, b, f[:, i]), (b, a, f[:, j])):
-                    keep = (sim > fx) & (x != y)
-                    yield x[keep], y[keep], sim[keep]
-
-    def flush(center, dim, node, floor, vec):
-        for d in set(dim):
-            at = np.flatnonzero(np.array(dim) == d)
-            for x, y, s in compare(np.array(center)[at], np.array(node)[at], np.array(floor)[at], [vec[k] for k in at]):
-                if len(x):
-                    # one row per pair and batch
-                    order = np.lexsort((y, x))
-                    x, y, s = x[order], y[order], s[order]
-                    new = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
-                    yield pa.RecordBatch.from_arrays([pa.array(x[new]), pa.array(y[new]), pa.array(s[new].astype(np.float32))], names=["a", "b", "s"])
-
-    held: list[list] = [[], [], [], [], []]
-    for b in rows:
-        for k in range(5):
-            held[k].extend(b.column(k).to_pylist())
-        if len(held[0]) < 20_000:
-            continue
-        cut = len(held[0]) - 1
-        while cut and held[0][cut - 1] == held[0][cut]:
-            cut -= 1
-        cut = cut or len(held[0])
-        yield from flush(*[h[:cut] for h in held])
-        held = [h[cut:] for h in held]
-    if held[0]:
-        yield from flush(*held)
-
-
-def _descend(nodes: DataFrame, graph: DataFrame, total: int, scratch: Scratch) -> DataFrame:
-    """Rounds of NN-descent; in each only lists that changed since the round before are joined again."""
-    fresh, edges = graph.withColumn("new", F.lit(True)), graph
-    for n in range(1, ROUNDS + 1):
-        near = fresh.where(F.col("r") <= JOINED)
-        # A node reached by a third of all lists would have that many reverse neighbours: the most similar are joined,
-        # as NN-descent samples them; the lists that point to it are complete on their own side.
-        back = near.withColumn("back", F.row_number().over(Window.partitionBy("b", F.pmod(F.xxhash64("a"), F.lit(16))).orderBy(F.desc("s"), "a"))).where(F.col("back") <= JOINED)
-        back = back.withColumn("back", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("s"), "a"))).where(F.col("back") <= JOINED)
-        around = near.select(F.col("a").alias("center"), F.col("b").alias("node"), "new").unionByName(back.select(F.col("b").alias("center"), F.col("a").alias("node"), "new"))
-        around = around.groupBy("center", "node").agg(F.max("new").alias("new"))
-        changed = around.where("new").select("center").distinct()
-        around = around.join(changed, "center", "left_semi").select("center", "node")
-        floors = edges.groupBy("a").agg(F.when(F.count(F.lit(1)) >= LIST, F.min("s")).otherwise(F.lit(-2.0)).cast("float").alias("floor"))
-        carried = nodes.join(floors, nodes["id"] == floors["a"], "left").select(F.col("id").alias("node"), "dim", F.coalesce("floor", F.lit(-2.0).cast("float")).alias("floor"), "vec")
-        gathered = around.join(carried, "node").select("center", "dim", "node", "floor", "vec").repartition("center").sortWithinPartitions("center")
-        better = gathered.mapInArrow(_local_join, "a bigint, b bigint, s float")
-        merged = _best(edges.select("a", "b", "s").unionByName(better), LIST)
-        old = edges.select("a", "b", F.lit(False).alias("new"))
-        marked = scratch.write(merged.join(old, ["a", "b"], "left").withColumn("new", F.coalesce("new", F.lit(True))), f"graph{n}")
-        updates = marked.where(F.col("new") & (F.col("r") <= K)).count()
-        scratch.drop(f"graph{n - 1}")
-        fresh, edges = marked, marked.select("a", "b", "s", "r")
-        if updates <= SETTLED * total * K:
-            break
-    return edges
-
-
-def graph_of(cache: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(vectors, nodes, edges): usable vectors with their node, one node per distinct vector, and the neighbour lists."""
+    A node that a third of all lists name keeps its link with each of them on their side; they are ranked in parts of
+    bounded size first, so that no task sorts them all.
+    """
+    links = lists.select(F.posexplode("near").alias("pos", "id"), F.col("id").alias("a"), "fresh")
+    parts = max(1, -(-total // PART))
+    order = ("pos", F.xxhash64("a"))
+    first = links.withColumn("r", F.row_number().over(Window.partitionBy("id", F.pmod(F.xxhash64("a", F.lit(1)), F.lit(parts))).orderBy(*order))).where(F.col("r") <= LIST)
+    best = first.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where(F.col("r") <= LIST) if parts > 1 else first
+    return best.groupBy("id").agg(F.collect_list("a").alias("back"), F.bool_or("fresh").alias("stirred"))
+
+
+def _known(lists: DataFrame, total: int) -> DataFrame:
+    """(id, dim, home, around, stirred): a node's neighbours in both directions, and whether any of them is new."""
+    back = _reverse(lists, total)
+    return lists.join(back, "id", "left").select(
+        "id", "dim", "home", F.array_union("near", F.coalesce("back", F.array().cast("array<bigint>"))).alias("around"), (F.col("fresh") | F.coalesce("stirred", F.lit(False))).alias("stirred")
+    )
+
+
+def _improve(lists: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+    """A block's lists after comparing its nodes with all the vectors that came for it."""
+    out = lists[["id", "dim", "home", "near", "sims"]].copy()
+    out["fresh"], out["updates"] = False, 0
+    if not len(lists) or not len(found):
+        return out
+    order = np.argsort(found["id"].to_numpy(), kind="stable")
+    others = found["id"].to_numpy()[order]
+    unit = _unit([found["vec"].iat[k] for k in order])
+    ids, n = lists["id"].to_numpy(), len(lists)
+    mine = np.searchsorted(others, ids)
+    k = min(LIST, len(others) - 1)
+    if k < 1:
+        return out
+    near, sims = np.full((n, LIST + k), -1, dtype=np.int64), np.full((n, LIST + k), -3, dtype=np.float32)
+    for row, (a, s) in enumerate(zip(lists["near"], lists["sims"])):
+        if len(s):  # the first lists come without similarities: their nodes are among those compared
+            near[row, : len(a)], sims[row, : len(s)] = a, s
+    floor = np.sort(sims[:, :LIST], axis=1)[:, -min(K, LIST)]
+    for rows in np.array_split(np.arange(n), -(-n * len(others) // 4_000_000)):
+        s = unit[mine[rows]] @ unit.T
+        s[np.arange(len(rows)), mine[rows]] = -2
+        best = np.argpartition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k :]
+        near[rows, LIST:], sims[rows, LIST:] = others[best], np.take_along_axis(s, best, 1)
+    new = np.zeros(near.shape, dtype=bool)
+    new[:, LIST:] = True
+    by_id = np.argsort(near, axis=1, kind="stable")  # of a node in both lists the old place stays
+    near, sims, new = (np.take_along_axis(x, by_id, 1) for x in (near, sims, new))
+    sims[:, 1:][near[:, 1:] == near[:, :-1]] = -3
+    first = np.argsort(-sims, axis=1, kind="stable")[:, :LIST]
+    near, sims, new = (np.take_along_axis(x, first, 1) for x in (near, sims, new))
+    new &= sims > -3
+    out["near"] = [a[s > -3] for a, s in zip(near, sims)]
+    out["sims"] = [s[s > -3] for s in sims]
+    out["fresh"] = new.any(axis=1)
+    out["updates"] = (new[:, :K] & (sims[:, :K] > floor[:, None] + NOISE)).sum(axis=1)
+    return out
+
+
+LISTS = "id bigint, dim int, home bigint, near array<bigint>, sims array<float>, fresh boolean, updates bigint"
+
+
+def _descend(nodes: DataFrame, lists: DataFrame, total: int, scratch: Scratch) -> DataFrame:
+    """Rounds of NN-descent until the lists settle; a round adds similarity to some list, so they do."""
+    n, none = 0, -1
+    while True:
+        n += 1
+        known = scratch.write(_known(lists, total), f"known{n}")
+        # A neighbour's list is news for a block if either list changed.
+        asked = known.select("dim", "home", "stirred", F.explode("around").alias("h")).groupBy("dim", "home", "h").agg(F.max("stirred").alias("stirred"))
+        theirs = known.select(F.col("id").alias("h"), F.col("around").alias("theirs"), F.col("stirred").alias("changed"))
+        news = asked.join(theirs, "h").where("stirred OR changed").select("dim", "home", F.explode(F.array_union("theirs", F.array("h"))).alias("id"))
+        active = news.select("dim", "home").distinct()
+        own = lists.join(active, ["dim", "home"], "left_semi").select("dim", "home", "id")
+        found = news.unionByName(own).distinct().join(nodes.select("id", "vec"), "id").select("dim", "home", "id", "vec")
+        better = lists.groupBy("dim", "home").cogroup(found.groupBy("dim", "home")).applyInPandas(_improve, LISTS)
+        after = scratch.write(better, f"lists{n}")
+        updates = after.agg(F.sum("updates")).first()[0] or 0
+        scratch.drop(f"lists{n - 1}")
+        scratch.drop(f"known{n}")
+        lists = after
+        if updates <= max(none, SETTLED * total * K):
+            return lists
+        none = 0
+
+
+class Graph(NamedTuple):
+    vectors: DataFrame
+    """(vec_id, id, copies): usable vectors with their node."""
+    nodes: DataFrame
+    """(id, dim, vec, leaves): one node per distinct vector."""
+    edges: DataFrame
+    """(a, b, s, r): the neighbour lists, by rank."""
+    links: DataFrame
+    """(id, around): neighbours in both directions."""
+    forests: Broadcast
+
+
+def graph_of(cache: DataFrame) -> Graph:
     scratch = Scratch(cache.sparkSession)
-    vectors = usable(cache)
+    vectors = scratch.write(usable(cache), "usable")
     groups = vectors.groupBy("dim", "vec").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    nodes = scratch.write(groups.select("id", "dim", "vec", "copies"), "nodes")
-    vectors = scratch.write(vectors.join(groups.select("dim", "vec", "id", "copies"), ["dim", "vec"]).select("vec_id", "id", "copies"), "members")
-    dims = {r["dim"]: r["n"] for r in nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not dims:
-        return vectors, nodes, cache.sparkSession.createDataFrame([], "a bigint, b bigint, s float, r int")
-    plain = nodes.select("id", "dim", "vec")
-    return vectors, nodes, _descend(plain, _first_graph(plain, dims, scratch), sum(dims.values()), scratch)
+    plain = scratch.write(groups, "groups")
+    members = scratch.write(vectors.join(plain, ["dim", "vec"]).select("vec_id", "id", "copies"), "members")
+    scratch.drop("usable")
+    forests = _forests(plain)
+    nodes = scratch.write(_with_leaves(plain, forests), "nodes")
+    scratch.drop("groups")
+    total = nodes.count()
+    lists = _descend(nodes, _first_lists(nodes, scratch), total, scratch)
+    edges = lists.select(F.col("id").alias("a"), F.posexplode(F.arrays_zip("near", "sims")).alias("pos", "e"))
+    edges = edges.select("a", F.col("e.near").alias("b"), F.col("e.sims").alias("s"), (F.col("pos") + 1).alias("r"))
+    return Graph(members, nodes, edges, _known(lists, total).select("id", "around"), forests)
 
 
 def _first_copies(vectors: DataFrame, k: int) -> DataFrame:
@@ -245,10 +295,10 @@ def _first_copies(vectors: DataFrame, k: int) -> DataFrame:
 
 def neighbours(cache: DataFrame, k: int = K) -> DataFrame:
     """(vec_id, neighbour, similarity, rank): the k most similar other vectors of every usable vector."""
-    vectors, _, edges = graph_of(cache)
-    first = _first_copies(vectors, k)
+    graph = graph_of(cache)
+    vectors, first = graph.vectors, _first_copies(graph.vectors, k)
     own = vectors.where("copies > 1").join(first, "id").select("vec_id", "neighbour", F.lit(1.0).cast("float").alias("similarity"))
-    near = edges.where(F.col("r") <= k).join(first, edges["b"] == first["id"]).select(F.col("a").alias("id"), "neighbour", F.col("s").alias("similarity"))
+    near = graph.edges.where(F.col("r") <= k).join(first, F.col("b") == F.col("id")).select(F.col("a").alias("id"), "neighbour", F.col("s").alias("similarity"))
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour"))).where(F.col("r") <= k)
     other = vectors.where(F.col("copies") <= k).join(near, "id").select("vec_id", "neighbour", "similarity")
     found = own.unionByName(other).where("vec_id != neighbour")
@@ -261,70 +311,75 @@ def neighbour_pairs(found: DataFrame) -> DataFrame:
     return found.select(F.least("vec_id", "neighbour").alias("vec_id_a"), F.greatest("vec_id", "neighbour").alias("vec_id_b")).distinct()
 
 
-def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = K, beam: int = 24, entries: int = SAMPLE, members: DataFrame | None = None) -> DataFrame:
+SCORED = "query_id bigint, id bigint, similarity float"
+
+
+def _entries(queries: DataFrame, graph: Graph, beam: int) -> DataFrame:
+    """(query_id, id, similarity): the best of one block of each leaf that a query falls into.
+
+    Nodes of a crowded leaf, and queries of a leaf that very many fall into, are spread over blocks of bounded size: a
+    query enters by one block of nodes, and the nodes come once for each block of queries.
+    """
+    asked = _with_leaves(queries.select(F.col("query_id").alias("id"), "dim", "vec"), graph.forests)
+    asks = asked.select("dim", F.posexplode("leaves").alias("tree", "leaf"), "id", "vec")
+    crowded = _crowded(graph.nodes, BLOCK)
+    shares = asks.groupBy("dim", "tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("shares"))
+    q = asks.join(crowded, ["dim", "tree", "leaf"], "left").withColumn("part", _part("id")).join(shares, ["dim", "tree", "leaf"]).withColumn("share", F.pmod(F.xxhash64("id", F.lit(3)), "shares").cast("int"))
+    held = graph.nodes.select("dim", F.posexplode("leaves").alias("tree", "leaf"), "id", "vec").join(crowded, ["dim", "tree", "leaf"], "left").withColumn("part", _part("id"))
+    held = held.join(shares, ["dim", "tree", "leaf"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    key = ["dim", "tree", "leaf", "part", "share"]
+
+    def meet(some: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if not len(some) or not len(block):
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "similarity": np.zeros(0, np.float32)})
+        s = _unit(some["vec"].tolist()) @ _unit(block["vec"].tolist()).T
+        k = min(beam, s.shape[1])
+        best = np.argpartition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k :]
+        return pd.DataFrame({"query_id": np.repeat(some["id"].to_numpy(), k), "id": block["id"].to_numpy()[best].ravel(), "similarity": np.take_along_axis(s, best, 1).ravel()})
+
+    return q.select(*key, "id", "vec").groupBy(*key).cogroup(held.select(*key, "id", "vec").groupBy(*key)).applyInPandas(meet, SCORED)
+
+
+def search(queries: DataFrame, graph: Graph, k: int = K, beam: int = 24, copies: bool = False) -> DataFrame:
     """(query_id, id, similarity, rank): greedy search over the graph for (query_id, dim, vec).
 
     Every round expands the unexpanded nodes of each query's beam along both directions of the graph and keeps the best
-    ``beam``; queries whose beam holds no unexpanded node are done. They start at the most similar of at most about
-    ``entries`` nodes of each length, chosen by hash: lists of near vectors alone don't lead from one cluster to another.
-    With ``members`` (vec_id, id) of the nodes, answers are vectors: every copy counts, and the query itself does not.
+    ``beam``; queries whose beam holds no unexpanded node are done. They start at the best nodes of their leaves in the
+    trees that the graph was made with: lists of near vectors alone don't lead from one cluster to another. With
+    ``copies``, answers are vectors: every copy counts, and the query itself does not.
     """
     beam = max(beam, k + 1)
     scratch = Scratch(queries.sparkSession)
-    both = edges.where(F.col("r") <= LIST).select("a", "b")
-    links = scratch.write(both.unionByName(both.where(F.col("a") != F.col("b")).select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    chosen = {}
-    for r in nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect():
-        share = int(min(1.0, entries / r["n"]) * (1 << 30))
-        rows = nodes.where((F.col("dim") == r["dim"]) & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share)).select("id", "vec").collect()
-        if rows:
-            chosen[r["dim"]] = np.array([x["id"] for x in rows]), _unit([bytes(x["vec"]) for x in rows])
-    shared = nodes.sparkSession.sparkContext.broadcast(chosen)
-    q = queries.select("query_id", "dim", F.col("vec").alias("qvec"))
+    links = scratch.write(graph.links, "links")
+    q = scratch.write(queries.select("query_id", "dim", F.col("vec").alias("qvec")), "queries")
 
     def similar(rows: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 dim = b.column(1).to_numpy()
                 s = np.zeros(len(dim), dtype=np.float32)
-                qs, vs = b.column(3).to_pylist(), b.column(4).to_pylist()
                 for d in np.unique(dim):
                     at = np.flatnonzero(dim == d)
-                    s[at] = (_unit([qs[k] for k in at]) * _unit([vs[k] for k in at])).sum(1)
+                    qs, vs = (b.column(c).take(pa.array(at)).to_pylist() for c in (3, 4))
+                    s[at] = (_unit(qs) * _unit(vs)).sum(1)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s)], names=["query_id", "id", "similarity"])
 
-        return rows.join(q, "query_id").join(nodes.select("id", F.col("vec").alias("nvec")), "id").select("query_id", "dim", "id", "qvec", "nvec").mapInArrow(run, "query_id bigint, id bigint, similarity float")
-
-    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            dim = b.column(1).to_numpy()
-            for d in np.unique(dim):
-                if int(d) not in shared.value:
-                    continue
-                ids, unit = shared.value[int(d)]
-                k = min(beam, len(ids))
-                for at in np.array_split(np.flatnonzero(dim == d), int((dim == d).sum()) // 256 + 1):
-                    if not len(at):
-                        continue
-                    asked = _unit(b.column(2).take(pa.array(at)).to_pylist())
-                    best = np.argpartition(-(asked @ unit.T), k - 1, axis=1)[:, :k]
-                    s = (np.repeat(asked, k, axis=0) * unit[best.ravel()]).sum(1)  # as in similar()
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy()[at], k)), pa.array(ids[best.ravel()]), pa.array(s)], names=["query_id", "id", "similarity"])
+        return rows.join(q, "query_id").join(graph.nodes.select("id", F.col("vec").alias("nvec")), "id").select("query_id", "dim", "id", "qvec", "nvec").mapInArrow(run, SCORED)
 
     def kept(rows: DataFrame) -> DataFrame:
         once = rows.groupBy("query_id", "id").agg(F.max("similarity").alias("similarity"), F.max("done").alias("done"))
         return once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= beam)
 
-    state = scratch.write(kept(q.mapInArrow(start, "query_id bigint, id bigint, similarity float").withColumn("done", F.lit(False))), "beam0")
+    state = scratch.write(kept(_entries(queries, graph, beam).withColumn("done", F.lit(False))), "beam0")
     n = 0  # a node that left a beam never returns to it, so the rounds end
     while not (open_ := state.where("NOT done")).isEmpty():
         n += 1
-        reached = open_.select("query_id", F.col("id").alias("a")).join(links, "a").select("query_id", F.col("b").alias("id")).distinct().join(state.select("query_id", "id"), ["query_id", "id"], "left_anti")
+        reached = open_.select("query_id", "id").join(links, "id").select("query_id", F.explode("around").alias("id")).distinct().join(state.select("query_id", "id"), ["query_id", "id"], "left_anti")
         expanded = state.withColumn("done", F.lit(True)).drop("rank")
         state = scratch.write(kept(expanded.unionByName(similar(reached).withColumn("done", F.lit(False)))), f"beam{n}")
         scratch.drop(f"beam{n - 1}")
-    if members is None:
+    if not copies:
         return state.where(F.col("rank") <= k).select("query_id", "id", "similarity", "rank")
     # One of the nearest k + 1 nodes may be the query alone.
-    near = state.where(F.col("rank") <= k + 1).join(_first_copies(members, k), "id").where("neighbour != query_id").select("query_id", F.col("neighbour").alias("id"), "similarity")
+    near = state.where(F.col("rank") <= k + 1).join(_first_copies(graph.vectors, k), "id").where("neighbour != query_id").select("query_id", F.col("neighbour").alias("id"), "similarity")
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= k)

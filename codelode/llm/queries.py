@@ -47,9 +47,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_search(spark: SparkSession, d: str) -> DataFrame:
     """Greedy graph search: every vector whose id is divisible by 50 against all other vectors, copies included."""
     cache = table(spark, d, "embed_cache")
-    vectors, nodes, edges = neighbours.graph_of(cache)
     queries = neighbours.usable(cache).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "dim", "vec")
-    return neighbours.search(queries, nodes, edges, members=vectors)
+    return neighbours.search(queries, neighbours.graph_of(cache), copies=True)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -172,10 +172,10 @@ def test_graph_search_recall(spark):
     centres = rng.normal(size=(20, 16))
     blobs = [(centres[k % 20] + 0.4 * rng.normal(size=16)).astype("<f2").tobytes() for k in range(600)]
     df = spark.createDataFrame([(k, 16, bytearray(b), None, None) for k, b in enumerate(blobs)], EMBED)
-    _, nodes, edges = neighbours.graph_of(df)
+    graph = neighbours.graph_of(df)
     q = spark.createDataFrame([(k, 16, bytearray(blobs[k])) for k in range(0, 600, 50)], "query_id long, dim int, vec binary")
     got: dict[int, set[int]] = {}
-    for r in neighbours.search(q, nodes, edges).collect():
+    for r in neighbours.search(q, graph).collect():
         got.setdefault(r.query_id, set()).add(r.id)
     m = np.stack([np.frombuffer(b, "<f2").astype(np.float32) for b in blobs])
     m /= np.linalg.norm(m, axis=1, keepdims=True)
@@ -189,9 +189,9 @@ def test_graph_search_answers_with_copies_without_the_query(spark):
     base = rng.normal(size=16)
     near = (base + 0.05 * rng.normal(size=16)).astype("<f2").tobytes()
     rows = [(k, 16, bytearray(b), None, None) for k, b in enumerate(blobs)] + [(k, 16, bytearray(near), None, None) for k in range(100, 109)] + [(200, 16, bytearray(base.astype("<f2").tobytes()), None, None)]
-    vectors, nodes, edges = neighbours.graph_of(spark.createDataFrame(rows, EMBED))
+    graph = neighbours.graph_of(spark.createDataFrame(rows, EMBED))
     q = spark.createDataFrame([(k, 16, rows[-1][2] if k == 200 else bytearray(near)) for k in (100, 108, 200)], "query_id long, dim int, vec binary")
     got: dict[int, list[int]] = {}
-    for r in sorted(neighbours.search(q, nodes, edges, members=vectors).collect(), key=lambda r: r["rank"]):
+    for r in sorted(neighbours.search(q, graph, copies=True).collect(), key=lambda r: r["rank"]):
         got.setdefault(r.query_id, []).append(r.id)
     assert got == {100: [101, 102, 103, 104, 105], 108: [100, 101, 102, 103, 104], 200: [100, 101, 102, 103, 104]}
