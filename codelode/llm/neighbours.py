@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 from ..common import Scratch
 
 #: Neighbours asked for, and length of the lists that NN-descent keeps (forward ones, and reverse ones joined at most).
-K, LIST = 5, 12
+K, LIST = 5, 10
 #: Trees of the first graph, nodes of a leaf that the fit aims at and that one block may hold.
 TREES, LEAF, BLOCK = 4, 700, 2000
 #: Vectors, and bytes of them, that the trees are fitted on at most; a fitted leaf keeps so many of them, and beyond the
@@ -36,6 +35,8 @@ TREES, LEAF, BLOCK = 4, 700, 2000
 SAMPLE, SAMPLE_BYTES, FITTED, PLANES = 20_000, 16 << 20, 16, 30
 #: The rounds end when so small a share of the k nearest got better by more than float noise.
 SETTLED, NOISE = 0.001, 1e-5
+#: Similarities that a matrix product gives at once.
+CELLS = 1 << 20
 #: Reverse links and queries that one window or block holds at most about.
 PART = 100_000
 
@@ -60,6 +61,25 @@ def _unit(blobs: list[bytes]) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
+def _column_unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Unit vectors of a binary column whose blobs are equally long, read where they lie."""
+    a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if isinstance(a, pa.ChunkedArray):
+        a = pa.concat_arrays(a.chunks)
+    start, end = a.offset, a.offset + len(a)
+    offsets = np.frombuffer(a.buffers()[1], dtype=np.int32)
+    m = np.frombuffer(a.buffers()[2], dtype="<f2")[offsets[start] // 2 : offsets[end] // 2].reshape(len(a), -1).astype(np.float32)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+def _lists(values: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(starts, type=pa.int32()), pa.array(values, type=kind))
+
+
+def _flat(column: pa.ChunkedArray) -> np.ndarray:
+    return pa.concat_arrays([c.flatten() for c in column.chunks]).to_numpy(zero_copy_only=False) if column.num_chunks else np.zeros(0)
+
+
 class Forest:
     """Random-projection trees: internal nodes split the sample in halves by the plane between two of its points.
 
@@ -128,7 +148,7 @@ def _with_leaves(rows: DataFrame, forests: Broadcast, trees: int = TREES) -> Dat
             for d in np.unique(dim):
                 if int(d) in forests.value:
                     at = np.flatnonzero(dim == d)
-                    leaf[at] = forests.value[int(d)].leaves(_unit(blobs.take(pa.array(at)).to_pylist()))
+                    leaf[at] = forests.value[int(d)].leaves(_column_unit(blobs.take(pa.array(at))))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), blobs, pa.array(list(leaf), type=pa.list_(pa.int64()))], names=["id", "dim", "vec", "leaves"])
 
     return rows.select("id", "dim", "vec").mapInArrow(run, "id bigint, dim int, vec binary, leaves array<bigint>")
@@ -145,116 +165,127 @@ def _part(key: str) -> Column:
     return F.pmod(F.xxhash64(key, "tree"), F.coalesce("parts", F.lit(1))).cast("int")
 
 
-def _in_leaf(pdf: pd.DataFrame) -> pd.DataFrame:
+def _in_leaf(block: pa.Table) -> pa.Table:
     """(id, near, sims): the most similar others of every node of a block."""
-    ids, unit = pdf["id"].to_numpy(), _unit(pdf["vec"].tolist())
-    k = min(LIST, len(ids) - 1)
-    if k < 1:
-        return pd.DataFrame({"id": ids, "near": [[] for _ in ids], "sims": [[] for _ in ids]})
-    s = unit @ unit.T
-    np.fill_diagonal(s, -2)
-    best = np.argpartition(s, len(ids) - k, axis=1)[:, len(ids) - k :]
-    return pd.DataFrame({"id": ids, "near": list(ids[best]), "sims": list(np.take_along_axis(s, best, 1))})
+    ids, n = block["id"].to_numpy(), block.num_rows
+    k = min(LIST, n - 1)
+    near, sims = np.zeros((n, k), np.int64), np.zeros((n, k), np.float32)
+    if k:
+        unit = _column_unit(block["vec"])
+        for rows in np.array_split(np.arange(n), -(-n * n // CELLS)):
+            s = unit[rows] @ unit.T
+            s[np.arange(len(rows)), rows] = -2
+            best = np.argpartition(s, n - k, axis=1)[:, n - k :]
+            near[rows], sims[rows] = ids[best], np.take_along_axis(s, best, 1)
+    starts = np.arange(n + 1) * k
+    return pa.table({"id": block["id"], "near": _lists(near.ravel(), starts, pa.int64()), "sims": _lists(sims.ravel(), starts, pa.float32())})
 
 
 def _first_lists(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, dim, home, near, sims, fresh): the lists that the trees give; ``home`` is the node's block in the first tree."""
+    """(id, dim, home, near, sims, newest): the lists that the trees give; ``home`` is the node's block in the first tree."""
     crowded = scratch.write(_crowded(nodes, BLOCK), "crowded")
     placed = nodes.select("id", "dim", F.posexplode("leaves").alias("tree", "leaf"), "vec").join(crowded, ["dim", "tree", "leaf"], "left").withColumn("part", _part("id"))
-    blocks = placed.select("dim", "tree", "leaf", "part", "id", "vec").groupBy("dim", "tree", "leaf", "part").applyInPandas(_in_leaf, "id bigint, near array<bigint>, sims array<float>")
+    blocks = placed.select("dim", "tree", "leaf", "part", "id", "vec").groupBy("dim", "tree", "leaf", "part").applyInArrow(_in_leaf, "id bigint, near array<bigint>, sims array<float>")
     ranked = F.array_sort(F.flatten(F.collect_list(F.arrays_zip(F.transform("sims", lambda s: -s).alias("sims"), "near"))))
-    near = blocks.groupBy("id").agg(F.slice(F.array_distinct(F.transform(ranked, lambda x: x["near"])), 1, LIST).alias("near"))
+    met = blocks.groupBy("id").agg(ranked.alias("met")).select("id", F.col("met.near").alias("all"), F.col("met.sims").alias("by"))
+    met = met.withColumn("near", F.slice(F.array_distinct("all"), 1, LIST))
+    met = met.select("id", "near", F.transform("near", lambda x: -F.get("by", (F.array_position("all", x) - 1).cast("int"))).alias("sims"))
     homes = nodes.select("id", "dim", F.lit(0).alias("tree"), F.element_at("leaves", 1).alias("leaf")).join(crowded, ["dim", "tree", "leaf"], "left")
     homes = homes.select("id", "dim", F.xxhash64("leaf", _part("id")).alias("home"))
-    return scratch.write(homes.join(near, "id").select("id", "dim", "home", "near", F.array().cast("array<float>").alias("sims"), F.lit(True).alias("fresh")), "lists0")
+    return scratch.write(homes.join(met, "id").select("id", "dim", "home", "near", "sims", F.col("near").alias("newest")), "lists0")
 
 
 def _reverse(lists: DataFrame, total: int) -> DataFrame:
-    """(id, back, stirred): the nodes that name a node, those that rank it first before others, ``LIST`` at most.
+    """(id, back, lately): the nodes that name a node, those that rank it first before others, ``LIST`` at most.
 
     A node that a third of all lists name keeps its link with each of them on their side; they are ranked in parts of
     bounded size first, so that no task sorts them all.
     """
-    links = lists.select(F.posexplode("near").alias("pos", "id"), F.col("id").alias("a"), "fresh")
+    links = lists.select(F.col("id").alias("a"), "newest", F.posexplode("near").alias("pos", "id"))
+    links = links.select("id", "a", "pos", F.array_contains("newest", F.col("id")).alias("new"))
     parts = max(1, -(-total // PART))
     order = ("pos", F.xxhash64("a"))
     first = links.withColumn("r", F.row_number().over(Window.partitionBy("id", F.pmod(F.xxhash64("a", F.lit(1)), F.lit(parts))).orderBy(*order))).where(F.col("r") <= LIST)
     best = first.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where(F.col("r") <= LIST) if parts > 1 else first
-    return best.groupBy("id").agg(F.collect_list("a").alias("back"), F.bool_or("fresh").alias("stirred"))
+    return best.groupBy("id").agg(F.collect_list("a").alias("back"), F.collect_list(F.when(F.col("new"), F.col("a"))).alias("lately"))
 
 
 def _known(lists: DataFrame, total: int) -> DataFrame:
-    """(id, dim, home, around, stirred): a node's neighbours in both directions, and whether any of them is new."""
-    back = _reverse(lists, total)
-    return lists.join(back, "id", "left").select(
-        "id", "dim", "home", F.array_union("near", F.coalesce("back", F.array().cast("array<bigint>"))).alias("around"), (F.col("fresh") | F.coalesce("stirred", F.lit(False))).alias("stirred")
-    )
+    """(id, dim, home, around, newest): a node's neighbours in both directions, and those of them that are new."""
+    none = F.array().cast("array<bigint>")
+    both = lists.join(_reverse(lists, total), "id", "left")
+    return both.select("id", "dim", "home", F.array_union("near", F.coalesce("back", none)).alias("around"), F.array_union("newest", F.coalesce("lately", none)).alias("newest"))
 
 
-def _improve(lists: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+def _improve(lists: pa.Table, found: pa.Table) -> pa.Table:
     """A block's lists after comparing its nodes with all the vectors that came for it."""
-    out = lists[["id", "dim", "home", "near", "sims"]].copy()
-    out["fresh"], out["updates"] = False, 0
-    if not len(lists) or not len(found):
-        return out
-    order = np.argsort(found["id"].to_numpy(), kind="stable")
-    others = found["id"].to_numpy()[order]
-    unit = _unit([found["vec"].iat[k] for k in order])
-    ids, n = lists["id"].to_numpy(), len(lists)
-    mine = np.searchsorted(others, ids)
+    n = lists.num_rows
+    if not n or found.num_rows < 2:
+        nothing = _lists(np.zeros(0, np.int64), np.zeros(n + 1), pa.int64())
+        return lists.select(["id", "dim", "home", "near", "sims"]).append_column("newest", nothing).append_column("updates", pa.array(np.zeros(n, np.int64)))
+    others, unit = found["id"].to_numpy(), _column_unit(found["vec"])
+    order = np.argsort(others, kind="stable")
+    others, unit = others[order], unit[order]
+    mine = np.searchsorted(others, lists["id"].to_numpy())
+    sizes = lists["near"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    row, node, sim = [np.repeat(np.arange(n), sizes)], [_flat(lists["near"]).astype(np.int64)], [_flat(lists["sims"]).astype(np.float32)]
+    firsts = np.cumsum(sizes) - sizes
+    floor, kth = (np.where(sizes >= k, sim[0][np.minimum(firsts + k - 1, len(sim[0]) - 1)] if len(sim[0]) else -2, -2).astype(np.float32) for k in (LIST, K))
     k = min(LIST, len(others) - 1)
-    if k < 1:
-        return out
-    near, sims = np.full((n, LIST + k), -1, dtype=np.int64), np.full((n, LIST + k), -3, dtype=np.float32)
-    for row, (a, s) in enumerate(zip(lists["near"], lists["sims"])):
-        if len(s):  # the first lists come without similarities: their nodes are among those compared
-            near[row, : len(a)], sims[row, : len(s)] = a, s
-    floor = np.sort(sims[:, :LIST], axis=1)[:, -min(K, LIST)]
-    for rows in np.array_split(np.arange(n), -(-n * len(others) // 4_000_000)):
+    for rows in np.array_split(np.arange(n), -(-n * len(others) // CELLS)):
         s = unit[mine[rows]] @ unit.T
         s[np.arange(len(rows)), mine[rows]] = -2
-        best = np.argpartition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k :]
-        near[rows, LIST:], sims[rows, LIST:] = others[best], np.take_along_axis(s, best, 1)
-    new = np.zeros(near.shape, dtype=bool)
-    new[:, LIST:] = True
-    by_id = np.argsort(near, axis=1, kind="stable")  # of a node in both lists the old place stays
-    near, sims, new = (np.take_along_axis(x, by_id, 1) for x in (near, sims, new))
-    sims[:, 1:][near[:, 1:] == near[:, :-1]] = -3
-    first = np.argsort(-sims, axis=1, kind="stable")[:, :LIST]
-    near, sims, new = (np.take_along_axis(x, first, 1) for x in (near, sims, new))
-    new &= sims > -3
-    out["near"] = [a[s > -3] for a, s in zip(near, sims)]
-    out["sims"] = [s[s > -3] for s in sims]
-    out["fresh"] = new.any(axis=1)
-    out["updates"] = (new[:, :K] & (sims[:, :K] > floor[:, None] + NOISE)).sum(axis=1)
-    return out
-
-
-LISTS = "id bigint, dim int, home bigint, near array<bigint>, sims array<float>, fresh boolean, updates bigint"
+        i, j = np.nonzero(s > floor[rows, None])
+        if len(i) > 4 * k * len(rows):  # lists that are far from settled
+            j = np.argpartition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k :].ravel()
+            i = np.repeat(np.arange(len(rows)), k)
+        row.append(rows[i])
+        node.append(others[j])
+        sim.append(s[i, j])
+    old = sizes.sum()
+    row, node, sim = np.concatenate(row), np.concatenate(node), np.concatenate(sim)
+    new = np.arange(len(row)) >= old
+    by = np.lexsort((new, node, row))  # of a node that is in the list already the old place stays
+    row, node, sim, new = row[by], node[by], sim[by], new[by]
+    once = np.concatenate(([True], (row[1:] != row[:-1]) | (node[1:] != node[:-1])))
+    row, node, sim, new = row[once], node[once], sim[once], new[once]
+    by = np.lexsort((node, -sim, row))
+    row, node, sim, new = row[by], node[by], sim[by], new[by]
+    place = np.arange(len(row)) - np.searchsorted(row, np.arange(n))[row]
+    updates = np.bincount(row[new & (place < K) & (sim > kth[row] + NOISE)], minlength=n)
+    row, node, sim, new = (x[place < LIST] for x in (row, node, sim, new))
+    starts = np.searchsorted(row, np.arange(n + 1))
+    return pa.table({
+        "id": lists["id"], "dim": lists["dim"], "home": lists["home"], "near": _lists(node, starts, pa.int64()), "sims": _lists(sim, starts, pa.float32()),
+        "newest": _lists(node[new], np.searchsorted(row[new], np.arange(n + 1)), pa.int64()), "updates": pa.array(updates.astype(np.int64)),
+    })
+
+
+LISTS = "id bigint, dim int, home bigint, near array<bigint>, sims array<float>, newest array<bigint>, updates bigint"
 
 
 def _descend(nodes: DataFrame, lists: DataFrame, total: int, scratch: Scratch) -> DataFrame:
     """Rounds of NN-descent until the lists settle; a round adds similarity to some list, so they do."""
-    n, none = 0, -1
+    n = 0
     while True:
         n += 1
         known = scratch.write(_known(lists, total), f"known{n}")
-        # A neighbour's list is news for a block if either list changed.
-        asked = known.select("dim", "home", "stirred", F.explode("around").alias("h")).groupBy("dim", "home", "h").agg(F.max("stirred").alias("stirred"))
-        theirs = known.select(F.col("id").alias("h"), F.col("around").alias("theirs"), F.col("stirred").alias("changed"))
-        news = asked.join(theirs, "h").where("stirred OR changed").select("dim", "home", F.explode(F.array_union("theirs", F.array("h"))).alias("id"))
+        # Over a new link all of a neighbour's neighbours come, over an old one its new neighbours.
+        asked = known.select("dim", "home", "newest", F.explode("around").alias("h"))
+        asked = asked.groupBy("dim", "home", "h").agg(F.bool_or(F.array_contains("newest", F.col("h"))).alias("new"))
+        theirs = known.select(F.col("id").alias("h"), F.col("around").alias("theirs"), F.col("newest").alias("lately"))
+        news = asked.join(theirs, "h").select("dim", "home", F.explode(F.when(F.col("new"), F.array_union("theirs", F.array("h"))).otherwise(F.col("lately"))).alias("id")).distinct()
         active = news.select("dim", "home").distinct()
         own = lists.join(active, ["dim", "home"], "left_semi").select("dim", "home", "id")
         found = news.unionByName(own).distinct().join(nodes.select("id", "vec"), "id").select("dim", "home", "id", "vec")
-        better = lists.groupBy("dim", "home").cogroup(found.groupBy("dim", "home")).applyInPandas(_improve, LISTS)
+        better = lists.groupBy("dim", "home").cogroup(found.groupBy("dim", "home")).applyInArrow(_improve, LISTS)
         after = scratch.write(better, f"lists{n}")
         updates = after.agg(F.sum("updates")).first()[0] or 0
         scratch.drop(f"lists{n - 1}")
         scratch.drop(f"known{n}")
         lists = after
-        if updates <= max(none, SETTLED * total * K):
+        if updates <= SETTLED * total * K:
             return lists
-        none = 0
 
 
 class Graph(NamedTuple):
@@ -311,9 +342,6 @@ def neighbour_pairs(found: DataFrame) -> DataFrame:
     return found.select(F.least("vec_id", "neighbour").alias("vec_id_a"), F.greatest("vec_id", "neighbour").alias("vec_id_b")).distinct()
 
 
-SCORED = "query_id bigint, id bigint, similarity float"
-
-
 def _entries(queries: DataFrame, graph: Graph, beam: int) -> DataFrame:
     """(query_id, id, similarity): the best of one block of each leaf that a query falls into.
 
@@ -329,15 +357,22 @@ def _entries(queries: DataFrame, graph: Graph, beam: int) -> DataFrame:
     held = held.join(shares, ["dim", "tree", "leaf"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
     key = ["dim", "tree", "leaf", "part", "share"]
 
-    def meet(some: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if not len(some) or not len(block):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "similarity": np.zeros(0, np.float32)})
-        s = _unit(some["vec"].tolist()) @ _unit(block["vec"].tolist()).T
-        k = min(beam, s.shape[1])
-        best = np.argpartition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k :]
-        return pd.DataFrame({"query_id": np.repeat(some["id"].to_numpy(), k), "id": block["id"].to_numpy()[best].ravel(), "similarity": np.take_along_axis(s, best, 1).ravel()})
+    def meet(some: pa.Table, block: pa.Table) -> pa.Table:
+        n, m = some.num_rows, block.num_rows
+        k = min(beam, m)
+        near, sims = np.zeros((n, k), np.int64), np.zeros((n, k), np.float32)
+        if n and m:
+            ids, asking, unit = block["id"].to_numpy(), _column_unit(some["vec"]), _column_unit(block["vec"])
+            for rows in np.array_split(np.arange(n), -(-n * m // CELLS)):
+                s = asking[rows] @ unit.T
+                best = np.argpartition(s, m - k, axis=1)[:, m - k :]
+                near[rows], sims[rows] = ids[best], np.take_along_axis(s, best, 1)
+        return pa.table({"query_id": pa.array(np.repeat(some["id"].to_numpy(), k), pa.int64()), "id": pa.array(near.ravel()), "similarity": pa.array(sims.ravel())})
 
-    return q.select(*key, "id", "vec").groupBy(*key).cogroup(held.select(*key, "id", "vec").groupBy(*key)).applyInPandas(meet, SCORED)
+    return q.select(*key, "id", "vec").groupBy(*key).cogroup(held.select(*key, "id", "vec").groupBy(*key)).applyInArrow(meet, SCORED)
+
+
+SCORED = "query_id bigint, id bigint, similarity float"
 
 
 def search(queries: DataFrame, graph: Graph, k: int = K, beam: int = 24, copies: bool = False) -> DataFrame:
@@ -360,8 +395,8 @@ def search(queries: DataFrame, graph: Graph, k: int = K, beam: int = 24, copies:
                 s = np.zeros(len(dim), dtype=np.float32)
                 for d in np.unique(dim):
                     at = np.flatnonzero(dim == d)
-                    qs, vs = (b.column(c).take(pa.array(at)).to_pylist() for c in (3, 4))
-                    s[at] = (_unit(qs) * _unit(vs)).sum(1)
+                    qs, vs = (_column_unit(b.column(c).take(pa.array(at))) for c in (3, 4))
+                    s[at] = (qs * vs).sum(1)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s)], names=["query_id", "id", "similarity"])
 
         return rows.join(q, "query_id").join(graph.nodes.select("id", F.col("vec").alias("nvec")), "id").select("query_id", "dim", "id", "qvec", "nvec").mapInArrow(run, SCORED)

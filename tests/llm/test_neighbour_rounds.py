@@ -21,8 +21,8 @@ def test_rounds_converge_from_random_lists(spark):
     blobs = _clustered(n, 24, 180, 3)
     rng = np.random.default_rng(4)
     nodes = spark.createDataFrame([(k, 24, bytearray(b)) for k, b in enumerate(blobs)], NODES)
-    start = [(k, 24, k % 40, [int(x) for x in rng.choice(n, neighbours.LIST, replace=False) if x != k], [], True) for k in range(n)]
-    lists = neighbours._descend(nodes, spark.createDataFrame(start, "id long, dim int, home long, near array<long>, sims array<float>, fresh boolean"), n, Scratch(spark))
+    start = [(k, 24, k % 40, [int(x) for x in rng.choice(n, neighbours.LIST, replace=False) if x != k], [], []) for k in range(n)]
+    lists = neighbours._descend(nodes, spark.createDataFrame(start, "id long, dim int, home long, near array<long>, sims array<float>, newest array<long>").withColumn("newest", F.col("near")).withColumn("sims", F.transform("near", lambda _: F.lit(-2.0).cast("float"))), n, Scratch(spark))
     m = neighbours._unit(blobs)
     s = m @ m.T
     np.fill_diagonal(s, -2)
