@@ -21,14 +21,14 @@ _DQ = r'"[^"\\\n]*(?:\\.[^"\\\n]*)*"'
 _SQ = r"'[^'\\\n]*(?:\\.[^'\\\n]*)*'"
 _BLOCK = r"/\*[^*]*\*+(?:[^/*][^*]*\*+)*/"
 _LINE = r"//[^\n]*"
-_REGEX = r"/(?:(?<=[=(,:;!&|?{}\[\n+]/)|(?<=[=(,:;!&|?{}\[+] /)|(?<=return /)|(?<=^/))(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
+_REGEX = r"/(?:(?<=[=(,:;!&|?{}\[\n+]/)|(?<=[=(,:;!&|?{}\[+] /)|(?<=return /)|(?<=^/)|(?<=\n /)|(?<=\n  /)|(?<=\n    /)|(?<=\n      /)|(?<=\n        /)|(?<=\n\t/))(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
 _TEMPLATE = r"`[^`\\$]*(?:(?:\\.|\$\{(?:[^`{}]|`[^`]*`|\{[^{}]*\})*\}|\$(?!\{))[^`\\$]*)*`"
 
 _PATTERNS = {
     "python": rf'#[^\n]*|("""[^"\\]*(?:(?:\\.|"(?!""))[^"\\]*)*"""|\'\'\'[^\'\\]*(?:(?:\\.|\'(?!\'\'))[^\'\\]*)*\'\'\'|{_DQ}|{_SQ})',
     "javascript": rf"{_LINE}|{_BLOCK}|({_DQ}|{_SQ}|{_TEMPLATE}|{_REGEX})",
     "go": rf"{_LINE}|{_BLOCK}|({_DQ}|`[^`]*`|'(?:[^'\\\n]|\\[^\n][^'\n]*)')",
-    "rust": rf"{_LINE}|/\*(?:[^*/]|\*(?!/)|/(?!\*)|{_BLOCK})*\*/|(\"[^\"\\]*(?:\\.[^\"\\]*)*\"|'(?:[^'\\\n]|\\[^\n][^'\n]*)')|'[A-Za-z_]\w*",
+    "rust": rf"{_LINE}|/\*(?:[^*/]|\*(?!/)|/(?!\*)|{_BLOCK})*\*/|((?<![\w])[bc]?r(?:\"[^\"]*\"|\#\"(?:[^\"]|\"(?!\#))*\"\#|\#\#\"(?:[^\"]|\"(?!\#\#))*\"\#\#)|\"[^\"\\]*(?:\\.[^\"\\]*)*\"|'(?:[^'\\\n]|\\[^\n][^'\n]*)')|'[A-Za-z_]\w*",
     "c": rf"{_LINE}|{_BLOCK}|\#[ \t]*(?:include|error|warning|pragma|line)\b[^\n]*|({_DQ}|{_SQ})",
     "csharp": rf'{_LINE}|{_BLOCK}|\#[ \t]*(?:region|endregion|error|warning|pragma|nullable|line)\b[^\n]*|("""[^"]*(?:"(?!"")[^"]*)*"""|@"[^"]*(?:""[^"]*)*"|\$@"[^"]*(?:""[^"]*)*"|\$"(?:[^"\\{{\n]|\\.|\{{\{{|\{{[^{{}}"]*(?:"[^"]*"[^{{}}"]*)*\}})*"|{_DQ}|{_SQ})',
     "json": rf"({_DQ})",
@@ -37,7 +37,6 @@ _PATTERNS = {
 }
 _PATTERNS["typescript"] = _PATTERNS["javascript"]
 LEXERS = {k: re.compile(v, re.S) for k, v in _PATTERNS.items()}
-_RAW_RUST = re.compile(r'\bb?r(#*)".*?"\1', re.S)
 
 
 @dataclass(slots=True)
@@ -60,12 +59,10 @@ def language_of(language: str | None, path: str | None) -> str | None:
 
 def pieces(text: str, language: str) -> list[str | None]:
     """code, literal or None, code, ...: odd places hold literals (None: a comment)."""
-    if language == "rust" and 'r"' in text or language == "rust" and 'r#"' in text:
-        text = _RAW_RUST.sub('""', text)
     return LEXERS[language].split(text)
 
 
-_OPENERS = {
+OPENERS = {
     "python": re.compile(r"[\"']"), "javascript": re.compile(r"[\"'`]|/\*"), "typescript": re.compile(r"[\"'`]|/\*"), "go": re.compile(r"[\"'`]|/\*"),
     "rust": re.compile(r"[\"']|/\*"), "c": re.compile(r"[\"']|/\*"), "csharp": re.compile(r"[\"']|/\*"), "json": re.compile('"'), "conf": re.compile(r"(?!)"),
 }
@@ -83,4 +80,48 @@ def scan(text: str, language: str) -> Scan:
         joined.append('""' if mark is not None else " ")
         joined.append(piece)
     literals = [m for m in marks if m is not None]
-    return Scan("".join(joined), literals, sum(map(len, literals)), bool(_OPENERS[language].search("".join(code))))
+    return Scan("".join(joined), literals, sum(map(len, literals)), bool(OPENERS[language].search("".join(code))))
+
+
+_SCRIPT_TOKEN = re.compile(rf"{_LINE}|{_BLOCK}|({_DQ}|{_SQ}|{_REGEX})|(`)|([{{}}])", re.S)
+_TEMPLATE_PART = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*(?:(`)|\$\{)", re.S)
+
+
+def scan_script(text: str) -> Scan:
+    """JavaScript and TypeScript with a stack for templates within templates, for texts that the pattern leaves open."""
+    out, literals, at, stack, opened = [], [], 0, [], False
+    while m := _SCRIPT_TOKEN.search(text, at):
+        out.append(text[at : m.start()])
+        at = m.end()
+        in_template = m.group(2) is not None
+        if m.group(1) is not None:
+            literals.append(m.group(1))
+            out.append('""')
+        elif brace := m.group(3):
+            if brace == "{":
+                stack.append("{")
+                out.append("{")
+            elif stack and stack[-1] == "`":
+                stack.pop()
+                in_template = True
+                out.append(")")
+            else:
+                if stack:
+                    stack.pop()
+                out.append("}")
+        elif not in_template:
+            out.append(" ")
+        if in_template:
+            part = _TEMPLATE_PART.match(text, at)
+            if part is None:
+                opened = True
+                break
+            literals.append(part.group())
+            at = part.end()
+            out.append('""')
+            if part.group(1) is None:
+                stack.append("`")
+                out.append("+(")
+    out.append(text[at:] if not opened else "")
+    code = "".join(out)
+    return Scan(code, literals, sum(map(len, literals)), opened or bool(OPENERS["javascript"].search(code.replace('""', ""))))

@@ -1,87 +1,68 @@
 """Source files that do not parse (problem 3): lexers, a pushdown stack over brackets, and statement checks.
 
 A file is damaged if a literal or comment isn't closed, brackets don't match, a conflict marker stands in code, the text
-ends before its last statement does, or its statements belong to another language. Python's last top-level statement is
-also compiled and JSON parsed, as exact checks. Names, types and imports are not looked at.
+ends before its last statement does, or it holds what the grammar of its language has nowhere: names side by side, an item
+that no item of the language begins like, a token or a place of a colon that it doesn't know. Text of another language is
+found by these rules too. Python is compiled (to a syntax tree only) and JSON parsed as a whole, as exact checks. Names,
+types and imports are not looked at; of the arms of a preprocessor condition the first that can hold is read.
 
 Defined results: files of other languages, without text rows or with a null path are never flagged; an empty text is
-valid except in JSON and Go; a language that is null is taken from the path's extension.
+valid except in JSON and Go; a language that is null is taken from the path's extension; a byte order mark is no fault.
 """
 
 from __future__ import annotations
 
+import ast
 import json
 import re
 import warnings
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .assemble import File, per_file
-from .lexers import Scan, language_of, scan
+from .lexers import OPENERS, Scan, language_of, scan, scan_script
 
 _PAIRS = {")": "(", "]": "[", "}": "{"}
 _BRACKET = re.compile(r"[()\[\]{}]")
 _CONFLICT = re.compile(r"^(?:<{7}|={7}|>{7}|\|{7})(?![<=>|])", re.M)
 _INNERMOST = re.compile(r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}")
-
-#: Statement heads that the language of the key never has outside literals and comments.
-_PY_LINE_HEADS = r"def \w+[ \t]*\(|from [\w.]+ import |elif |import [\w.]+[ \t]*$"
-_PY_BLOCK_HEADS = r"except\b[^;{]*:[ \t]*$|(?:if|for|while|with|else|try|finally|class)\b[^{};?\n]*:[ \t]*$"
-_PY_HEADS = f"{_PY_LINE_HEADS}|{_PY_BLOCK_HEADS}"
-_GO_HEADS = r"package \w+[ \t]*$|func [\w(]|\w+(?:, \w+)* := |defer \w|type \w+ (?:struct|interface)\b|import \($"
-_RUST_HEADS = r"(?:pub(?:\(\w+\))? )?(?:fn |impl\b|mod \w+;)|use [\w:]+(?:::|;)|let mut |println!|match [^{]*\{[ \t]*$"
-_C_HEADS = r"(?:static |const |unsigned |inline )*(?:int|void|char|struct|size_t|unsigned) \*?\w+[ \t]*[(;=\[*]|struct \w+ (?:\*|\{)|#[ \t]*(?:define|ifdef|ifndef|endif|if)\b"
-_CS_HEADS = r"using [\w.]+;|namespace [\w.]+[;{ \t]*$|(?:public|private|internal|protected)(?: (?:static|sealed|abstract|partial|override))* (?:class|struct|enum|record) |(?:public|private|internal|protected) (?!async |readonly |static |get |set )[\w<>\[\]]+ \w+\("
-_JS_HEADS = r"(?:export )?(?:default )?(?:async )?function\b|import [\w{*][^;\n]* from |export (?:const|let|var|class|default)\b|console\.|(?:const|let|var) \w+ = "
-_TS_ONLY = r"(?:export )?interface \w+[^;\n]*\{|(?:export )?type \w+ = |(?:const|let|var) \w+: [\w<>\[\]| ]+ = |(?:private|public|readonly|protected) \w+[(:]"
-_TS_INLINE = r"function \w*\([^)\n]*\w\??: \w|\)[ \t]*: [\w<>\[\]]+ \{|\bas unknown\b|\bclass \w+[^{\n]* implements "
-_JS_FOREIGN = r"(?:pub |fn \w|impl |use [\w:]+;|let mut )"
-_JS_FOREIGN_C = r"#[ \t]*(?:define|ifdef|ifndef|endif)\b|(?:static )?(?:int|void|char|struct) [*\w]"
-_MARKS = {
-    _GO_HEADS: ("package ", "func ", ":=", "defer ", " struct", "import (\n"), _RUST_HEADS: ("fn ", "impl ", "mod ", "use ", "let mut", "println!", "match "),
-    _CS_HEADS: ("using ", "namespace ", "public ", "private ", "internal ", "protected "), _TS_ONLY: ("interface ", "type ", ": ", "private ", "public ", "readonly ", "protected "),
-    _JS_FOREIGN: ("pub ", "fn ", "impl ", "use ", "let mut "), _JS_FOREIGN_C: ("#", "int ", "void ", "char ", "struct "),
-}
-_FOREIGN = {
-    "python": [_GO_HEADS, _RUST_HEADS, r"(?:export |async function|function \w+\(|const |let |var |public |private |internal |namespace |using [\w.]+;|package \w)"],
-    "javascript": [_PY_HEADS, _GO_HEADS, _JS_FOREIGN, _JS_FOREIGN_C, _CS_HEADS, _TS_ONLY],
-    "typescript": [_PY_HEADS, _GO_HEADS, _JS_FOREIGN, _JS_FOREIGN_C, r"using [\w.]+;|namespace [\w.]+;|(?:public|private|internal|protected)(?: static)? (?!async |readonly |static |get |set |abstract |constructor)[\w<>\[\]]+ \w+[ \t]*\(|internal |(?:public|private) (?:sealed |static |partial )*(?:class|struct|enum|record) "],
-    "go": [_PY_HEADS, r"(?:pub |fn |impl |use |let |namespace |using |public |private |export |class |async |console\.)"],
-    "rust": [_PY_HEADS, _GO_HEADS, _CS_HEADS, r"(?:export |async function|function |import |var |class |#include|console\.|(?:static )?(?:int|void|char|struct \w+ \*)[ *]\w+[ \t]*\(|const \w+ = )"],
-    "c": [_PY_HEADS, _GO_HEADS, _CS_HEADS, r"(?:pub |fn |impl |use [\w:]+|let |import |export |async |function |class |var |const \w+ = |console\.|namespace )"],
-    "csharp": [_PY_HEADS, _GO_HEADS, r"(?:pub |fn |impl |use [\w:]+;|let |import |export |async function|function |const \w+ = |console\.|#include|(?:static )?(?:int|void) \w+\(struct |struct \w+ \*)"],
-}
-def _gated(patterns: list[str]) -> list[tuple[tuple[str, ...], re.Pattern]]:
-    """(literal marks, pattern): the pattern can only match code that has one of the marks, which is quick to test."""
-    out = []
-    for x in patterns:
-        if x == _PY_HEADS:
-            out += [((":\n", ": \n"), re.compile(rf"^[ \t]*(?:{_PY_BLOCK_HEADS})", re.M)), (("def ", "elif ", "\nfrom ", "import "), re.compile(rf"^[ \t]*(?:{_PY_LINE_HEADS})", re.M))]
-        else:
-            out.append((_MARKS.get(x, ("pub ", "fn ", "impl ", "use ", "let ", "export ", "function", "class ", "const ", "var ", "#", "int ", "void ", "char ", "struct ", "import ", "console.", "namespace ", "using ", "public ", "private ", "internal ", "async ", "package ")), re.compile(rf"^[ \t]*(?:{x})", re.M)))
-    return out
-
-
-_FOREIGN_HEAD = {k: _gated(v) for k, v in _FOREIGN.items()}
-
-
-def _is_foreign(code: str, language: str) -> bool:
-    for marks, pattern in _FOREIGN_HEAD[language]:
-        if (not marks or any(m in code for m in marks)) and pattern.search(code):
-            return True
-    return language in _FOREIGN_INLINE and bool(_FOREIGN_INLINE[language].search(code))
-
-
-_FOREIGN_INLINE = {"javascript": re.compile(_TS_INLINE)}
 _GO_PACKAGE = re.compile(r"\s*package \w+[ \t]*(?:\n|;|$)")
 
-# Python's own statement checks, on lines whose brackets are collapsed.
-_PY_WORDS = frozenset("and or not in is if else elif for while with as def class return yield import from lambda del raise assert global nonlocal async await pass break continue except finally try match case type None True False print exec".split())
-_PY_BLOCK = re.compile(r"(?:async[ \t]+)?(?:def|class|if|elif|else|for|while|with|try|except|finally)\b")
-_PY_ADJACENT = re.compile(r"\b([A-Za-z_]\w*)[ \t]+(?=([A-Za-z_]\w*)\b)")
-_PY_TOP = re.compile(r"^(?!(?:else|elif|except|finally|case)\b)[A-Za-z_]", re.M)
-_PY_STRAY = re.compile(r"[$?`;{}]|!(?!=)|(?<!\w)[^\x00-\x7f\w]|//[ \t]*$|^[ \t]*//|[=+\-*/%<>&|^,.][ \t]*$", re.M)
+# Words of the languages' grammars.
+#: Words that a name may follow on the same line in JavaScript, and words that may follow a name.
+_JS_BEFORE = frozenset("async await break continue case class const default delete do else export extends from function get import in instanceof let new of return set static throw typeof using var void yield as accessor".split())
+_JS_AFTER = frozenset("in of instanceof extends from as".split())
+_TS_BEFORE = _JS_BEFORE | frozenset("abstract asserts declare enum global implements infer interface is keyof module namespace out override private protected public readonly satisfies type unique".split())
+_TS_AFTER = _JS_AFTER | frozenset("is implements satisfies".split())
+#: What an item of a Rust file, and a line of a Go file outside all brackets, begins with.
+_RUST_ITEM = re.compile(r"\s*(?:#[ \t]*!?[ \t]*@\s*)*(?:(?:pub|crate|fn|struct|enum|union|impl|trait|mod|use|const|static|type|extern|unsafe|async|auto|default|macro|safe|macro_rules)\b|(?:::)?[A-Za-z_]\w*(?:[ \t]*::[ \t]*\w+)*[ \t]*!|;|$)")
+_GO_LINE = re.compile(r"(?:package|import|func|var|const|type)\b|[@)}\]\"]")
+_CS_DIRECTIVE = re.compile(r"^[ \t]*#[ \t]*(?!(?:if|elif|else|endif|define|undef|warning|error|line|region|endregion|pragma|nullable|r|load)\b|!|:)", re.M)
+#: Words one of which stands before a brace outside all brackets in C# (a call, an assignment or a lambda apart).
+_CS_BLOCK = re.compile(r"[(=@]|\b(?:namespace|class|struct|interface|enum|record|extension|try|do|else|finally|catch|checked|unchecked|unsafe|get|set|init|add|remove|switch|with|where)\b")
+_CS_WORDS = frozenset(
+    "abstract as async await base bool break by byte case catch char checked class const continue decimal default delegate descending ascending do double dynamic else enum equals event explicit extern false file finally fixed float for foreach from get global goto group if implicit in init int interface internal into is join let lock long managed nameof namespace new nint not notnull nuint null object on operator or and orderby out override params partial private protected public readonly record ref remove add required return sbyte scoped sealed select set short sizeof stackalloc static string struct switch this throw true try typeof uint ulong unchecked unmanaged unsafe ushort using value var virtual void volatile when where while with yield alias allows field".split()
+)
+#: A type's declaration behind a word that is no modifier.
+_CS_TYPE = re.compile(r"\b(?!(?:public|private|protected|internal|static|sealed|abstract|partial|readonly|ref|unsafe|file|new|record)\b)[A-Za-z_]\w*[ \t]+(?:class|interface|enum|struct)[ \t]+\w")
+_C_BLOCK = re.compile(r"[(=\]@]|\b(?:struct|union|enum|extern)\b|\b[A-Z][A-Z0-9_]+\b")
+
+_SPACED_NAMES = re.compile(r"(?<![\w$.])([A-Za-z_$][\w$]*)[ \t]+(?=([A-Za-z_$][\w$]*))")
+_THREE_NAMES = re.compile(r"(?<![\w.@])([A-Za-z_]\w*)\s+(?=([A-Za-z_]\w*)\s+([A-Za-z_]\w*))")
+_NO_VALUE = re.compile(r"(?<![=!<>+\-*/%&|^:?.~])=(?:[ \t]*[;)\]]|[ \t]+=[ \t])|\b(return|if|while|for|else|break|var|let|const)[ \t]+\1\b")
+_JSX = re.compile(r"</[A-Za-z>]|/>")
+_TYPED_NAME = re.compile(r"(?<![\w$.])(?:const|let|var)[ \t]+[\w$]+[ \t]*:")
+_PARENS = re.compile(r"\(([^()\[\]{}]*)\)")
+_BRACES = re.compile(r"\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}")
+_RETURN_TYPE = re.compile(r"@[ \t]*:[ \t]*[\w$<>|.&, \t]+@?[ \t]*$")
+_DIRECTIVE = re.compile(r"^[ \t]*#[ \t]*(\w*)((?:[^\n\\]|\\.)*)\n?", re.M | re.S)
+#: Tokens that the language has nowhere.
+_ALIEN = {
+    "c": re.compile(r"::|:=|=>|[`@]|\.\w+[ \t]+(?!\w+\.)[A-Za-z_]\w*[ \t]*\n"), "csharp": re.compile(r":=|`|(?<!global)(?<![\w])\b(?!global\b)\w+[ \t]*::"),
+    "javascript": re.compile(r"::|:=|(?<![\w$\"])->"), "typescript": re.compile(r"::|:=|(?<![\w$\"])->"), "go": re.compile(r"::|=>|;[ \t]*\n[ \t]*;"), "rust": re.compile(r":=|`|\+\+[;)]"),
+}
 
 
 def bracket_error(code: str) -> str | None:
@@ -97,71 +78,125 @@ def bracket_error(code: str) -> str | None:
     return "premature_end" if stack else None
 
 
-def _python_error(code: str) -> str | None:
-    flat = code.replace("\\\n", " ")
+def _conditions(code: str) -> tuple[str, bool]:
+    """The code without directives and without the arms of conditions that are not read, and whether conditions match."""
+    out, at, stack = [], 0, []
+    for m in _DIRECTIVE.finditer(code):
+        if all(stack):
+            out.append(code[at : m.start()])
+        out.append("\n")
+        at, word = m.end(), m.group(1)
+        if word in ("if", "ifdef", "ifndef"):
+            stack.append(m.group(2).strip() not in ("0", "false"))
+        elif word in ("else", "elif", "elifdef", "elifndef"):
+            if not stack:
+                return code, False
+            # True: this arm is read; None: an arm has been read; False: none yet
+            stack[-1] = None if stack[-1] is not False else True
+        elif word == "endif":
+            if not stack:
+                return code, False
+            stack.pop()
+    if all(stack):
+        out.append(code[at:])
+    return "".join(out), not stack
+
+
+def _collapsed(code: str) -> str:
+    """The code outside all brackets, each outermost pair as ``@``."""
     while True:
-        flat, n = _INNERMOST.subn("@", flat)
+        code, n = _INNERMOST.subn("@", code)
+        if not n:
+            return code
+
+
+def _script_error(code: str, typed: bool) -> bool:
+    """JavaScript and TypeScript: names side by side; in JavaScript also types after colons."""
+    before, after = (_TS_BEFORE, _TS_AFTER) if typed else (_JS_BEFORE, _JS_AFTER)
+    if not _JSX.search(code):
+        for a, b in _SPACED_NAMES.findall(code):
+            if a not in before and b not in after and (a, b) != ("for", "await"):
+                return True
+    if typed:
+        return False
+    if _TYPED_NAME.search(code):
+        return True
+    flat = code
+    while True:  # a colon right between round brackets is a conditional's, and so is one behind them
+        for inner in _PARENS.findall(flat):
+            if ":" in inner and "?" not in inner:
+                return True
+        flat, n = _INNERMOST.subn(lambda m: "@" if m.group()[0] != "{" else "{}", flat.replace("{}", "\u0001"))
+        flat = flat.replace("\u0001", "@{" + "}")
         if not n:
             break
-    if "\t" in flat:
-        flat = flat.expandtabs(8)
-    for a, b in _PY_ADJACENT.findall(flat):
-        if a not in _PY_WORDS and b not in _PY_WORDS:
-            line = flat[: flat.find(f"{a} {b}")].rsplit("\n", 1)[-1].strip()
-            if not line.startswith(("type ", "match ", "case ")):
-                return "statement"
-    if _PY_STRAY.search(flat):
-        for line in flat.split("\n"):
-            bare = line.strip()
-            if ";" in bare and not re.search(r";[ \t]*\w", bare) and not bare.endswith(";"):
-                return "statement"
-            if _PY_STRAY.search(bare.replace(";", "")) and not bare.endswith((":", "*", "...")):
-                return "statement"
-    levels, opened = [0], False
-    for line in flat.split("\n"):
-        bare = line.lstrip()
-        if not bare:
-            continue
-        width = len(line) - len(bare)
-        if opened:
-            if width <= levels[-1]:
-                return "statement"
-            levels.append(width)
-            opened = False
-        elif width != levels[-1]:
-            while width < levels[-1]:
-                levels.pop()
-            if width != levels[-1]:
-                return "statement"
-        if bare[0] in "adcieftw" and _PY_BLOCK.match(bare):
-            if ":" not in bare:
-                return "statement"
-            opened = bare.rstrip().endswith(":")
-        elif bare[-1] == ":":
-            if not bare.startswith(("match ", "match@", "case ", "case@")):
-                return "statement"
-            opened = True
-    if opened:
-        return "premature_end"
-    # Exact check of the end: the last top-level statement, literals emptied, must compile.
-    last_top = 0
-    for m in _PY_TOP.finditer(code):
-        last_top = m.start()
+        flat = flat.replace("@{" + "}", "@")
+    return False
+
+
+def _outer_error(code: str, language: str) -> bool:
+    """Rust, Go, C and C#: what stands outside all brackets must be items of the language."""
+    # A block ends an item; other brackets belong to it.
+    marked, depth, at, out = code, 0, 0, []
+    for m in _BRACKET.finditer(marked):
+        b = m.group()
+        if b in "([{":
+            if not depth:
+                out.append(marked[at : m.start()])
+            depth += 1
+        else:
+            depth -= 1
+            if not depth:
+                out.append("{" + "}" if b == "}" else "@")
+                at = m.end()
+    outer = "".join([*out, marked[at:]])
+    if language == "go":
+        joined = re.sub(r"([,=+\-*/%&|<>.(])[ \t]*\n\s*", r"\1 ", outer.replace("{" + "}", "@"))
+        return any(not _GO_LINE.match(x.strip()) for x in joined.split("\n") if x.strip() and x.strip() != ";")
+    if language == "rust":
+        return any(not _RUST_ITEM.match(x) for x in re.split(r";|\{\}(?!\s*(?:[;,=+|\-]|as\b|else\b|from\b))", outer))
+    block = _C_BLOCK if language == "c" else _CS_BLOCK
+    for item in re.split(r";", outer):
+        *heads, rest = re.split(r"\{\}", item)
+        for k, head in enumerate(heads):
+            if head.strip() and not block.search(head) and not (k and heads[0].strip()):
+                return True
+            if head.strip() and k and not block.search(head):
+                return True
+    if language == "c":
+        for item in re.split(r"[;]|\{\}", outer):
+            head = item.partition("=")[0]
+            if ":" in head and not re.search(r"\benum\b[^:]*:[ \t]*\w", head) or re.search(r"[A-Za-z_]\w*\.[A-Za-z_]", head) or re.search(r'\b(?!extern|asm|__asm__|_Pragma)[a-z]\w*[ \t]+""', head):
+                return True
+        return False
+    return bool(_CS_TYPE.search(code)) or any(not {a, b, c} & _CS_WORDS for a, b, c in _THREE_NAMES.findall(code))
+
+
+def _compiles(text: str) -> bool:
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            compile(code[last_top:] + "\n", "tail", "exec", dont_inherit=True)
+            compile(text, "text", "exec", ast.PyCF_ONLY_AST, dont_inherit=True)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return "premature_end"
-    return None
+        return False
+    return True
 
 
 #: First code that no text of the language begins with: markup, or a data document.
-_DATA_HEAD = {k: re.compile(r"\s*<" if k in ("python", "go") else r'\s*(?:<|\{\s*""\s*:)' if k in ("javascript", "typescript") else r"\s*[<{(]") for k in ("python", "javascript", "typescript", "go", "rust", "c", "csharp")}
+_DATA_HEAD = {k: re.compile(r"\s*<" if k == "go" else r'\s*(?:<|\{\s*""\s*:)' if k in ("javascript", "typescript") else r"\s*[<{(]") for k in ("javascript", "typescript", "go", "rust", "c", "csharp")}
+
+
+def _lexical_error(code: str, lexed: Scan) -> str | None:
+    if _CONFLICT.search(code):
+        return "conflict_marker"
+    if lexed.open_quote:
+        return "unterminated"
+    return bracket_error(code)
 
 
 def syntax_error(text: str, language: str) -> str | None:
     """The first fault found: conflict_marker, unterminated, unbalanced, premature_end, foreign, statement; or None."""
+    text = text.removeprefix("\ufeff")
     if language == "json":
         try:
             json.loads(text, parse_constant=_refuse)
@@ -170,25 +205,38 @@ def syntax_error(text: str, language: str) -> str | None:
                 return "conflict_marker"
             return bracket_error(scan(text, "json").code) or "statement"
         return None
+    if language in ("javascript", "typescript") and text.startswith("#!"):
+        text = text[text.find("\n") + 1 :] if "\n" in text else ""
     lexed: Scan = scan(text, language)
     code = lexed.code
+    if language == "python":
+        # The lexer names the fault; that there is one is for the compiler to say.
+        return None if _compiles(text) else _lexical_error(code, lexed) or "statement"
+    if language in ("javascript", "typescript") and (lexed.open_quote or "`" in text and bracket_error(code)):
+        lexed = scan_script(text)
+        code = lexed.code
     if _CONFLICT.search(code):
         return "conflict_marker"
-    if lexed.open_quote:
-        return "unterminated"
-    if fault := bracket_error(code):
+    if language in ("c", "csharp") and "#" in code:
+        if language == "csharp" and _CS_DIRECTIVE.search(code):
+            return "statement"
+        code, matched = _conditions(code)
+        if not matched:
+            return "premature_end"
+        lexed = replace(lexed, open_quote=lexed.open_quote and bool(OPENERS[language].search(code.replace('""', ""))))
+    if fault := _lexical_error(code, lexed):
         return fault
-    if _DATA_HEAD[language].match(code):
+    if _DATA_HEAD[language].match(code) or language == "go" and not _GO_PACKAGE.match(code):
         return "foreign"
-    if language == "go" and not _GO_PACKAGE.match(code):
-        return "foreign"
-    if _is_foreign(code, language):
-        return "foreign"
-    if language == "python":
-        return _python_error(code)
+    if _ALIEN[language].search(code) or _NO_VALUE.search(code) and language != "rust":
+        return "statement"
+    if _script_error(code, language == "typescript") if language in ("javascript", "typescript") else _outer_error(code, language):
+        return "statement"
     return _statement_end(code, language)
 
 
+#: A last item that is nothing but a name and its arguments is a macro's call.
+_MACRO_CALL = re.compile(r"(?:^|[;}@\n])[ \t]*[A-Za-z_]\w*[ \t]*@$")
 _UNFINISHED = re.compile(r"(?:[=+\-*/%&|^,.(\[{:<]|\b(?:return|else|const|let|var|new|import|from|func|fn|class))\s*$")
 
 
@@ -198,7 +246,8 @@ def _statement_end(code: str, language: str) -> str | None:
     if not tail:
         return None
     if language in ("c", "csharp", "rust") and tail[-1] not in ";}" and not tail.rsplit("\n", 1)[-1].lstrip().startswith("#"):
-        return None if language == "rust" and tail[-1] in ")]" else "premature_end"
+        macro = language == "rust" and tail[-1] in ")]" or language == "c" and _MACRO_CALL.search(_collapsed(tail))
+        return None if macro else "premature_end"
     return "premature_end" if _UNFINISHED.search(tail) and not tail.endswith(("++", "--")) else None
 
 
