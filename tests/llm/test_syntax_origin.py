@@ -67,7 +67,7 @@ def test_faults_over_dirty_tables(spark):
 
 
 def _kind(path, text, language=None, digest="", texts=(), hashes=()):
-    emit = origin._judge(frozenset(["lumenkit"]), frozenset(hashes), list(texts))
+    emit = origin._judge(frozenset(["lumenkit"]), frozenset(hashes), [origin.shingles(t) for t in texts])
     return emit(File("p", path, [(1, language, None, None, None, digest)], text))[0][4]
 
 
@@ -103,6 +103,32 @@ def test_origin_by_layout_literals_and_similarity():
     assert _kind("src/e.py", "") is None and _kind("src/e.py", None) is None
 
 
+def test_canonical_lines():
+    original, emitted = origin.canonical("if (a; b) {\n  x = [1,\n  2];\n} else { y(); }\nz", "javascript")
+    assert original == ["if @ {", "  x = @;", "} else { y@; }", "z"]
+    assert [x.strip() for x in emitted] == ["if @ {", "x = @;", "} else {", "y@;", "}", "z"]
+    allman, knr = "int f(int a)\n{\n    g(a);\n    return 1;\n}\n", "int f(int a) {\n    g(a);\n    return 1;\n}\n"
+    for text in (allman, knr):
+        m = origin.layout(text, "c")
+        assert m["uniform"] == 1.0 and 0.7 <= m["expansion"] <= 1.0
+    assert origin.layout(knr.replace("\n", " "), "c")["expansion"] >= 4
+    assert origin.layout(knr.replace("    g(a);\n    return", "  g(a); return"), "c")["uniform"] < 0.9
+
+
+def test_a_generated_header_over_an_irregular_layout_is_not_believed():
+    head = "// Code generated by x. DO NOT EDIT.\n"
+    tidy = "".join(f"function f{k}(a) {{\n    g(a, {k});\n    return a;\n}}\n" for k in range(5))
+    assert _kind("src/a.js", head + tidy) == "generated"
+    assert _kind("src/a.js", head + tidy.replace(";\n    return", "; return").replace("    g", "   g  ")) is None
+
+
+def test_rewrapped_and_indented_copies_are_similar():
+    known = "\n".join(f"def function_number_{k}(argument, other):\n    return argument + {k} * other" for k in range(30))
+    changed = "\r\n".join("\t\t" + x for x in known.replace("(argument, other)", "(\n argument,\n other)").split("\n"))
+    assert _kind("src/a.py", changed, texts=["unlike " * 9, known]) == "vendored"
+    assert _kind("src/a.py", known[: len(known) // 2], texts=[known]) is None
+
+
 def test_origins_over_tables(spark):
     cat = spark.createDataFrame([(1, "lumenkit", "lumenkit/a.py", "h1", 10), (2, None, None, None, None)], "item_id int, library string, path string, content_hash string, size long")
     files = [(1, "p", "x/a.py", "h1", 3, "ok", 1, "python", None, None), (2, "p", "y/b.py", "h2", 3, "ok", 1, "python", None, None), (3, "p", "z/c.py", None, None, None, None, None, None, None)]
