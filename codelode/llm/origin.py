@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import BROADCAST_LIMIT
+from ..common import BROADCAST_LIMIT, durable, maybe_broadcast
 from .assemble import File, per_file
 from .lexers import LEADING, language_of, scan
 
@@ -232,16 +232,20 @@ def _judge(libraries: frozenset[str], hashes: frozenset[str], known: list[np.nda
     return emit
 
 
-def _catalogued(files: DataFrame, chunks: DataFrame, listed: DataFrame) -> list[tuple[str, np.ndarray]]:
-    """(hash, shingles) for each listed hash that some file has; the shingles are made by the tasks."""
+def _catalogued(files: DataFrame, chunks: DataFrame, hashes: frozenset[str]) -> list[tuple[str, np.ndarray]]:
+    """(hash, shingles) for each listed hash that some file has; the shingles are made by the tasks.
+
+    ``hashes`` and the files chosen, one for each, have no more rows than the catalogue.
+    """
+    listed = maybe_broadcast(files.sparkSession.createDataFrame([(h,) for h in sorted(hashes)], "content_hash string"), len(hashes), 100)
     held = files.where("project IS NOT NULL AND path IS NOT NULL").select(F.lower("content_hash").alias("content_hash"), "project", "path").join(listed, "content_hash")
     one = held.groupBy("content_hash").agg(F.min(F.struct("project", "path")).alias("f")).select("content_hash", "f.project", "f.path")
-    some = chunks.join(one.select("project", F.col("path").alias("file")), ["project", "file"], "left_semi")
+    some = chunks.join(maybe_broadcast(one.select("project", F.col("path").alias("file")), len(hashes), 400), ["project", "file"], "left_semi")
 
     def emit(file: File) -> list[tuple]:
         return [(file.rows[0][5], shingles(file.text).tobytes())] if file.text else []
 
-    rows = per_file(one, some, emit, "h string, s binary")
+    rows = durable(per_file(one, some, emit, "h string, s binary"))
     size = rows.agg(F.sum(F.octet_length("s"))).first()[0] or 0
     if size > BROADCAST_LIMIT:
         raise ValueError(f"the catalogue's shingles take {size} bytes; a catalogue of so large files needs parts")
@@ -257,6 +261,6 @@ def origins(files: DataFrame, chunks: DataFrame, catalogue: DataFrame) -> DataFr
     rows = catalogue.select("library", "path", "size", F.lower("content_hash").alias("h")).collect()
     libraries = frozenset(r["library"].lower() for r in rows if r["library"])
     hashes = frozenset(r["h"] for r in rows if r["h"])
-    held = _catalogued(files, chunks, catalogue.where("content_hash IS NOT NULL").select(F.lower("content_hash").alias("content_hash")).distinct()) if hashes else []
+    held = _catalogued(files, chunks, hashes) if hashes else []
     names = [(*r["path"].rsplit("/", 1)[-1].rpartition(".")[::2], int(r["size"])) for r in rows if r["path"] and r["size"] and r["h"] not in {h for h, _ in held}]
     return per_file(files, chunks, _judge(libraries, hashes, [s for _, s in held], frozenset(names)), SCHEMA)

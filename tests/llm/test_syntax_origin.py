@@ -106,7 +106,7 @@ def test_origin_by_layout_literals_and_similarity():
 def test_canonical_lines():
     original, emitted = origin.canonical("if (a; b) {\n  x = [1,\n  2];\n} else { y(); }\nz", "javascript")
     assert original == ["if @ {", "  x = @;", "} else { y@; }", "z"]
-    assert [x.strip() for x in emitted] == ["if @ {", "x = @;", "} else {", "y@;", "}", "z"]
+    assert [x.strip() for x in emitted] == ["if @ {", "x = @;", "}else {", "y@;", "}", "z"]
     allman, knr = "int f(int a)\n{\n    g(a);\n    return 1;\n}\n", "int f(int a) {\n    g(a);\n    return 1;\n}\n"
     for text in (allman, knr):
         m = origin.layout(text, "c")
