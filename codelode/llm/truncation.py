@@ -18,17 +18,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..common import durable
 from .tokens import normal_source
 
 #: Texts the classifier is fitted on at most, artificial cuts of each, and size of the hashed feature space.
 SAMPLE, CUTS, FEATURES = 12_000, 2, 1 << 15
-#: Size of the hashed set of known words, and documents a word must occur in to be known.
-WORDS, KNOWN = 1 << 20, 3
-#: A length is a limit if so many texts of a source have it and so many times the number at the lengths around.
-LIMIT_TEXTS, LIMIT_RATIO, LIMIT_LEAST = 4, 6.0, 120
+#: Size of the hashed set of known words, and documents, or share of all documents, that a word must occur in to be known.
+WORDS, KNOWN, KNOWN_SHARE = 1 << 20, 3, 2e-5
+#: A length is a limit of a source if so much log-likelihood says that more different texts end openly at it than at the
+#: lengths around: less is asked of lengths that people choose (tens, thirty-twos, one below a round number).
+#: It must have so many times the texts of the lengths around, too.
+LIMIT_CHOSEN, LIMIT_ANY, LIMIT_RATIO = 9.0, 14.0, 3.0
 #: Cut texts score above it on held-out artificial cuts, intact ones with odd endings below.
 THRESHOLD = 0.28
 
@@ -43,30 +46,48 @@ _FIELD = re.compile(r"\s*[\w.-]{1,40}:\s")
 _HEADING = re.compile(r"\s*#{1,6}\s")
 
 
-def _word_hash(word: Column) -> Column:
-    return F.pmod(F.crc32(F.encode(word, "UTF-8")), F.lit(WORDS)).cast("int")
-
-
 def known_words(documents: DataFrame) -> np.ndarray:
-    """Bits of the words that stand in at least ``KNOWN`` documents before their last word; of fixed size."""
-    body = F.regexp_replace(F.col("text"), r"\S+\s*$", "")
-    words = documents.where("text IS NOT NULL").select(F.explode(F.array_distinct(F.split(F.lower(body), r"[^\p{L}]+"))).alias("w")).where("length(w) > 0 AND length(w) <= 24")
-    common = words.groupBy(_word_hash(F.col("w")).alias("w")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= KNOWN)
+    """Bits of the words that stand in enough documents before their last word; of fixed size."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, total = np.zeros(WORDS, dtype=np.int64), 0
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                whole = text.rstrip()
+                body = whole[: len(whole) - len(_LAST_TOKEN.search(whole).group())] if whole else ""
+                hashes = {zlib.crc32(w.encode("utf-8", "replace")) % WORDS for w in set(_WORD.findall(body.lower()))}
+                if hashes:
+                    seen[np.fromiter(hashes, dtype=np.int64, count=len(hashes))] += 1
+            total += b.num_rows
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(seen[at], total))], names=["w", "n"])
+
+    counts = durable(documents.where("text IS NOT NULL").select("text").mapInArrow(count, "w int, n bigint").groupBy("w").agg(F.sum("n").alias("n")))
+    total = counts.where("w = -1").agg(F.sum("n")).first()[0] or 0
     bits = np.zeros(WORDS, dtype=bool)
-    bits[[r["w"] for r in common.select("w").collect()]] = True
+    bits[[r["w"] for r in counts.where((F.col("w") >= 0) & (F.col("n") >= max(KNOWN, int(KNOWN_SHARE * total)))).select("w").collect()]] = True
     return np.packbits(bits)
 
 
 def length_limits(documents: DataFrame) -> set[tuple[str, int]]:
-    """(source, characters) or (source, -bytes) pairs at which far more texts end than at the lengths around."""
-    sizes = documents.where("text IS NOT NULL AND text != ''").select(normal_source(F.col("source")).alias("source"), F.length("text").alias("c"), (-F.octet_length("text")).alias("b"))
-    per = sizes.select(F.coalesce("source", F.lit("")).alias("source"), F.explode(F.array_distinct(F.array("c", "b"))).alias("n")).groupBy("source", "n").agg(F.count(F.lit(1)).alias("k"))
+    """(source, characters) or (source, -bytes) pairs at which far more different texts end openly than at the lengths around.
+
+    Complete texts of one length, and copies of one text, make no limit.
+    """
+    open_ = documents.where("text IS NOT NULL").where(F.rtrim("text").rlike(r"[^.!?:;)`\]}>|\s]$"))
+    sizes = open_.select(F.coalesce(normal_source(F.col("source")), F.lit("")).alias("source"), F.length("text").alias("c"), (-F.octet_length("text")).alias("b"), F.xxhash64("text").alias("h")).distinct()
+    per = sizes.select("source", F.explode(F.array_distinct(F.array("c", "b"))).alias("n")).groupBy("source", "n").agg(F.count(F.lit(1)).alias("k"))
     per = per.withColumn("near", (F.col("n") / 32).cast("int"))
     around = per.groupBy("source", "near").agg(F.sum("k").alias("all"))
-    peaks = per.where((F.col("k") >= LIMIT_TEXTS) & (F.abs("n") >= LIMIT_LEAST)).join(around, ["source", "near"]).where(F.col("k") * 32 >= LIMIT_RATIO * F.greatest(F.col("all") - F.col("k"), F.lit(1)))
-    # Peaks at round numbers only: k texts at 1000, 1024, 280, ... ; others are repeated texts.
+    # A limit stands out of the lengths next to it too; the commonest lengths of short texts don't.
+    beside = F.sum("k").over(Window.partitionBy("source").orderBy("n").rangeBetween(-2, 2))  # over lengths, not texts
+    per = per.withColumn("beside", (beside - F.col("k")) / 4)
+    rate = F.greatest((F.col("all") - F.col("k") + 1) / 32, F.col("beside"))
+    gain = F.col("k") * F.log(F.col("k") / rate) - (F.col("k") - rate)
     n = F.abs("n")
-    return {(r["source"], r["n"]) for r in peaks.where((n % 10 == 0) | (n % 32 == 0) | (n % 50 == 49) | (n % 256 == 255)).select("source", "n").collect()}
+    chosen = (n % 10 == 0) | (n % 32 == 0) | (n % 50 == 49) | (n % 256 == 255)
+    peaks = per.join(around, ["source", "near"]).where((F.col("k") >= LIMIT_RATIO * rate) & (gain >= F.when(chosen, LIMIT_CHOSEN).otherwise(LIMIT_ANY)))
+    return {(r["source"], r["n"]) for r in peaks.select("source", "n").collect()}
 
 
 def _known(bits: np.ndarray, word: str) -> bool:
@@ -166,8 +187,7 @@ def _fit(rows: list[list[int]], labels: np.ndarray, keep: np.ndarray, rounds: in
             x = index[batch]
             p = 1 / (1 + np.exp(-np.clip(w[x].sum(1) + bias, -30, 30)))
             d = p - labels[batch]
-            grad = np.zeros(FEATURES + 1)
-            np.add.at(grad, x, d[:, None] / len(batch))
+            grad = np.bincount(x.ravel(), weights=np.repeat(d / len(batch), width), minlength=FEATURES + 1)
             grad += 1e-5 * w
             grad[FEATURES] = 0
             g += grad**2
@@ -179,7 +199,11 @@ def _fit(rows: list[list[int]], labels: np.ndarray, keep: np.ndarray, rounds: in
 
 
 def score_rows(rows: list[list[int]], weights: np.ndarray) -> np.ndarray:
-    return np.array([1 / (1 + np.exp(-np.clip(weights[r].sum() + weights[-1], -30, 30))) for r in rows])
+    """Probabilities of rows of feature indices: one sum over all of them together."""
+    sizes = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+    flat = np.fromiter((f for r in rows for f in r), dtype=np.int64, count=int(sizes.sum()))
+    sums = np.bincount(np.repeat(np.arange(len(rows)), sizes), weights=weights[flat], minlength=len(rows))
+    return 1 / (1 + np.exp(-np.clip(sums + weights[-1], -30, 30)))
 
 
 class Model:

@@ -195,3 +195,23 @@ def test_graph_search_answers_with_copies_without_the_query(spark):
     for r in sorted(neighbours.search(q, graph, copies=True).collect(), key=lambda r: r["rank"]):
         got.setdefault(r.query_id, []).append(r.id)
     assert got == {100: [101, 102, 103, 104, 105], 108: [100, 101, 102, 103, 104], 200: [100, 101, 102, 103, 104]}
+
+
+def test_length_limits_are_spikes_of_open_texts(spark):
+    rng = random.Random(11)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n // 4 + 2))[:n].rstrip() or "w"
+    docs = [(k, (words(2000)[:777] + "x" * 777)[:777], "en", "wiki", None) for k in range(30)]  # a field of 777 characters
+    docs += [(100 + k, words(rng.randrange(300, 1500)) + "x", "en", "wiki", None) for k in range(300)]
+    docs += [(500 + k, "the same open text " * 30, "en", "issue", None) for k in range(200)]  # copies make no limit
+    docs += [(800 + k, words(399)[:398] + ".", "en", "chat", None) for k in range(200)]  # nor do complete texts
+    docs += [(1100 + k, (words(90) + "z" * 30)[: 20 + min(rng.randrange(12), rng.randrange(12))], "en", "commit", None) for k in range(600)]  # nor a common length among others
+    df = spark.createDataFrame(docs, DOCS)
+    assert truncation.length_limits(df) == {("wiki", 777), ("wiki", -777)}
+    assert truncation.length_limits(df.limit(0)) == set()
+
+
+def test_known_words_have_no_length_limit(spark):
+    long = "x" * 60
+    df = spark.createDataFrame([(k, f"some {long} here now", "en", "wiki", None) for k in range(3)], DOCS)
+    bits = truncation.known_words(df)
+    assert truncation._known(bits, long.upper()) and truncation._known(bits, "some") and not truncation._known(bits, "now")
