@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,15 +51,22 @@ def known_words(documents: DataFrame) -> np.ndarray:
     """Bits of the words that stand in enough documents before their last word; of fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total = np.zeros(WORDS, dtype=np.int64), 0
+        seen, words, total = np.zeros(WORDS, dtype=np.int64), Counter(), 0
+
+        def settle() -> None:
+            at = np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) % WORDS for w in words), dtype=np.int64, count=len(words))
+            np.add.at(seen, at, np.fromiter(words.values(), dtype=np.int64, count=len(words)))
+            words.clear()
+
         for b in batches:
             for text in b.column(0).to_pylist():
-                whole = text.rstrip()
-                body = whole[: len(whole) - len(_LAST_TOKEN.search(whole).group())] if whole else ""
-                hashes = {zlib.crc32(w.encode("utf-8", "replace")) % WORDS for w in set(_WORD.findall(body.lower()))}
-                if hashes:
-                    seen[np.fromiter(hashes, dtype=np.int64, count=len(hashes))] += 1
+                parts = text.rsplit(None, 1)
+                if len(parts) == 2:
+                    words.update(set(_WORD.findall(parts[0].lower())))
             total += b.num_rows
+            if len(words) > 1 << 18:
+                settle()
+        settle()
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(seen[at], total))], names=["w", "n"])
 
