@@ -48,6 +48,9 @@ def test_file_changes_match_a_plain_model(spark):
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, FILE)
     assert _rows(s.file_changes(df)) == sorted(expected)
+    # What doesn't peel in the rounds allowed is compared.
+    assert _rows(s.file_changes(df, bucket_elements=100, first_cells=6, rounds=1)) == sorted(expected)
+    assert _rows(s.file_changes(df, bucket_elements=100, first_cells=6, rounds=2)) == sorted(expected)
     # Tables far too small for the differences are enlarged until they peel.
     assert _rows(s.file_changes(df, bucket_elements=100, first_cells=6)) == sorted(expected)
 
@@ -66,6 +69,20 @@ def test_chunk_changes_are_sets_of_hashes(spark):
     assert got == [(2, "chunk", "p", "a", _hash(1), "removed"), (2, "chunk", "p", "a", _hash(3), "added")]
 
 
+def test_beyond_the_broadcast_limit_the_result_is_the_same(spark, monkeypatch):
+    rows = [(snap, "p", f"f{k % 50}", 0, _hash(k + (snap == 2 and k % 9 == 0) * 1000), T0, 9) for snap in (1, 2) for k in range(400)]
+    df = spark.createDataFrame(rows, CHUNK)
+    within = _rows(s.chunk_changes(df))
+    monkeypatch.setattr("codelode.common.BROADCAST_LIMIT", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        beyond = s.chunk_changes(df)
+        assert _rows(beyond) == within and len(within) == 90
+        assert "Broadcast" not in beyond._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_empty_and_single_snapshots_give_nothing(spark):
     assert s.snapshot_changes(spark.createDataFrame([], FILE), spark.createDataFrame([], CHUNK)).count() == 0
     one = spark.createDataFrame([(1, "p", "a", _hash(1), 1, 1, "ok", T0, "")], FILE)
