@@ -25,7 +25,7 @@ from ..common import durable, maybe_broadcast
 
 #: Elements per bucket and snapshot that the sizing aims at, cells per bucket in the first round, and rounds at most.
 BUCKET_ELEMENTS = 4096
-FIRST_CELLS = 3 * 320
+FIRST_CELLS = 3 * 640
 ROUNDS = 6
 
 
