@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import Scratch
+from ..common import Scratch, durable
 from .tokens import RANKS, counted, normal_lang
 
 #: Documents that one rank window aims at.
@@ -101,7 +101,7 @@ def pack(documents: DataFrame, specs: DataFrame, ranks: str = RANKS) -> DataFram
     rows = sizes.count() * len(wanted)
     salts = max(1, -(-rows // RANK_ROWS))
     items = items.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    counts = items.groupBy("spec_id", "n_tokens", "salt").agg(F.count(F.lit(1)).alias("n")).persist()
+    counts = durable(items.groupBy("spec_id", "n_tokens", "salt").agg(F.count(F.lit(1)).alias("n")))
     histograms: dict[int, dict[int, int]] = {}
     for r in counts.groupBy("spec_id", "n_tokens").agg(F.sum("n").alias("n")).collect():
         histograms.setdefault(r["spec_id"], {})[r["n_tokens"]] = r["n"]
@@ -110,7 +110,7 @@ def pack(documents: DataFrame, specs: DataFrame, ranks: str = RANKS) -> DataFram
     before = Window.partitionBy("spec_id", "n_tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     within = Window.partitionBy("spec_id", "n_tokens", "salt").orderBy("doc_id", "part")
-    ranked = items.withColumn("r", F.row_number().over(within) - 1).join(offsets, ["spec_id", "n_tokens", "salt"]).withColumn("r", F.col("r") + F.col("offset"))
+    ranked = items.withColumn("r", F.row_number().over(within) - 1).join(offsets.hint("merge"), ["spec_id", "n_tokens", "salt"]).withColumn("r", F.col("r") + F.col("offset"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
