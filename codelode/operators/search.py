@@ -23,6 +23,8 @@ from .shaping import reciprocal_rank
 K1, B, WEIGHTS, MOST_TERMS = 1.2, 0.75, (1.0, 8.0, 4.0), 12
 #: Queries that are sent to the tasks at once.
 QUERY_BLOCK = 20_000
+#: Similarities that a matrix product gives at once.
+CELLS = 1 << 21
 #: Least number of candidates fetched per answer.
 LEAST_FETCH = 24
 
@@ -57,7 +59,7 @@ def bm25(docs: DataFrame, query: str, limit: int, key: tuple[str, ...]) -> DataF
     # Only lengths and counts go on: they are stored, so that the texts are read and tokenized once.
     counted = strings.select(
         *key,
-        sum((F.length(f"t_{c}") - F.length(F.replace(F.col(f"t_{c}"), F.lit(" "), F.lit(""))) - 1 for c in ("content", "symbol", "path")), F.lit(0)).alias("len"),
+        sum((F.greatest(F.length(f"t_{c}") - F.length(F.replace(F.col(f"t_{c}"), F.lit(" "), F.lit(""))) - 1, F.lit(0)) * (F.trim(f"t_{c}") != "").cast("int") for c in ("content", "symbol", "path")), F.lit(0)).alias("len"),
         *[sum((_count(F.col(f"t_{c}"), p) * w for c, w in zip(("content", "symbol", "path"), WEIGHTS)), F.lit(0.0)).alias(f"f{k}") for k, p in enumerate(phrases)],
     )
     counted = durable(counted)
@@ -114,12 +116,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
             if not b.num_rows:
                 continue
             v = np.asarray(b.column(1).flatten(), dtype=np.float64).reshape(b.num_rows, -1)
-            s = np.round(q @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T, 6)
-            k = min(limit, s.shape[1])
-            # ties at the last place are all kept here; the final order decides by id
-            floor = -np.partition(-s, k - 1, axis=1)[:, k - 1]
-            i, j = np.nonzero(s >= floor[:, None])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), b.column(0).take(pa.array(j)), pa.array(s[i, j])], names=["query_id", "vec_id", "score"])
+            v = v / np.linalg.norm(v, axis=1, keepdims=True)
+            k = min(limit, len(v))
+            for block in np.array_split(np.arange(len(q)), -(-len(q) * len(v) // CELLS)):
+                s = np.round(q[block] @ v.T, 6)
+                # ties at the last place are all kept here; the final order decides by id
+                floor = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+                i, j = np.nonzero(s >= floor[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[block][i]), b.column(0).take(pa.array(j)), pa.array(s[i, j])], names=["query_id", "vec_id", "score"])
 
     usable = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(F.size("embedding") == len(rows[0]["embedding"])).where("exists(embedding, x -> x != 0)")
     return _top(usable.select("vec_id", F.col("embedding").cast("array<double>")).mapInArrow(run, "query_id bigint, vec_id bigint, score double"), limit)

@@ -114,6 +114,7 @@ def merge_overlapping(hits: DataFrame, gap: int = MERGE_GAP) -> DataFrame:
         F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.max("score").alias("score"), F.count(F.lit(1)).alias("merged_count"), F.min("pos").alias("first_pos"),
         F.min_by("snippet", best).alias("snippet"), F.min_by("lang", best).alias("lang"),
         F.array_join(F.array_distinct(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("start_line", "end_line", "pos", "symbol"))), lambda x: F.coalesce(x["symbol"], F.lit("")) != ""), lambda x: x["symbol"])), ", ").alias("symbol"),
+        *([F.first("query").alias("query")] if "query" in hits.columns else []),
     )
     return positions(merged.drop("island"), F.desc("score"), F.col("project"), F.col("file"), F.coalesce("start_line", F.lit(0)), F.coalesce("end_line", F.lit(0)), F.col("first_pos"))
 

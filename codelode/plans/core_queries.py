@@ -15,9 +15,11 @@ from ..operators import embed as B
 from ..operators import evaluate as V
 from ..operators import extract as E
 from ..operators import graph as G
+from ..operators import lexical
 from ..operators import lookup as L
 from ..operators import maintain as M
 from ..operators import resolve as R
+from ..operators import retrieve
 from ..operators import search as X
 from ..operators import shaping as H
 from ..operators import snapshots
@@ -264,11 +266,14 @@ def x2_window_chunks(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["x2_window_chunks"] = x2_window_chunks
 
 
+@query(
+    r"""WITH c AS (SELECT chunk_id, any_value(text) AS text FROM chunks GROUP BY 1), n AS (SELECT chunk_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS t FROM (SELECT chunk_id, regexp_split_to_array(text, '\r\n|\n|\r') AS ls FROM c)),
+g AS (SELECT chunk_id, i, coalesce(nullif(regexp_extract(t, '^\s*(?:async\s+)?def\s+([A-Za-z_][A-Za-z0-9_]*)', 1), ''), nullif(regexp_extract(t, '^\s*class\s+([A-Za-z_][A-Za-z0-9_]*)', 1), ''), nullif(regexp_extract(t, '^\s*(?:async\s+)?function\s+([A-Za-z_][A-Za-z0-9_$]*)', 1), ''),
+  nullif(regexp_extract(t, '^\s*(?:pub\s+)?fn\s+([A-Za-z_][A-Za-z0-9_]*)', 1), ''), nullif(regexp_extract(t, '^[\w<>\[\],\s]+\s([A-Za-z_][A-Za-z0-9_]*)\s*\(', 1), '')) AS guess FROM n)
+SELECT chunk_id, arg_min(guess, i) AS guess FROM g WHERE guess IS NOT NULL GROUP BY 1"""
+)
 def x3_symbol_guess(spark: SparkSession, d: str) -> DataFrame:
-    return chunks_of(spark, d).select("chunk_id", E.first_symbol(F.col("text")).alias("guess")).where("guess IS NOT NULL")
-
-
-QUERIES["x3_symbol_guess"] = x3_symbol_guess
+    return table(spark, d, "chunks").dropDuplicates(["chunk_id"]).select("chunk_id", E.first_symbol(F.col("text")).alias("guess")).where("guess IS NOT NULL")
 
 
 @query(r"""WITH c AS (SELECT DISTINCT chunk_id, text, chunk_hash FROM chunks) SELECT chunk_id, 'sha256:' || sha256(text) AS hash, 'sha256:' || sha256(trim(regexp_replace(string_split(text, chr(10))[1], '\s+', ' ', 'g'))) AS decl_hash FROM c""")
@@ -326,11 +331,14 @@ def x20_embed_groups(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("project", "file").agg(F.count(F.lit(1)).alias("chunks")).withColumn("groups", F.floor((F.col("chunks") + 511) / 512))
 
 
+@query(
+    r"""WITH w AS (SELECT DISTINCT id, unnest(regexp_extract_all(name, '[A-Za-z0-9_]+')) AS t FROM symbols), p AS (SELECT id, t, unnest(list_filter(string_split(t, '_'), lambda x: x <> '')) AS p FROM w),
+s AS (SELECT *, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(p, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '([A-Za-z])([0-9])', '\1 \2', 'g'), '([0-9])([A-Za-z])', '\1 \2', 'g'), ' ') AS parts FROM p),
+k AS (SELECT id, t AS token FROM w UNION SELECT id, unnest(CASE WHEN len(parts) > 1 THEN list_transform(parts, lambda x: lower(x)) WHEN p <> t THEN [p] ELSE [] END) FROM s)
+SELECT id, token FROM k"""
+)
 def x21_index_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "symbols").select("id", F.array_join(T.index_tokens(F.col("name")), " ").alias("tokens"))
-
-
-QUERIES["x21_index_tokens"] = x21_index_tokens
+    return table(spark, d, "symbols").select("id", F.explode(T.index_tokens(F.col("name"))).alias("token"))
 
 
 # -- predicates, lookups, order ------------------------------------------------------------------------------------
@@ -638,11 +646,66 @@ def _searchable(spark: SparkSession, d: str) -> DataFrame:
     return c.select("chunk_id", "project", "file", "start_line", "end_line", "symbol", "symbol_type", F.col("text").alias("content"), F.col("file").alias("path"))
 
 
+#: Parts of ``p`` as the index makes them, in SQL.
+_PARTS = r"string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '([A-Za-z])([0-9])', '\1 \2', 'g'), '([0-9])([A-Za-z])', '\1 \2', 'g'), ' ')"
+_LEXICAL_QUERIES = [(1, "verify loader token catalog"), (2, "cached window"), (3, "Parse the eager manifest 7"), (4, "acceptanchor")]
+
+
+@query(
+    f"""WITH c AS (SELECT chunk_id, any_value(text) AS text, any_value(symbol) AS symbol, any_value(file) AS file FROM chunks GROUP BY 1),
+l AS (SELECT chunk_id, CAST(1 AS DOUBLE) AS w, text AS v FROM c UNION ALL SELECT chunk_id, 8, coalesce(symbol, '') FROM c UNION ALL SELECT chunk_id, 4, file FROM c),
+raw AS (SELECT DISTINCT chunk_id, w, unnest(regexp_extract_all(v, '[A-Za-z0-9_]+')) AS t FROM l), p AS (SELECT chunk_id, w, t, unnest(list_filter(string_split(t, '_'), lambda x: x <> '')) AS p FROM raw),
+tok AS (SELECT chunk_id, w, t AS tok FROM raw UNION SELECT chunk_id, w, unnest(CASE WHEN len({_PARTS.format('p')}) > 1 THEN list_transform({_PARTS.format('p')}, lambda x: lower(x)) WHEN p <> t THEN [p] ELSE [] END) FROM p),
+term AS (SELECT chunk_id, w, unnest(list_filter(string_split(lower(tok), '_'), lambda x: x <> '')) AS term FROM tok), size AS (SELECT chunk_id, count(*) AS n FROM term GROUP BY 1),
+st AS (SELECT count(*) AS total, avg(coalesce(n, 0)) AS avgdl FROM c LEFT JOIN size USING (chunk_id)),
+q AS (SELECT query_id, unnest(list_transform(regexp_extract_all(lower(query), '[a-z0-9_]+'), lambda x: x)) AS phrase FROM (VALUES {", ".join(f"({i}, '{q}')" for i, q in _LEXICAL_QUERIES)}) AS v(query_id, query)),
+f AS (SELECT phrase, chunk_id, sum(w) AS f FROM (SELECT DISTINCT phrase FROM q) JOIN term ON starts_with(term, phrase) GROUP BY ALL), df AS (SELECT phrase, count(*) AS df FROM f GROUP BY 1),
+s AS (SELECT query_id, chunk_id, round(sum(greatest(ln((total - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE))), CAST(1e-6 AS DOUBLE)) * f * CAST(2.2 AS DOUBLE) / (f + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * n / avgdl))), 6) AS score
+      FROM q JOIN f USING (phrase) JOIN df USING (phrase) JOIN size USING (chunk_id), st GROUP BY ALL)
+SELECT CAST(query_id AS BIGINT) AS query_id, chunk_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rn FROM s) WHERE rn <= 30"""
+)
 def l2_l3_bm25(spark: SparkSession, d: str) -> DataFrame:
-    return X.bm25(_searchable(spark, d), "verify loader token catalog", 30, ("chunk_id",))
+    """Four queries against the inverted index over all chunks."""
+    index = lexical.indexed(_searchable(spark, d).select(F.lit("").alias("scope"), F.col("chunk_id").alias("doc"), "content", "symbol", "path"))
+    queries = spark.createDataFrame(_LEXICAL_QUERIES, "query_id bigint, query string")
+    return lexical.bm25(index, queries, 30).select("query_id", F.col("doc").alias("chunk_id"), F.round("score", 4).alias("score"))
+
+
+@query(
+    f"""WITH {S.CHUNKS}, h AS (SELECT project, file, chunk_index, string_split(symbol, ', ')[1] AS wanted FROM c WHERE coalesce(symbol, '') <> ''),
+m AS (SELECT h.*, s.name, s.start_line, s.end_line, s.id FROM h LEFT JOIN symbols s ON s.project = h.project AND s.file = h.file),
+n AS (SELECT *, row_number() OVER (PARTITION BY project, file, chunk_index ORDER BY start_line, id) AS rn FROM m WHERE wanted <> '' AND contains(name, wanted)), e AS (SELECT project, file, chunk_index, greatest(coalesce(max(end_line), 1), 1) AS last FROM m GROUP BY ALL)
+SELECT e.project, e.file, e.chunk_index, n.name AS symbol, CAST(coalesce(n.start_line, 1) AS INTEGER) AS start_line, CAST(CASE WHEN n.id IS NULL THEN e.last ELSE n.end_line END AS INTEGER) AS end_line
+FROM e LEFT JOIN n ON n.project = e.project AND n.file = e.file AND n.chunk_index = e.chunk_index AND n.rn = 1"""
+)
+def j9_lexical_anchor(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk with a symbol, as a lexical hit, at the range of the symbol it names."""
+    hits = files_chunks(spark, d).where("coalesce(symbol, '') <> ''").select(F.lit(0).alias("query_id"), "project", "file", "symbol", F.col("chunk_index").alias("pos"))
+    return retrieve.anchored(hits, table(spark, d, "symbols")).select("project", "file", F.col("pos").alias("chunk_index"), "symbol", "start_line", "end_line")
+
+
+def files_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks' places and symbols without repeated rows; no text is read."""
+    w = Window.partitionBy("project", "file", "chunk_index").orderBy("chunk_id")
+    return table(spark, d, "chunks").select("chunk_id", "project", "file", "chunk_index", "start_line", "end_line", "symbol", "symbol_type").withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+
+
+_ASKED = [(1, "accept_anchor"), (2, "how are tests of the loader tokens written"), (3, "Parse the eager manifest"), (4, "where is the session configuration read in json")]
+
 
+def r15_r17_text_search(spark: SparkSession, d: str) -> DataFrame:
+    """Text to shaped answers over all projects: BM25 and vectors in each, fused, exact symbols first, shaped."""
+    rows = table(spark, d, "chunks").dropDuplicates(["project", "file", "chunk_index"])
+    index = lexical.indexed(rows.select(F.col("project").alias("scope"), F.col("chunk_id").alias("doc"), F.col("text").alias("content"), "symbol", F.col("file").alias("path")))
+    embed = B.hash_embedder(64)
+    vectors = B.embedded(rows.select(F.struct("project", "chunk_id").alias("k"), T.embedding_text(F.col("file"), F.col("symbol"), F.col("text")).alias("text")), "k", embed)
+    vectors = vectors.select(F.col("k.project").alias("scope"), F.col("k.chunk_id").alias("doc"), "vec")
+    found = retrieve.search(rows, table(spark, d, "symbols"), files_of(spark, d), index, vectors, spark.createDataFrame(_ASKED, "query_id bigint, query string"), embed)
+    return found.select("query_id", "pos", "project", "file", "start_line", "end_line", "symbol", "score", "merged_count")
+
+
+QUERIES["r15_r17_text_search"] = r15_r17_text_search
 
-QUERIES["l2_l3_bm25"] = l2_l3_bm25
 
 @query(
     r"""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS t FROM documents), p AS (SELECT DISTINCT doc_id, unnest(list_filter(string_split(t, '_'), lambda x: x <> '')) AS p FROM w),
@@ -726,16 +789,50 @@ def r12_r15_hybrid(spark: SparkSession, d: str) -> DataFrame:
     return X.hybrid(dense, lexical, 10).select("query_id", "project", "file", "start_line", "score", "pos")
 
 
+_TOKENS = "list_transform(regexp_extract_all({0}, '[A-Za-z_][A-Za-z0-9_]*'), lambda x: lower(x))"
+
+
+def _sub(text: str) -> str:
+    """Lower-case identifier parts of at least three characters, in SQL."""
+    spaced = f"regexp_replace({text}, '[^A-Za-z0-9]+', ' ', 'g')"
+    return f"list_transform(list_filter({_PARTS_SQL.format(spaced)}, lambda x: length(x) >= 3), lambda x: lower(x))"
+
+
+_PARTS_SQL = r"string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '([A-Za-z])([0-9])', '\1 \2', 'g'), '([0-9])([A-Za-z])', '\1 \2', 'g'), ' ')"
+
+
+@query(
+    f"""WITH {_POOL}, n AS (SELECT *, row_number() OVER (PARTITION BY query_id, project, file ORDER BY pos) AS nth FROM h WHERE pos <= 30),
+b AS (SELECT *, CASE WHEN list_has_any({_TOKENS.format("coalesce(symbol, '')")}, {_TOKENS.format("'" + _ASK + "'")}) THEN CAST(0.04 AS DOUBLE) WHEN list_has_any({_sub("coalesce(symbol, '')")}, {_sub("lower('" + _ASK + "')")}) THEN CAST(0.02 AS DOUBLE) ELSE 0 END
+  + CASE WHEN list_has_any({_TOKENS.format("coalesce(file, '')")}, {_TOKENS.format("'" + _ASK + "'")}) THEN CAST(0.02 AS DOUBLE) ELSE 0 END - CASE WHEN nth >= 3 THEN CAST(0.03 AS DOUBLE) ELSE 0 END AS delta FROM n),
+s AS (SELECT query_id, project, file, symbol, start_line, pos AS was, round(score + round(delta, 4), 4) AS score FROM b)
+SELECT query_id, project, file, symbol, start_line, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, coalesce(file, ''), coalesce(start_line, 0), was) AS pos FROM s
+UNION ALL SELECT query_id, project, file, symbol, start_line, score, pos FROM h WHERE pos > 30"""
+)
 def r6_rerank(spark: SparkSession, d: str) -> DataFrame:
-    return H.rerank(_hits(spark, d), F.lit(_ASK))
+    return H.rerank(_hits(spark, d), F.lit(_ASK)).select("query_id", "project", "file", "symbol", "start_line", "score", "pos")
 
 
+@query(
+    f"""WITH RECURSIVE {_POOL}, o AS (SELECT *, {S.class_weight('file')} AS rung, row_number() OVER (PARTITION BY query_id, {S.class_weight('file')}, project, file ORDER BY pos) AS nth FROM h),
+r AS (SELECT query_id, rung, project, file, pos, nth, false AS again, [{{'s': start_line, 'e': end_line}}] AS shown FROM o WHERE nth = 1
+  UNION ALL SELECT o.query_id, o.rung, o.project, o.file, o.pos, o.nth, len(list_filter(r.shown, lambda x: o.start_line <= x.e AND o.end_line >= x.s)) > 0,
+    CASE WHEN len(list_filter(r.shown, lambda x: o.start_line <= x.e AND o.end_line >= x.s)) > 0 THEN r.shown ELSE list_append(r.shown, {{'s': o.start_line, 'e': o.end_line}}) END
+  FROM r JOIN o ON o.query_id = r.query_id AND o.rung = r.rung AND o.project = r.project AND o.file = r.file AND o.nth = r.nth + 1)
+SELECT query_id, project, file, pos AS was, row_number() OVER (PARTITION BY query_id ORDER BY rung, again, pos) AS pos FROM r"""
+)
 def r8_repeat_demotion(spark: SparkSession, d: str) -> DataFrame:
-    return H.demote_repeats(_hits(spark, d))
+    pool = _hits(spark, d)
+    return H.demote_repeats(pool.withColumn("was", F.col("pos"))).select("query_id", "project", "file", "was", "pos")
 
 
+@query(
+    f"""WITH RECURSIVE {_POOL}, t AS (SELECT *, left(snippet, 120) AS cut, 80 + least(length(left(snippet, 120)), 500) AS cost FROM h),
+k AS (SELECT query_id, pos, cost AS used, true AS kept FROM t WHERE pos = 1 UNION ALL SELECT t.query_id, t.pos, k.used + CASE WHEN k.used + t.cost <= 2000 THEN t.cost ELSE 0 END, k.used + t.cost <= 2000 FROM k JOIN t ON t.query_id = k.query_id AND t.pos = k.pos + 1)
+SELECT t.query_id, t.project, t.file, t.cut AS snippet, row_number() OVER (PARTITION BY t.query_id ORDER BY t.pos) AS pos FROM k JOIN t ON t.query_id = k.query_id AND t.pos = k.pos WHERE kept"""
+)
 def r13_r14_budget(spark: SparkSession, d: str) -> DataFrame:
-    return H.trim_to_budget(H.truncate_snippets(_hits(spark, d), 4000, 20), 500)
+    return H.trim_to_budget(H.truncate_snippets(_hits(spark, d), 4000, 20), 500).select("query_id", "project", "file", "snippet", "pos")
 
 
 def r16_r18_search(spark: SparkSession, d: str) -> DataFrame:
@@ -743,7 +840,7 @@ def r16_r18_search(spark: SparkSession, d: str) -> DataFrame:
     return H.shape(H.penalise_data(H.boost_definitions(_hits(spark, d)), F.lit(_ASK)), F.lit(_ASK), 10, per_file=3, budget=2000)
 
 
-QUERIES |= {"r6_rerank": r6_rerank, "r8_repeat_demotion": r8_repeat_demotion, "r13_r14_budget": r13_r14_budget, "r16_r18_search": r16_r18_search}
+QUERIES["r16_r18_search"] = r16_r18_search
 
 
 @query(
@@ -885,3 +982,20 @@ def o3_o5_call_sites(spark: SparkSession, d: str) -> DataFrame:
     """The first three sites of every name in store order."""
     w = Window.partitionBy("project", "to_name").orderBy("file", "line", "relationship", "receiver", "from_symbol")
     return table(spark, d, "refs").withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("project", "file", "line", "relationship", "to_name", "receiver", "from_symbol")
+
+
+# -- times and offsets ---------------------------------------------------------------------------------------------
+
+
+@query("SELECT slug, strftime(make_timestamp(CAST(floor(created_at * 1000000) AS BIGINT)), '%Y-%m-%dT%H:%M:%S') || 'Z' AS created FROM projects")
+def u1_epoch_to_iso(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "projects").select("slug", T.iso_time(F.col("created_at")).alias("created"))
+
+
+@query(
+    r"""SELECT doc_id, length(text) AS chars, strlen(text) AS bytes, length(text) + length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g')) AS utf16_units FROM documents WHERE text IS NOT NULL"""
+)
+def u2_text_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths of whole texts in characters, bytes and UTF-16 units, by which editors and diffs count columns."""
+    text = F.col("text")
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.length(text).cast("bigint").alias("chars"), F.octet_length(text).cast("bigint").alias("bytes"), T.utf16_units(text).cast("bigint").alias("utf16_units"))
