@@ -1,15 +1,15 @@
 """Caller, callee and dependency walks: one join per level, a visited set by anti-join, honest caps.
 
-A walk keeps its frontier and visited nodes small by its cap, so they are collected to nothing and joined as they are;
-each level is stored durably, which cuts lineage and lets a lost executor repeat one level only.
+Each level is stored durably, which cuts lineage and lets a lost executor repeat one level only. A level may be far larger
+than the cap: it is counted, and only its first nodes, found as a distributed top-k, are numbered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import durable
+from ..common import durable, maybe_broadcast
 from ..functions.paths import class_weight
 from .lookup import reference_order
 
@@ -18,15 +18,18 @@ from .lookup import reference_order
 SITE = ["file", "line", "from_symbol", "relationship"]
 
 
-def _capped(found: DataFrame, level: int, used: int, cap: int) -> DataFrame:
-    """The rows of a level, numbered ``n`` of ``all``, that the cap leaves room for, each with the number ``refused``.
+def _capped(found: DataFrame, order: list[Column], level: int, used: int, cap: int) -> tuple[DataFrame, int]:
+    """The rows of a level that the cap leaves room for, with their position and the number ``refused``; and their number.
 
     Where it leaves none, one row holds that number alone: its position and all else but the level are null.
     """
-    room = max(0, cap - used)
-    numbers = {"level": F.lit(level), "position": (F.col("n") + used).cast("int"), "refused": F.greatest(F.col("all") - room, F.lit(0)).cast("bigint")}
-    shown = found.where(F.col("n") <= max(1, room)).withColumns(numbers).drop("n", "all")
-    return shown if room else shown.withColumns({c: F.lit(None).cast(t) for c, t in shown.dtypes if c not in ("level", "refused")})
+    total, room = found.count(), max(0, cap - used)
+    top = found.orderBy(*order).limit(max(1, room))
+    position = (F.row_number().over(Window.orderBy(*order)) + used).cast("int")  # over at most the cap's rows
+    shown = top.withColumn("position", position).withColumns({"level": F.lit(level), "refused": F.lit(max(0, total - room)).cast("bigint")})
+    if not room:
+        shown = shown.withColumns({c: F.lit(None).cast(t) for c, t in shown.dtypes if c not in ("level", "refused")})
+    return shown, min(total, room)
 
 
 def callers(refs: DataFrame, symbols: DataFrame, project: str, name: str, depth: int = 2, cap: int = 40) -> DataFrame:
@@ -38,21 +41,22 @@ def callers(refs: DataFrame, symbols: DataFrame, project: str, name: str, depth:
     """
     refs = refs.where(F.col("project") == project)
     roots = symbols.where((F.col("project") == project) & (F.col("name") == name)).select("file", F.col("start_line").alias("line"), F.col("name").alias("from_symbol")).distinct()
-    count = F.count(F.lit(1)).over(Window.partitionBy())
-    found = durable(roots.select("file", "line", "from_symbol", F.lit("definition").alias("relationship"), F.lit(name).alias("target"), F.row_number().over(Window.orderBy("file", "line")).alias("n"), count.alias("all")))
+    found = durable(roots.select("file", "line", "from_symbol", F.lit("definition").alias("relationship"), F.lit(name).alias("target")))
     columns = ["level", *SITE, "target", "position", "refused"]
-    walked, seen = _capped(found, 0, 0, cap).select(columns), found.select(SITE)
-    used = min(found.count(), max(0, cap))
+    shown, used = _capped(found, [F.col("file"), F.col("line")], 0, 0, cap)
+    walked, seen = shown.select(columns), found.select(SITE)
     frontier = walked.sparkSession.createDataFrame([(name, 0)], "to_name string, at int")
     for level in range(1, depth + 1):
-        edges = refs.join(F.broadcast(frontier), "to_name").select("file", "line", "from_symbol", "relationship", "to_name", "at", "project", "confidence", "receiver")
+        # The frontier has no more rows than the cap.
+        edges = refs.join(maybe_broadcast(frontier, cap, 200), "to_name").select("file", "line", "from_symbol", "relationship", "to_name", "at", "project", "confidence", "receiver")
         keys = seen.select([F.col(c).alias(f"seen_{c}") for c in SITE])
         fresh = edges.join(keys, [edges[c].eqNullSafe(keys[f"seen_{c}"]) for c in SITE], "left_anti")
-        first = fresh.withColumn("k", F.row_number().over(Window.partitionBy(*SITE).orderBy("at", *reference_order()))).where("k = 1")
-        found = durable(first.withColumns({"n": F.row_number().over(Window.orderBy("at", *reference_order())), "all": count}).select(*SITE, F.col("to_name").alias("target"), "n", "all"))
-        shown = _capped(found, level, used, cap).select(columns)
-        walked, seen = walked.unionByName(shown), seen.unionByName(found.select(SITE))
-        taken = min(found.count(), max(0, cap - used))
+        # Of the edges of one site the first in order counts.
+        order = [F.col("at"), *reference_order()]
+        first = fresh.groupBy(*SITE).agg(F.min_by(F.struct("to_name", "at", "project", "confidence", "receiver"), F.struct(*order)).alias("e")).select(*SITE, "e.*")
+        found = durable(first.withColumn("target", F.col("to_name")))
+        shown, taken = _capped(found, order, level, used, cap)
+        walked, seen = walked.unionByName(shown.select(columns)), seen.unionByName(found.select(SITE))
         if not taken:
             break
         used += taken
@@ -110,11 +114,10 @@ def dependencies(imports: DataFrame, project: str, start: str, direction: str, d
     for level in range(1, depth + 1):
         step = edges.join(frontier.withColumnRenamed("file", "src"), "src").select(F.col("dst").alias("file")).distinct()
         fresh = step.join(seen, "file", "left_anti")
-        n = F.row_number().over(Window.orderBy(class_weight(F.col("file")), "file"))  # one project's files at most
-        found = durable(fresh.withColumns({"n": n, "all": F.count(F.lit(1)).over(Window.partitionBy())}))
-        shown = _capped(found, level, used, cap).select("level", "file", "position", "refused")
+        found = durable(fresh)
+        shown, taken = _capped(found, [class_weight(F.col("file")), F.col("file")], level, used, cap)
+        shown = shown.select("level", "file", "position", "refused")
         walked, seen = walked.unionByName(shown), seen.unionByName(found.select("file"))
-        taken = min(found.count(), max(0, cap - used))
         if not taken:
             break
         used, frontier = used + taken, shown.select("file")

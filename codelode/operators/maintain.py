@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..common import durable, partitions_for
+
+#: Rows of one range of a cache's keys.
+RANGE_ROWS = 100_000
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """``old`` with its rows of the new keys replaced: the declarative form of a merge."""
@@ -69,14 +74,28 @@ def reuse_vectors(stored: DataFrame, wanted: DataFrame) -> DataFrame:
 def evict(cache: DataFrame, cap: int) -> DataFrame:
     """A cache over its cap without its least recently used quarter and one; others unchanged.
 
-    The cut is a quantile of ``last_used`` found by counting, so no task sorts the whole cache.
+    The cut is exact and no task sorts the whole cache: its keys are spread over ranges of bounded size, the ranges are
+    counted, and the row at the cut is looked for in one of them only. Rows equal to it go with it.
     """
     total = cache.count()
     if total <= cap:
         return cache
-    gone = total // 4 + 1
-    doomed = cache.select("key", "last_used", "vec_id").orderBy("last_used", "key", "vec_id").limit(gone)
-    return cache.join(doomed.select("key", "last_used", "vec_id"), ["key", "last_used", "vec_id"], "left_anti")
+    order = ["last_used", "key", "vec_id"]
+    ranges = cache.select(*order).repartitionByRange(partitions_for(total, RANGE_ROWS), *order)
+    placed = durable(ranges.withColumn("part", F.spark_partition_id()))
+    left = total // 4 + 1
+    for r in sorted(placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r["part"]):
+        if left <= r["n"]:
+            break
+        left -= r["n"]
+    inside = placed.where(F.col("part") == r["part"]).withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
+    cut = inside.where(F.col("n") == left).select(*order).first()
+    # Nulls come first in the order, so they are gone if anything is.
+    beyond = F.lit(False)
+    for c in reversed(order):
+        value = F.lit(cut[c])
+        beyond = F.coalesce(F.col(c) > value, F.col(c).isNotNull() & value.isNull()) | (F.col(c).eqNullSafe(value) & beyond)
+    return cache.where(beyond)
 
 
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

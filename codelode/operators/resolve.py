@@ -67,3 +67,16 @@ def fan_in(refs: DataFrame, symbols: DataFrame, imports: DataFrame | None = None
     if imports is not None:
         used = used.unionByName(imports.where("resolved_file IS NOT NULL AND resolved_file != file").groupBy("project", F.col("resolved_file").alias("file")).agg(F.count(F.lit(1)).alias("n")))
     return used.groupBy("project", "file").agg(F.sum("n").alias("fan_in"))
+
+
+def ambiguity(refs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(project, to_name, sites, definitions, files, ambiguous, candidates): what the names that references use may mean.
+
+    A reference by name alone can't be given to one definition, so it names the labels (file and lines) of all. References
+    and definitions are counted per name before they meet, so a name that a third of all references use is one row.
+    """
+    label = F.concat("file", F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))
+    per = symbols.where("name IS NOT NULL").groupBy("project", F.col("name").alias("to_name")).agg(F.count(F.lit(1)).alias("definitions"), F.count_distinct("file").alias("files"), F.array_sort(F.collect_set(label)).alias("labels"))
+    used = refs.groupBy("project", "to_name").agg(F.count(F.lit(1)).alias("sites"))
+    met = used.join(per, ["project", "to_name"], "left")
+    return met.select("project", "to_name", "sites", "definitions", "files", F.coalesce(F.size("labels") > 1, F.lit(False)).alias("ambiguous"), F.coalesce(F.array_join("labels", " "), F.lit("")).alias("candidates"))

@@ -616,14 +616,55 @@ def g3_g4_reach(spark: SparkSession, d: str) -> DataFrame:
     return G.reach(edges, edges.where(F.col("src").contains("\u0001src/")).select(F.col("src").alias("node")), 3)
 
 
+def _callers_sql(cap: int) -> str:
+    """Two levels of callers of the most called name, as a statement: each level's sites ranked, and what the cap refuses."""
+    order = f"depth_at, {S.class_weight('file')}, CASE WHEN from_symbol IS NULL THEN 1 ELSE 0 END, CASE WHEN confidence <> 'ast' THEN 1 ELSE 0 END, project NULLS FIRST, file NULLS FIRST, line NULLS FIRST, relationship NULLS FIRST, from_symbol NULLS FIRST, receiver NULLS FIRST, to_name NULLS FIRST"
+    site = "file, line, from_symbol, relationship"
+
+    def level(n: int, before: str, frontier: str) -> str:
+        seen = " UNION ALL ".join(f"SELECT {site} FROM e{k}" for k in range(n))
+        return f"""s{n} AS (SELECT *, row_number() OVER (PARTITION BY {site} ORDER BY {order}) AS k FROM (SELECT refs.*, f.depth_at FROM refs JOIN t ON t.project = refs.project JOIN {frontier} f ON f.name = refs.to_name) r
+  WHERE NOT EXISTS (SELECT 1 FROM ({seen}) x WHERE x.file IS NOT DISTINCT FROM r.file AND x.line IS NOT DISTINCT FROM r.line AND x.from_symbol IS NOT DISTINCT FROM r.from_symbol AND x.relationship IS NOT DISTINCT FROM r.relationship)),
+e{n} AS (SELECT {site}, to_name AS target, row_number() OVER (ORDER BY {order}) AS n FROM s{n} WHERE k = 1),
+u{n} AS (SELECT {before}.used AS base, greatest({cap} - {before}.used, 0) AS room, (SELECT count(*) FROM e{n}) AS total, {before}.used + least(greatest({cap} - {before}.used, 0), (SELECT count(*) FROM e{n})) AS used FROM {before}),
+w{n} AS (SELECT {n} AS level, CASE WHEN room > 0 THEN file END AS file, CASE WHEN room > 0 THEN line END AS line, CASE WHEN room > 0 THEN from_symbol END AS from_symbol, CASE WHEN room > 0 THEN relationship END AS relationship, CASE WHEN room > 0 THEN target END AS target,
+  CASE WHEN room > 0 THEN base + n END AS position, greatest(total - room, 0) AS refused FROM e{n}, u{n} WHERE n <= greatest(room, 1)),
+f{n + 1} AS (SELECT from_symbol AS name, min(position) AS depth_at FROM w{n} WHERE from_symbol IS NOT NULL GROUP BY 1)"""
+
+    return f"""WITH t AS (SELECT project, to_name FROM refs WHERE relationship = 'call' GROUP BY 1, 2 ORDER BY count(*) DESC, 1, 2 LIMIT 1),
+e0 AS (SELECT *, row_number() OVER (ORDER BY file, line) AS n FROM (SELECT DISTINCT s.file, s.start_line AS line, s.name AS from_symbol, 'definition' AS relationship, s.name AS target FROM symbols s JOIN t ON s.project = t.project AND s.name = t.to_name)),
+u0 AS (SELECT least({cap}, (SELECT count(*) FROM e0)) AS used), w0 AS (SELECT 0 AS level, {site}, target, n AS position, greatest((SELECT count(*) FROM e0) - {cap}, 0) AS refused FROM e0 WHERE n <= {cap}), f1 AS (SELECT to_name AS name, 0 AS depth_at FROM t),
+{level(1, 'u0', 'f1')},
+{level(2, 'u1', 'f2')}
+SELECT CAST(level AS INTEGER) AS level, file, line, from_symbol, relationship, target, CAST(position AS INTEGER) AS position, CAST(refused AS BIGINT) AS refused FROM (SELECT * FROM w0 UNION ALL SELECT * FROM w1 UNION ALL SELECT * FROM w2)"""
+
+
+def _most_called(refs: DataFrame) -> tuple[str, str]:
+    top = refs.where("relationship = 'call'").groupBy("project", "to_name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "project", "to_name").first()
+    return top["project"], top["to_name"]
+
+
+@query(_callers_sql(40))
 def g2_callers(spark: SparkSession, d: str) -> DataFrame:
     """Callers of the most called name of the most called project, two levels."""
     refs = table(spark, d, "refs")
-    top = refs.where("relationship = 'call'").groupBy("project", "to_name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "project", "to_name").first()
-    return G.callers(refs, table(spark, d, "symbols"), top["project"], top["to_name"])
+    return G.callers(refs, table(spark, d, "symbols"), *_most_called(refs))
 
 
-QUERIES["g2_callers"] = g2_callers
+@query(_callers_sql(5000))
+def g2_o3_callers_wide(spark: SparkSession, d: str) -> DataFrame:
+    """The same with room for five thousand nodes, so that sites of both levels are ranked and shown."""
+    refs = table(spark, d, "refs")
+    return G.callers(refs, table(spark, d, "symbols"), *_most_called(refs), cap=5000)
+
+
+@query(
+    f"""WITH d AS (SELECT project, name, count(*) AS definitions, count(DISTINCT file) AS files, list_sort(list(DISTINCT file || ':' || start_line || '-' || end_line)) AS labels FROM symbols WHERE name IS NOT NULL GROUP BY 1, 2)
+SELECT r.project, r.to_name, count(*) AS sites, d.definitions, d.files, coalesce(len(d.labels), 0) > 1 AS ambiguous, coalesce(array_to_string(d.labels, ' '), '') AS candidates FROM refs r LEFT JOIN d ON d.project = r.project AND d.name = r.to_name WHERE r.relationship = 'call' GROUP BY ALL"""
+)
+def g6_ambiguity(spark: SparkSession, d: str) -> DataFrame:
+    """Every called name with the labels of all its definitions; more than one makes its calls ambiguous."""
+    return R.ambiguity(table(spark, d, "refs").where("relationship = 'call'"), table(spark, d, "symbols"))
 
 
 # -- search --------------------------------------------------------------------------------------------------------

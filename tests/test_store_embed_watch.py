@@ -103,6 +103,16 @@ def test_eviction_and_orphans(spark):
     cache = spark.createDataFrame([(k, f"k{k}", float(k)) for k in range(9)], "vec_id long, key string, last_used double")
     assert maintain.evict(cache, 9).count() == 9
     assert sorted(r.vec_id for r in maintain.evict(cache, 8).collect()) == [3, 4, 5, 6, 7, 8]
+    # Many equal times, nulls, several ranges.
+    rows = [(k, f"k{k % 7}", None if k % 11 == 0 else float(k % 3)) for k in range(500)]
+    order = lambda r: ((r[2] is not None, r[2] or 0.0), r[1], r[0])
+    want = sorted(r[0] for r in sorted(rows, key=order)[500 // 4 + 1 :])
+    for size in (40, 100_000):
+        maintain.RANGE_ROWS, before = size, maintain.RANGE_ROWS
+        try:
+            assert sorted(r.vec_id for r in maintain.evict(spark.createDataFrame(rows, "vec_id long, key string, last_used double"), 10).collect()) == want
+        finally:
+            maintain.RANGE_ROWS = before
     files = spark.createDataFrame([("p", "a")], "project string, path string")
     child = spark.createDataFrame([("p", "a"), ("p", "b"), ("p", "b"), ("q", "a")], "project string, file string")
     assert sorted((r.project, r.file, r.rows) for r in maintain.orphans({"x": child}, files).collect()) == [("p", "b", 2), ("q", "a", 1)]
