@@ -34,7 +34,8 @@ SENSITIVE_CONTENT = (r"AKIA[0-9A-Z]{16}", r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
 SENSITIVE_CHARS = 262_144
 DATA_LANGUAGES = ("json", "yaml", "toml")
 DATA_EXTENSIONS = (".json", ".yaml", ".yml", ".toml")
-LANGUAGES = {"py": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "rs": "rust", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "hpp": "cpp", "cs": "csharp", "java": "java", "kt": "kotlin", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "ini": "ini", "md": "markdown"}
+# Language names by extension; an unknown extension names itself, and a path without one is text.
+LANGUAGES = {"py": "python", "md": "markdown", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "tsx", "rs": "rust", "go": "go", "java": "java", "c": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hxx": "cpp", "hh": "cpp", "h": "cpp", "cs": "csharp", "sh": "shell", "toml": "toml", "yaml": "yaml", "yml": "yaml", "json": "json", "txt": "text"}
 
 
 def any_of(conditions: list[Column]) -> Column:
@@ -97,9 +98,10 @@ def class_weight(path: Column) -> Column:
 
 
 def language(path: Column) -> Column:
-    """Language by extension; null for an unknown one."""
-    ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
-    return F.element_at(F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair]), F.when(ext != "", ext).otherwise("?"))
+    """Language by what stands after the last dot; the extension itself where it is unknown, ``text`` where there is none."""
+    ext = F.lower(F.regexp_extract(path, r"\.([^.]*)$", 1))
+    known = F.element_at(F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair]), F.when(ext != "", ext).otherwise("?"))
+    return F.coalesce(known, F.nullif(ext, F.lit("")), F.lit("text"))
 
 
 def is_data(path: Column, lang: Column) -> Column:

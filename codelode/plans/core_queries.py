@@ -278,8 +278,9 @@ def x3_symbol_guess(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""WITH c AS (SELECT DISTINCT chunk_id, text, chunk_hash FROM chunks) SELECT chunk_id, 'sha256:' || sha256(text) AS hash, 'sha256:' || sha256(trim(regexp_replace(string_split(text, chr(10))[1], '\s+', ' ', 'g'))) AS decl_hash FROM c""")
 def x4_hashes(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "chunks").select("chunk_id", "text", "chunk_hash").distinct()
-    return c.select("chunk_id", F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("hash"), T.declaration_hash(F.lit(None).cast("string"), F.split("text", "\n")[0]).alias("decl_hash"))
+    """Hashes are made where the chunks lie, and only they are shuffled."""
+    c = table(spark, d, "chunks")
+    return c.select("chunk_id", F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("hash"), T.declaration_hash(F.lit(None).cast("string"), F.split("text", "\n")[0]).alias("decl_hash")).distinct()
 
 
 @query("SELECT id, project, file, qualified_name FROM (SELECT *, row_number() OVER (PARTITION BY project, file, qualified_name, symbol_type, decl_hash ORDER BY start_line, end_line, id) AS rn FROM symbols WHERE source = 'ast') WHERE rn = 1")
@@ -287,15 +288,21 @@ def x9_symbol_table(spark: SparkSession, d: str) -> DataFrame:
     return E.symbol_table(table(spark, d, "symbols")).select("id", "project", "file", "qualified_name")
 
 
+@query(
+    r"""WITH n AS (SELECT project, file, start_line + i - 1 AS line, trim(replace(ls[i], chr(9), ' ')) AS t FROM (SELECT project, file, start_line, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT DISTINCT project, file, start_line, string_split(text, chr(10)) AS ls FROM chunks WHERE file NOT LIKE '%.py'))),
+code AS (SELECT * FROM n WHERE t <> '' AND NOT (starts_with(t, '#') AND NOT starts_with(t, '#include') OR starts_with(t, '//') OR starts_with(t, '*') OR starts_with(t, '--'))),
+m AS (SELECT *, CASE WHEN regexp_matches(t, '^export\b') AND NOT regexp_matches(t, '^export\b.*\bfrom\s*["'']') OR regexp_matches(t, '^from\b') AND NOT regexp_matches(t, '^from\s+[\w.]+\s+import\b') OR regexp_matches(t, '^using\b') AND NOT contains(t, ';') THEN NULL
+  ELSE coalesce(nullif(regexp_extract(t, '^(?:import|export|require|#include)\b.*[\"''<]([^\"''<>]+)[\"''>]', 1), ''), nullif(regexp_extract(t, '^(?:from|import|use|using)\s+([A-Za-z_.][\w.:]*)', 1), '')) END AS target FROM code),
+w AS (SELECT project, file, line, unnest(regexp_extract_all(t, '[A-Za-z_][A-Za-z0-9_]{2,}\(?')) AS w FROM m WHERE target IS NULL),
+r AS (SELECT project, file, line, target AS to_name, 'includes' AS relationship FROM m WHERE target IS NOT NULL UNION SELECT project, file, line, rtrim(w, '('), CASE WHEN ends_with(w, '(') THEN 'call' ELSE 'identifier' END FROM w)
+SELECT project, file, relationship, count(*) AS refs FROM r GROUP BY ALL"""
+)
 def x12_x13_textual_references(spark: SparkSession, d: str) -> DataFrame:
     """Counts of textual references per file, over every chunk of a language without a parser here: all but Python."""
     rows = E.textual_references(table(spark, d, "chunks").where("file NOT LIKE '%.py'"))
     return rows.groupBy("project", "file", "relationship").agg(F.count(F.lit(1)).alias("refs"))
 
 
-QUERIES["x12_x13_textual_references"] = x12_x13_textual_references
-
-
 def x14_resolved_imports(spark: SparkSession, d: str) -> DataFrame:
     """Import lines and the paths of Go import groups with the files they mean."""
     chunks = table(spark, d, "chunks")
@@ -307,7 +314,7 @@ QUERIES["x14_resolved_imports"] = x14_resolved_imports
 
 
 @query(
-    f"WITH {S.FILES} SELECT project, path, CASE lower(regexp_extract(path, '\\.([^./]+)$', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.LANGUAGES.items()) + " END AS by_extension, language FROM f"
+    f"WITH {S.FILES} SELECT project, path, CASE lower(regexp_extract(path, '\\.([^.]*)$', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.LANGUAGES.items()) + " WHEN '' THEN 'text' ELSE lower(regexp_extract(path, '\\.([^.]*)$', 1)) END AS by_extension, language FROM f"
 )
 def x16_languages(spark: SparkSession, d: str) -> DataFrame:
     return files_of(spark, d).select("project", "path", P.language(F.col("path")).alias("by_extension"), "language")
@@ -321,8 +328,8 @@ def x15_x17_reader_policy(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH c AS (SELECT DISTINCT chunk_id, file, symbol, text FROM chunks) SELECT chunk_id, sha256(file || chr(10) || CASE WHEN coalesce(symbol, '') <> '' THEN 'symbol: ' || symbol || chr(10) ELSE '' END || text) AS digest FROM c")
 def x18_embedding_text(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "chunks").select("chunk_id", "file", "symbol", "text").distinct()
-    return c.select("chunk_id", F.sha2(T.embedding_text(F.col("file"), F.col("symbol"), F.col("text")), 256).alias("digest"))
+    digest = F.sha2(T.embedding_text(F.col("file"), F.col("symbol"), F.col("text")), 256).alias("digest")
+    return table(spark, d, "chunks").select("chunk_id", digest).distinct()
 
 
 @query(f"WITH {S.CHUNKS} SELECT project, file, count(*) AS chunks, CAST((count(*) + 511) // 512 AS BIGINT) AS groups FROM c GROUP BY ALL")
@@ -415,11 +422,11 @@ def f16_data_payload(spark: SparkSession, d: str) -> DataFrame:
     return files_of(spark, d).select("project", "path", P.is_data(F.col("path"), F.col("language")).alias("data"))
 
 
-@query("WITH c AS (SELECT DISTINCT chunk_id, file, symbol, text FROM chunks) SELECT chunk_id, coalesce(nullif(trim(symbol), ''), nullif(substr(trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1]), 1, 80), ''), file, 'file') AS label FROM c")
+@query("WITH c AS (SELECT DISTINCT chunk_id, file, symbol, text FROM chunks) SELECT DISTINCT chunk_id, coalesce(nullif(trim(symbol), ''), nullif(substr(trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1]), 1, 80), ''), file, 'file') AS label FROM c")
 def f18_hit_label(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "chunks").select("chunk_id", "file", "symbol", "text").distinct()
+    c = table(spark, d, "chunks")
     first = F.left(F.trim(F.get(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), F.lit(0))), F.lit(80))
-    return c.select("chunk_id", F.coalesce(F.nullif(F.trim("symbol"), F.lit("")), F.nullif(first, F.lit("")), F.col("file"), F.lit("file")).alias("label"))
+    return c.select("chunk_id", F.coalesce(F.nullif(F.trim("symbol"), F.lit("")), F.nullif(first, F.lit("")), F.col("file"), F.lit("file")).alias("label")).distinct()
 
 
 @query(f"WITH {S.FILES}, s AS (SELECT symbols.* FROM symbols JOIN f ON f.project = symbols.project AND f.path = symbols.file) SELECT id, file, n, total FROM (SELECT *, row_number() OVER (PARTITION BY project, file ORDER BY start_line, qualified_name, id) AS n, count(*) OVER (PARTITION BY project, file) AS total FROM s) WHERE n <= 3")

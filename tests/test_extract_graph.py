@@ -242,3 +242,25 @@ def test_governance(spark):
     assert governance.health(spark, {"a": (True, ""), "b": (False, "x")}).where("status = 'fail'").count() == 1
 
 
+
+
+def test_exclusions_of_the_repository_and_character_classes(tmp_path):
+    from codelode.sources import tree
+
+    top = tmp_path / "top"
+    (top / ".git" / "info").mkdir(parents=True)
+    (top / "sub" / "in").mkdir(parents=True)
+    (top / ".git" / "info" / "exclude").write_text("# local\n/sub/secret.txt\n*.tmp\nbuild/\n")
+    rules = tree.local_rules(str(top / "sub"))
+    hit = lambda p, d=False: tree.ignored(p, d, rules)
+    assert hit("secret.txt") and hit("in/a.tmp") and hit("build", True) and not hit("build") and not hit("in/secret.txt")
+    assert tree.ignored("sub/secret.txt", False, tree.local_rules(str(top)))
+    (tmp_path / "tree").mkdir()
+    (tmp_path / "tree" / ".git").write_text("gitdir: ../top/.git/worktrees/w\n")
+    (top / ".git" / "worktrees" / "w").mkdir(parents=True)
+    (top / ".git" / "worktrees" / "w" / "commondir").write_text("../..\n")
+    assert tree.ignored("x.tmp", False, tree.local_rules(str(tmp_path / "tree")))
+    assert tree.local_rules("/") == []
+    rules = [tree.compile_rule(x) for x in ("a[0-9].py", "b[!xy].c", "c[d", "\\#e", "f[]].g")]
+    for path, want in {"a1.py": True, "ab.py": False, "bz.c": True, "bx.c": False, "c[d": True, "#e": True, "f].g": True}.items():
+        assert tree.ignored(path, False, rules) is want, path
