@@ -100,3 +100,18 @@ def changed_symbols(symbols: DataFrame, hunks: DataFrame) -> DataFrame:
     """Symbols whose lines overlap a changed range (project, file, from_line, to_line): equality on the file first."""
     hit = symbols.join(hunks, ["project", "file"]).where((F.col("start_line") <= F.col("to_line")) & (F.col("end_line") >= F.col("from_line")))
     return hit.select("id", "project", "file", "qualified_name").distinct()
+
+
+def removed_symbols(before: DataFrame, after: DataFrame, files: DataFrame) -> DataFrame:
+    """(project, file, name) that files still present (project, file) had before and have nowhere now."""
+    key = ["project", "file", "name"]
+    old = before.where("name IS NOT NULL").select(key).distinct().join(files.select("project", "file").distinct(), ["project", "file"], "left_semi")
+    return old.join(after.where("name IS NOT NULL").select(key).distinct(), key, "left_anti")
+
+
+def fan_in_by_file(resolved_refs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(project, file, value): references from other files that resolve into a file; counted per target before the join."""
+    per = resolved_refs.where("target_id IS NOT NULL").groupBy("target_id", F.col("project").alias("from_project"), F.col("file").alias("from_file")).agg(F.count(F.lit(1)).alias("n"))
+    met = per.join(symbols.select(F.col("id").alias("target_id"), "project", "file"), "target_id")
+    other = (F.col("from_file") != F.col("file")) | (F.col("from_project") != F.col("project"))
+    return met.where(other).groupBy("project", "file").agg(F.sum("n").alias("value"))

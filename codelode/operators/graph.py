@@ -97,6 +97,30 @@ def callees(resolved_refs: DataFrame, symbols: DataFrame) -> DataFrame:
     return calls.join(homes, ["project", "to_name"], "left").select("project", "file", "from_symbol", "to_name", F.when(F.col("n") == 1, F.col("f")).alias("target_file"), "calls")
 
 
+def callees_walk(refs: DataFrame, symbols: DataFrame, project: str, name: str, depth: int = 2, cap: int = 60) -> DataFrame:
+    """(level, name, calls, target_file, position, refused): names called from ``name`` and from those, each at its first level.
+
+    A declaration is known by the last part of its qualified name. Names called most come first; ``cap`` counts the start,
+    and ``refused`` is as in ``callers``. A name has a file only where exactly one file of the project defines it.
+    """
+    mine = refs.where((F.col("project") == project) & (F.col("relationship") == "call") & F.col("from_symbol").isNotNull() & F.col("to_name").isNotNull())
+    edges = durable(mine.groupBy(F.substring_index("from_symbol", ".", -1).alias("src"), F.col("to_name").alias("name")).agg(F.count(F.lit(1)).alias("calls")))
+    spark = refs.sparkSession
+    columns = ["level", "name", "calls", "position", "refused"]
+    walked = spark.createDataFrame([(0, name, None, 1, 0)], "level int, name string, calls bigint, position int, refused bigint")
+    seen, frontier, used = walked.select("name"), walked.select(F.col("name").alias("src")), 1
+    for level in range(1, depth + 1):
+        step = edges.join(maybe_broadcast(frontier, cap, 200), "src").groupBy("name").agg(F.sum("calls").alias("calls"))
+        found = durable(step.join(seen, "name", "left_anti"))
+        shown, taken = _capped(found, [F.desc("calls"), F.col("name")], level, used, cap)
+        walked, seen = walked.unionByName(shown.select(columns)), seen.unionByName(found.select("name"))
+        if not taken:
+            break
+        used, frontier = used + taken, shown.select(F.col("name").alias("src"))
+    homes = symbols.where((F.col("project") == project) & F.col("name").isNotNull()).groupBy("name").agg(F.count_distinct("file").alias("n"), F.min("file").alias("f"))
+    return walked.join(homes, "name", "left").select("level", "name", "calls", F.when(F.col("n") == 1, F.col("f")).alias("target_file"), "position", "refused")
+
+
 def dependencies(imports: DataFrame, project: str, start: str, direction: str, depth: int = 2, cap: int = 60) -> DataFrame:
     """(level, file, position, refused) along resolved imports: ``out``, ``in`` or ``both``; ``cap`` counts the start.
 

@@ -114,3 +114,9 @@ def code_context(chunks: DataFrame, wanted: DataFrame, pad: int) -> DataFrame:
     islands = flagged.withColumn("island", F.sum("new").over(w)).groupBy("project", "file", "island")
     ranges = islands.agg(F.greatest(F.min("start_line") - pad, F.lit(1)).alias("from_line"), (F.max("end_line") + pad).alias("to_line"))
     return ranges.join(chunks, ["project", "file"]).where((F.col("start_line") <= F.col("to_line")) & (F.col("end_line") >= F.col("from_line")))
+
+
+def exactly_one(symbols: DataFrame) -> DataFrame:
+    """(project, name, candidates, id): the only symbol of a name in its project; null where there are several."""
+    per = symbols.where("name IS NOT NULL").groupBy("project", "name").agg(F.count(F.lit(1)).alias("candidates"), F.min("id").alias("id"))
+    return per.withColumn("id", F.when(F.col("candidates") == 1, F.col("id")))

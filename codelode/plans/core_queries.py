@@ -1032,6 +1032,66 @@ def o3_o5_call_sites(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "refs").withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("project", "file", "line", "relationship", "to_name", "receiver", "from_symbol")
 
 
+# -- third inventory -----------------------------------------------------------------------------------------------
+
+
+_CALLING = "t AS (SELECT project, regexp_extract(from_symbol, '[^.]*$') AS name FROM refs WHERE relationship = 'call' AND from_symbol IS NOT NULL GROUP BY 1, 2 ORDER BY count(*) DESC, 1, 2 LIMIT 1)"
+
+
+@query(
+    f"""WITH {_CALLING}, e AS (SELECT regexp_extract(from_symbol, '[^.]*$') AS src, to_name AS name, count(*) AS calls FROM refs r JOIN t ON t.project = r.project WHERE relationship = 'call' AND from_symbol IS NOT NULL AND to_name IS NOT NULL GROUP BY ALL),
+e1 AS (SELECT e.name, sum(calls) AS calls FROM e JOIN t ON t.name = e.src WHERE e.name <> t.name GROUP BY 1), n1 AS (SELECT *, row_number() OVER (ORDER BY calls DESC, name) AS n FROM e1), s1 AS (SELECT * FROM n1 WHERE n <= 59), u1 AS (SELECT 59 - count(*) AS room, count(*) + 1 AS used FROM s1),
+e2 AS (SELECT e.name, sum(calls) AS calls FROM e JOIN (SELECT name AS src FROM s1) f USING (src) WHERE e.name NOT IN (SELECT name FROM e1) AND e.name NOT IN (SELECT name FROM t) GROUP BY 1), n2 AS (SELECT *, row_number() OVER (ORDER BY calls DESC, name) AS n FROM e2),
+w AS (SELECT 0 AS level, name, NULL AS calls, 1 AS position, 0 AS refused FROM t UNION ALL SELECT 1, name, calls, n + 1, greatest((SELECT count(*) FROM e1) - 59, 0) FROM s1
+  UNION ALL SELECT 2, CASE WHEN room > 0 THEN name END, CASE WHEN room > 0 THEN calls END, CASE WHEN room > 0 THEN n + used END, greatest((SELECT count(*) FROM e2) - room, 0) FROM n2, u1 WHERE n <= greatest(room, 1)),
+h AS (SELECT s.name, count(DISTINCT file) AS n, min(file) AS f FROM symbols s JOIN t ON t.project = s.project GROUP BY 1)
+SELECT CAST(level AS INTEGER) AS level, w.name, CAST(calls AS BIGINT) AS calls, CASE WHEN h.n = 1 THEN h.f END AS target_file, CAST(position AS INTEGER) AS position, CAST(refused AS BIGINT) AS refused FROM w LEFT JOIN h ON h.name = w.name"""
+)
+def g3_callees_walk(spark: SparkSession, d: str) -> DataFrame:
+    """Two levels of callees of the declaration that calls most."""
+    refs = table(spark, d, "refs")
+    top = refs.where("relationship = 'call' AND from_symbol IS NOT NULL").groupBy("project", F.substring_index("from_symbol", ".", -1).alias("name")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "project", "name").first()
+    return G.callees_walk(refs, table(spark, d, "symbols"), top["project"], top["name"])
+
+
+@query(
+    f"""WITH {S.RESOLVED}, v AS (SELECT s.project, s.file, count(*) AS value FROM r JOIN symbols s ON s.id = r.target_id WHERE r.file <> s.file OR r.project <> s.project GROUP BY 1, 2)
+SELECT project, file, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY {S.class_weight('file')}, value DESC, file) AS rank FROM v) WHERE rank <= 10"""
+)
+def a9_fan_in_hotspots(spark: SparkSession, d: str) -> DataFrame:
+    symbols = table(spark, d, "symbols")
+    return A.hotspots(A.fan_in_by_file(R.resolved(table(spark, d, "refs"), symbols), symbols), 10).select("project", "file", "value", "rank")
+
+
+@query("SELECT project, name, count(*) AS candidates, CASE WHEN count(*) = 1 THEN min(id) END AS id FROM symbols WHERE name IS NOT NULL GROUP BY 1, 2")
+def f14_exactly_one(spark: SparkSession, d: str) -> DataFrame:
+    return L.exactly_one(table(spark, d, "symbols"))
+
+
+@query(
+    f"""WITH {S.CHUNKS}, w AS (SELECT DISTINCT project, file, start_line, end_line FROM symbols WHERE name = 'accept_anchor' AND start_line IS NOT NULL),
+i AS (SELECT *, CASE WHEN start_line > max(end_line) OVER (PARTITION BY project, file ORDER BY start_line, end_line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS new FROM w),
+g AS (SELECT *, sum(new) OVER (PARTITION BY project, file ORDER BY start_line, end_line ROWS UNBOUNDED PRECEDING) AS island FROM i), r AS (SELECT project, file, island, greatest(min(start_line) - 3, 1) AS a, max(end_line) + 3 AS b FROM g GROUP BY ALL)
+SELECT DISTINCT r.project, r.file, r.a AS from_line, r.b AS to_line, c.chunk_id FROM r JOIN c ON c.project = r.project AND c.file = r.file AND c.start_line <= r.b AND c.end_line >= r.a"""
+)
+def q7_symbol_context(spark: SparkSession, d: str) -> DataFrame:
+    """Context of every definition of a name, three lines around."""
+    wanted = table(spark, d, "symbols").where("name = 'accept_anchor' AND start_line IS NOT NULL").select("project", "file", "start_line", "end_line").distinct()
+    return L.code_context(files_chunks(spark, d), wanted, 3).select("project", "file", "from_line", "to_line", "chunk_id").distinct()
+
+
+@query(
+    f"""WITH {_SNAPS}, k AS (SELECT DISTINCT chunk_hash, symbol AS name FROM chunks WHERE symbol IS NOT NULL), v AS (SELECT DISTINCT cs.snap_no, cs.project, cs.file, k.name FROM cs JOIN k USING (chunk_hash)),
+n AS (SELECT DISTINCT project, file FROM cs WHERE snap_no = 1)
+SELECT project, file, name FROM v WHERE snap_no = 3 AND (project, file) IN (SELECT (project, file) FROM n) AND NOT EXISTS (SELECT 1 FROM v x WHERE x.snap_no = 1 AND x.project = v.project AND x.file = v.file AND x.name = v.name)"""
+)
+def g8_removed_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """Names that going back from the third snapshot to the first would remove from files that both have."""
+    known = table(spark, d, "chunks").where("symbol IS NOT NULL").select("chunk_hash", F.col("symbol").alias("name")).distinct()
+    then = chunk_snapshot(spark, d, 1)
+    return A.removed_symbols(chunk_snapshot(spark, d, 3).join(known, "chunk_hash"), then.join(known, "chunk_hash"), then)
+
+
 # -- times and offsets ---------------------------------------------------------------------------------------------
 
 

@@ -264,3 +264,11 @@ def test_exclusions_of_the_repository_and_character_classes(tmp_path):
     rules = [tree.compile_rule(x) for x in ("a[0-9].py", "b[!xy].c", "c[d", "\\#e", "f[]].g")]
     for path, want in {"a1.py": True, "ab.py": False, "bz.c": True, "bx.c": False, "c[d": True, "#e": True, "f].g": True}.items():
         assert tree.ignored(path, False, rules) is want, path
+
+
+def test_callees_walk_caps_and_counts(spark):
+    refs = spark.createDataFrame([("p", "a.py", 1, "A.run", n, "call", "ast", None) for n in ("f", "g", "g", "h")] + [("p", "b.py", 2, "f", "k", "call", "ast", None), ("p", "b.py", 3, "g", "run", "call", "ast", None), ("q", "b.py", 3, "run", "z", "call", "ast", None)], "project string, file string, line int, from_symbol string, to_name string, relationship string, confidence string, receiver string")
+    symbols = spark.createDataFrame([("p", "b.py", "f"), ("p", "x.py", "g"), ("p", "y.py", "g")], "project string, file string, name string")
+    walk = lambda **k: [(r.level, r.name, r.calls, r.target_file, r.position, r.refused) for r in graph.callees_walk(refs, symbols, "p", "run", **k).orderBy("level", "position").collect()]
+    assert walk() == [(0, "run", None, None, 1, 0), (1, "g", 2, None, 2, 0), (1, "f", 1, "b.py", 3, 0), (1, "h", 1, None, 4, 0), (2, "k", 1, None, 5, 0)]
+    assert walk(cap=3) == [(0, "run", None, None, 1, 0), (1, "g", 2, None, 2, 1), (1, "f", 1, "b.py", 3, 1), (2, None, None, None, None, 1)]
