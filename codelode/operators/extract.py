@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -286,14 +287,18 @@ def _named(node: ast.AST) -> tuple[str, str | None] | None:
     return None
 
 
+def references_of(text: str, ext: str) -> list[tuple[int, str | None, str, str, str | None]]:
+    return python_references(text) if ext == "py" else brace_references(text, ext) if ext in BRACED else []
+
+
 def parsed_references(texts: DataFrame) -> DataFrame:
-    """References of Python texts (project, file, text)."""
+    """References of texts (project, file, text): Python's from its syntax tree, those of brace languages from their code."""
     ddl = "project string, file string, line int, from_symbol string, to_name string, relationship string, receiver string"
     kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(p, f, *r) for p, f, t in zip(*[c.to_pylist() for c in b.columns]) for r in python_references(t)]
+            got = [(p, f, *r) for p, f, t in zip(*[c.to_pylist() for c in b.columns]) for r in references_of(t, f.rpartition(".")[2].lower())]
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), kinds)], names=[x.split()[0] for x in ddl.split(", ")])
 
@@ -370,6 +375,47 @@ def brace_declarations(text: str, ext: str = "") -> list[tuple[str, str, str | N
     return out
 
 
+_CALL_SITE = re.compile(r"(?:([A-Za-z_$][\w$]*)\s*(?:\??\.|->|::)\s*)?([A-Za-z_$][\w$]*)(?:\s*(?:::)?<[\w:, &<>\[\]]*>)?\s*(!?)\(")
+_BASES = re.compile(r"\b(?:class|interface|struct|record|enum)\s+\w+(?:<[^{};()]*?>)?(?:\([^()]*\))?\s*((?:(?:extends|implements)\b|:(?!:))[^{};]*)\{")
+_IMPL_FOR = re.compile(r"\bimpl(?:<[^{};]*?>)?\s+([\w:]+)(?:<[^{};]*?>)?\s+for\s+(?:\w+::)*(\w+)")
+_BASE_NAME = re.compile(r"(?:[A-Za-z_$][\w$]*\s*(?:\.|::)\s*)*([A-Za-z_$][\w$]*)")
+_IMPORT_LINE = re.compile(r"^[ \t]*(?:import|export|require|use|using|#[ \t]*include)\b[^\n]*", re.M)
+_NO_CALL = _NO_TYPE | frozenset("function func fn typeof instanceof in of delete void super this self loop move unsafe async await impl pub struct class enum sizeof alignof defined nameof checked unchecked base".split())
+
+
+def brace_references(text: str, ext: str = "") -> list[tuple[int, str | None, str, str, str | None]]:
+    """(line, enclosing declaration, name, relationship, receiver) of a brace language, from its code without literals.
+
+    Calls are names before a parenthesis that aren't words of the language or the heads of declarations; bases stand behind
+    a type's head. A member rule of C# goes with its name: ``a.B(…)`` is a call of ``B`` with receiver ``a``. Imports keep the
+    target that ``import_target`` reads from the line.
+    """
+    code = (_BLANKED_SCRIPT if ext in _SCRIPT else _BLANKED).sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
+    found = brace_declarations(text, ext)
+    heads = {(first, full.rpartition(".")[2]) for full, _, _, first, _ in found}
+    starts = [0, *[m.end() for m in re.finditer("\n", code)]]
+    owners: dict[int, str] = {}
+    for full, _, _, first, last in found:  # outer ones come first, so the innermost stays
+        owners.update(dict.fromkeys(range(first, last + 1), full))
+    line_of = lambda at: bisect_right(starts, at)
+    out = []
+    for m in _BASES.finditer(code):
+        line = line_of(m.start())
+        for base in re.split(r",|\bextends\b|\bimplements\b|^:", re.sub(r"<[^<>]*>|\([^()]*\)|\bwhere\b.*", " ", m.group(1), flags=re.S)):
+            if b := _BASE_NAME.match(base.strip()):
+                out.append((line, owners.get(line), b.group(1), "base_class", None))
+    if ext == "rs":
+        for m in _IMPL_FOR.finditer(code):
+            out.append((line_of(m.start()), owners.get(line_of(m.start())), m.group(1).rpartition("::")[2], "base_class", None))
+    skipped = {line_of(m.start()) for m in _IMPORT_LINE.finditer(code)}
+    for m in _CALL_SITE.finditer(code):
+        line, name = line_of(m.start(2)), m.group(2)
+        if line in skipped or m.group(1) is None and (name in _NO_CALL or (line, name) in heads):
+            continue
+        out.append((line, owners.get(line), name, "call", m.group(1)))
+    return list(dict.fromkeys(sorted(out, key=lambda r: r[0])))
+
+
 def enclosing(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """References with the innermost declaration whose lines hold theirs: equality on the file, then containment."""
     spans = symbols.select("project", "file", "id", "start_line", "end_line")

@@ -946,7 +946,8 @@ def x5_x7_declarations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def x10_parsed_references(spark: SparkSession, d: str) -> DataFrame:
-    return E.parsed_references(E.whole_texts(table(spark, d, "chunks").where("file LIKE '%.py'")))
+    """References of every file in a language with a syntax tree or braces."""
+    return E.parsed_references(E.whole_texts(table(spark, d, "chunks")))
 
 
 QUERIES |= {"x5_x7_declarations": x5_x7_declarations, "x10_parsed_references": x10_parsed_references}

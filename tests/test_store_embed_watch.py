@@ -116,3 +116,20 @@ def test_eviction_and_orphans(spark):
     files = spark.createDataFrame([("p", "a")], "project string, path string")
     child = spark.createDataFrame([("p", "a"), ("p", "b"), ("p", "b"), ("q", "a")], "project string, file string")
     assert sorted((r.project, r.file, r.rows) for r in maintain.orphans({"x": child}, files).collect()) == [("p", "b", 2), ("q", "a", 1)]
+
+
+def test_brace_references():
+    ts = 'import { a } from "./a";\nexport class A extends B.C<D> implements E, F {\n  run(x: number) {\n    if (x) { this.go(x); }\n    return make<string>(x) + "no(1)"; // not(this)\n  }\n}\nfunction f() {\n  return new G(run());\n}\n'
+    got = extract.brace_references(ts, "ts")
+    assert {(n, o) for _, o, n, r, _ in got if r == "base_class"} == {("C", "A"), ("E", "A"), ("F", "A")}
+    assert [(line, o, n, v) for line, o, n, r, v in got if r == "call"] == [(4, "A.run", "go", "this"), (5, "A.run", "make", None), (9, "f", "G", None), (9, "f", "run", None)]
+    cs = "public class A : Base<int>, IThing\n{\n    int Run(int n)\n    {\n        foreach (var x in Get(n)) _log.Write(x);\n        return nameof(n).Length;\n    }\n}\n"
+    got = extract.brace_references(cs, "cs")
+    assert [n for _, _, n, r, _ in got if r == "base_class"] == ["Base", "IThing"]
+    assert [(n, v, o) for _, o, n, r, v in got if r == "call"] == [("Get", None, "A.Run"), ("Write", "_log", "A.Run")]
+    rs = "impl fmt::Display for P {\n    fn fmt(&self) -> R { helper::<u8>(self.x()); Ok(()) }\n}\n"
+    got = extract.brace_references(rs, "rs")
+    assert ("Display", "base_class") in {(n, r) for _, _, n, r, _ in got} and {n for _, _, n, r, _ in got if r == "call"} == {"helper", "x", "Ok"}
+    go = "package a\n\nfunc Run(t *T) {\n\tfmt.Println(t.Name())\n}\n"
+    assert [(n, v) for _, _, n, r, v in extract.brace_references(go, "go") if r == "call"] == [("Println", "fmt"), ("Name", "t")]
+    assert extract.brace_references("", "c") == []
