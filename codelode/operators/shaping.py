@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import class_weight, is_data
 from ..functions.text import query_tokens, subtokens
 
-# Fixed magnitudes of the adjustments.
+# Magnitudes of the adjustments, and the words by which queries ask for tests or data.
 DEFINITION_BOOST, LEXICAL_WEIGHT, DATA_PENALTY, DATA_SHARE = 0.02, 0.25, 0.03, 0.4
 SYMBOL_BOOST, FUZZY_BOOST, PATH_BOOST, REPEAT_PENALTY, RERANK_POOL = 0.04, 0.02, 0.02, 0.03, 30
 RRF_K, MERGE_GAP = 60, 2
@@ -99,11 +99,12 @@ def reciprocal_rank(lists: DataFrame, limit: int) -> DataFrame:
 
 def islands(hits: DataFrame, gap: int = MERGE_GAP) -> DataFrame:
     """``island``: hits of one file whose line ranges touch or lie within ``gap`` lines; hits without a range are alone."""
-    ranged = hits.where("start_line IS NOT NULL AND end_line IS NOT NULL")
-    w = Window.partitionBy("query_id", "project", "file").orderBy("start_line", "end_line", "pos")
-    before = F.max("end_line").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = ranged.withColumn("new", F.coalesce((F.col("start_line") > before + gap + 1).cast("int"), F.lit(1)))
-    return flagged.withColumn("island", F.sum("new").over(w)).drop("new").unionByName(hits.where("start_line IS NULL OR end_line IS NULL").withColumn("island", -F.col("pos").cast("bigint")))
+    ranged = F.col("start_line").isNotNull() & F.col("end_line").isNotNull()
+    first, last = F.when(ranged, F.col("start_line")), F.when(ranged, F.col("end_line"))
+    w = Window.partitionBy("query_id", "project", "file").orderBy(first, last, "pos")
+    before = F.max(last).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    flagged = hits.withColumn("new", F.when(ranged, F.coalesce((first > before + gap + 1).cast("int"), F.lit(1))).otherwise(1))
+    return flagged.withColumn("island", F.sum("new").over(w)).drop("new")
 
 
 def merge_overlapping(hits: DataFrame, gap: int = MERGE_GAP) -> DataFrame:
@@ -131,19 +132,20 @@ def demote_repeats(hits: DataFrame) -> DataFrame:
 
     Order-dependent, so a fold over each (query, class, file)'s hits in order; the array is bounded by the pool.
     """
-    rung = class_weight(F.col("file"))
-    ordered = hits.withColumn("rung", rung).groupBy("query_id", "rung", "project", "file").agg(F.array_sort(F.collect_list(F.struct("pos", "start_line", "end_line"))).alias("h"))
+    rows = hits.withColumn("rung", class_weight(F.col("file")))
+    hit = F.struct("pos", *[c for c in rows.columns if c not in ("pos", "query_id", "rung", "project", "file")])
+    ordered = rows.groupBy("query_id", "rung", "project", "file").agg(F.array_sort(F.collect_list(hit), lambda a, b: a["pos"] - b["pos"]).alias("h"))
     empty = F.struct(F.array().cast("array<struct<s:int,e:int>>").alias("shown"), F.array().cast("array<int>").alias("repeats"))
 
     def step(acc: Column, x: Column) -> Column:
-        hit = x["start_line"].isNotNull() & x["end_line"].isNotNull()
-        again = hit & F.exists(acc["shown"], lambda o: (x["start_line"] <= o["e"]) & (x["end_line"] >= o["s"]))
-        shown = F.when(hit & ~again, F.concat(acc["shown"], F.array(F.struct(x["start_line"].cast("int").alias("s"), x["end_line"].cast("int").alias("e"))))).otherwise(acc["shown"])
+        ranged = x["start_line"].isNotNull() & x["end_line"].isNotNull()
+        again = ranged & F.exists(acc["shown"], lambda o: (x["start_line"] <= o["e"]) & (x["end_line"] >= o["s"]))
+        shown = F.when(ranged & ~again, F.concat(acc["shown"], F.array(F.struct(x["start_line"].cast("int").alias("s"), x["end_line"].cast("int").alias("e"))))).otherwise(acc["shown"])
         return F.struct(shown.alias("shown"), F.when(again, F.concat(acc["repeats"], F.array(x["pos"].cast("int")))).otherwise(acc["repeats"]).alias("repeats"))
 
-    repeats = ordered.select("query_id", F.explode(F.aggregate("h", empty, step)["repeats"]).alias("pos")).withColumn("again", F.lit(1))
-    flagged = hits.withColumn("rung", rung).join(repeats, ["query_id", "pos"], "left").withColumn("again", F.coalesce("again", F.lit(0)))
-    return positions(flagged, F.col("rung"), F.col("again"), F.col("pos")).drop("rung", "again")
+    flagged = ordered.withColumn("r", F.aggregate("h", empty, step)["repeats"]).select("query_id", "rung", "project", "file", "r", F.explode("h").alias("x")).select("query_id", "rung", "project", "file", "r", "x.*")
+    flagged = flagged.withColumn("again", F.array_contains("r", F.col("pos")).cast("int"))
+    return positions(flagged, F.col("rung"), F.col("again"), F.col("pos")).select(*hits.columns)
 
 
 def truncate_snippets(hits: DataFrame, budget: int, n: int) -> DataFrame:
@@ -153,20 +155,24 @@ def truncate_snippets(hits: DataFrame, budget: int, n: int) -> DataFrame:
 def trim_to_budget(hits: DataFrame, tokens: int) -> DataFrame:
     """Hits in order whose cost (80 and the snippet's length, 500 at most) still fits; the first always stays."""
     cost = F.lit(80) + F.least(F.length(F.coalesce("snippet", F.lit(""))), F.lit(500))
-    lists = hits.withColumn("cost", cost).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "cost"))).alias("h"))
+    hit = F.struct("pos", "cost", *[c for c in hits.columns if c not in ("pos", "query_id")])
+    lists = hits.withColumn("cost", cost).groupBy("query_id").agg(F.array_sort(F.collect_list(hit), lambda a, b: a["pos"] - b["pos"]).alias("h"))
     empty = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("kept"))
 
     def step(acc: Column, x: Column) -> Column:
         fits = (F.size(acc["kept"]) == 0) | (acc["used"] + x["cost"] <= tokens * 4)
         return F.struct((acc["used"] + F.when(fits, x["cost"]).otherwise(0)).alias("used"), F.when(fits, F.concat(acc["kept"], F.array(x["pos"].cast("int")))).otherwise(acc["kept"]).alias("kept"))
 
-    kept = lists.select("query_id", F.explode(F.aggregate("h", empty, step)["kept"]).alias("pos"))
-    return positions(hits.join(kept, ["query_id", "pos"], "left_semi"), F.col("pos"))
+    kept = lists.withColumn("k", F.aggregate("h", empty, step)["kept"]).select("query_id", "k", F.explode("h").alias("x")).select("query_id", "k", "x.*").where(F.array_contains("k", F.col("pos")))
+    return positions(kept, F.col("pos")).select(*hits.columns)
 
 
 def shape(hits: DataFrame, query: Column, limit: int, merge: str = "merged", per_file: int = 0, budget: int = 0) -> DataFrame:
-    """The whole order: score, data cap, merge, class, repeats, per-file cap, snippets, budget, limit."""
-    out = cap_data(positions(hits), query, limit)
+    """The whole order: score, data cap, merge, class, repeats, per-file cap, snippets, budget, limit.
+
+    A query's pool is sent to one place first: every window and group below is one query's, so none is sent again.
+    """
+    out = cap_data(positions(hits.repartition("query_id")), query, limit)
     if merge == "merged":
         out = merge_overlapping(out)
     out = demote_repeats(class_order(out, query).drop("rung"))
