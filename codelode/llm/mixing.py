@@ -25,7 +25,9 @@ BITS, TOTAL = 12, 60
 
 def _thresholds(sized: DataFrame, targets: list[dict]) -> None:
     """Sets ``passes`` and ``below`` (hashes under it get one more copy) of each target."""
-    have = {r["source"]: r["t"] for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
+    # Sources that no target names take no part: there may be very many.
+    named = sized.sparkSession.createDataFrame([(s,) for s in sorted({t["source"] for t in targets})], "source string")
+    have = {r["source"]: r["t"] for r in sized.join(F.broadcast(named), "source", "left_semi").groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
     open_ = []
     for t in targets:
         want, total = t["target_share"] * t["budget_tokens"], have.get(t["source"], 0)
