@@ -7,14 +7,17 @@ all of them to one): counts, lengths and document frequencies are those of the s
 
 from __future__ import annotations
 
-import math
+import re
+from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..common import Scratch, durable, maybe_broadcast
-from ..functions.text import terms
+from ..functions.text import SUBTOKEN
 from .search import K1, MOST_TERMS, WEIGHTS, B
 
 COLUMNS = ("content", "symbol", "path")
@@ -27,12 +30,39 @@ class LexicalIndex(NamedTuple):
     """(term, scope, doc)."""
 
 
+_RAW, _PART, _PLAIN = re.compile(r"[A-Za-z0-9_]+"), re.compile(SUBTOKEN), re.compile(r"[a-z]+|[0-9]+")
+
+
+@lru_cache(maxsize=1 << 17)
+def _expanded(token: str) -> tuple[str, ...]:
+    """A token and its parts, as ``index_tokens`` has them; tokens repeat so much that most are found in the cache."""
+    if _PLAIN.fullmatch(token):
+        return (token,)
+    out = [token]
+    for piece in filter(None, token.split("_")):
+        parts = _PART.findall(piece)
+        out += [p.lower() for p in parts] if len(parts) > 1 else parts if piece != token else []
+    return tuple(out)
+
+
+def term_list(text: str | None) -> list[str]:
+    """``functions.text.terms`` of one text."""
+    found = dict.fromkeys(e for t in dict.fromkeys(_RAW.findall(text or "")) for e in _expanded(t))
+    return [p for e in found for p in e.lower().split("_") if p]
+
+
 def indexed(rows: DataFrame) -> LexicalIndex:
     """Of (scope, doc, content, symbol, path) rows, one per (scope, doc)."""
-    lists = rows.select("scope", "doc", "path", *[terms(F.coalesce(F.col(c), F.lit(""))).alias(f"l_{c}") for c in COLUMNS])
-    documents = lists.select(
-        "scope", "doc", "path", sum((F.size(f"l_{c}") for c in COLUMNS), F.lit(0)).alias("len"), *[F.concat(F.lit(" "), F.array_join(f"l_{c}", " "), F.lit(" ")).alias(f"t_{c}") for c in COLUMNS]
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = [[term_list(t) for t in b.column(k).to_pylist()] for k in (2, 3, 4)]
+            strings = [pa.array([f" {' '.join(x)} " for x in column], pa.string()) for column in lists]
+            size = pa.array([sum(map(len, x)) for x in zip(*lists)], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), size, *strings], names=names)
+
+    names = ["scope", "doc", "path", "len", *[f"t_{c}" for c in COLUMNS]]
+    documents = rows.select("scope", "doc", *COLUMNS).mapInArrow(run, "scope string, doc bigint, path string, len int, t_content string, t_symbol string, t_path string")
     stored = Scratch(rows.sparkSession).write(documents, "documents")
     return LexicalIndex(stored, postings_of(stored))
 
@@ -93,6 +123,3 @@ def bm25(index: LexicalIndex, queries: DataFrame, limit: int) -> DataFrame:
     best = Window.partitionBy("query_id", "scope").orderBy(F.desc("score"), "doc")
     return scored.withColumn("pos", F.row_number().over(best)).where(F.col("pos") <= limit)
 
-
-def idf(total: int, df: int) -> float:
-    return max(math.log((total - df + 0.5) / (df + 0.5)), 1e-6)

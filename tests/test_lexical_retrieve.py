@@ -26,6 +26,15 @@ def test_index_equals_a_scan_of_the_corpus(spark, query):
     assert all(abs(a - b) < 2e-6 for (_, a), (_, b) in zip(got, want))
 
 
+def test_terms_equal_those_of_the_columns(spark):
+    from codelode.functions.text import terms
+
+    texts = ["", "fooBar_baz HTTPServer2x a__b _x_ 12ab AB foo FOO foo", "éclair naïveTest x", "A1b2C3 __init__ snake_case_Name x.y->z()", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    for r in rows.select("t", terms(F.coalesce("t", F.lit(""))).alias("w")).collect():
+        assert lexical.term_list(r.t) == r.w, r.t
+
+
 def test_scopes_have_their_own_statistics_and_many_queries_run_at_once(spark):
     df = spark.createDataFrame(_rows(), ROWS)
     queries = spark.createDataFrame([(1, "load token"), (2, "parse"), (3, None), (4, "")], "query_id long, query string")
