@@ -274,10 +274,9 @@ def _descend(nodes: DataFrame, lists: DataFrame, total: int, scratch: Scratch) -
         asked = known.select("dim", "home", "newest", F.explode("around").alias("h"))
         asked = asked.groupBy("dim", "home", "h").agg(F.bool_or(F.array_contains("newest", F.col("h"))).alias("new"))
         theirs = known.select(F.col("id").alias("h"), F.col("around").alias("theirs"), F.col("newest").alias("lately"))
-        news = asked.join(theirs, "h").select("dim", "home", F.explode(F.when(F.col("new"), F.array_union("theirs", F.array("h"))).otherwise(F.col("lately"))).alias("id")).distinct()
-        active = news.select("dim", "home").distinct()
-        own = lists.join(active, ["dim", "home"], "left_semi").select("dim", "home", "id")
-        found = news.unionByName(own).distinct().join(nodes.select("id", "vec"), "id").select("dim", "home", "id", "vec")
+        news = asked.join(theirs, "h").select("dim", "home", F.explode(F.when(F.col("new"), F.array_union("theirs", F.array("h"))).otherwise(F.col("lately"))).alias("id"))
+        # A block's own vectors come along, so that nothing else of its nodes has to be joined.
+        found = news.unionByName(lists.select("dim", "home", "id")).distinct().join(nodes.select("id", "vec"), "id").select("dim", "home", "id", "vec")
         better = lists.groupBy("dim", "home").cogroup(found.groupBy("dim", "home")).applyInArrow(_improve, LISTS)
         after = scratch.write(better, f"lists{n}")
         updates = after.agg(F.sum("updates")).first()[0] or 0
